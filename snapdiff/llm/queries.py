@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import jaccard_join as _jaccard
+from . import packing as _packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
