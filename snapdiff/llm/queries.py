@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import jaccard_join as _jaccard
+from . import lm_scoring as _lm
 from . import packing as _packing
 
 
@@ -27,10 +28,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
