@@ -10,6 +10,7 @@ from . import decontaminate as _decontaminate
 from . import jaccard_join as _jaccard
 from . import lm_scoring as _lm
 from . import packing as _packing
+from . import quality as _quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -35,6 +40,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
 }
