@@ -10,6 +10,7 @@ from . import decontaminate as _decontaminate
 from . import jaccard_join as _jaccard
 from . import lm_scoring as _lm
 from . import packing as _packing
+from . import pii as _pii
 from . import quality as _quality
 
 
@@ -33,6 +34,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii.find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.score_documents(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_pii": op9_pii,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
