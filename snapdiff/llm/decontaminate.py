@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import stored
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,7 +110,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    return hits.distinct(), members, counted
+    return stored(hits.distinct(), "hits"), members, counted  # few rows, used several times
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
