@@ -13,6 +13,7 @@ from . import lm_scoring as _lm
 from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
+from . import url_filter as _url
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    return _url.judge(_read(spark, sf_dir, "pages"), _url.rules_table(spark, rules))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_url_filters": op5_url_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_pii": op9_pii,
     "op10_lm_scoring": op10_lm_scoring,
@@ -76,6 +83,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op5_url_filters": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(action, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (SELECT page_id, host, path, max({'w': length(rhost) + length(rpath), 'action': action, 'rule': rhost || rpath}) AS b
+      FROM (SELECT DISTINCT * FROM p) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.b.rule AS rule,
+       coalesce(f.b.action, CASE WHEN list_has_any(regexp_split_to_array(p.host, '[.\-]'), ['adult', 'bet', 'bets', 'betting', 'casino', 'escort', 'gambling', 'malware', 'phishing', 'poker', 'porn', 'sex', 'spam', 'warez', 'xxx']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.host = p.host AND f.path = p.path""",
     "op7_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
