@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format as _chat
 from . import decontaminate as _decontaminate
+from . import embedding_dedup as _vectors
 from . import html_extract as _html
 from . import jaccard_join as _jaccard
 from . import lm_scoring as _lm
@@ -53,6 +54,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
     "op10_lm_scoring": op10_lm_scoring,
 }
