@@ -3,11 +3,13 @@
 1. Every text becomes its set of word n-gram hashes (64 bits); rows with equal sets are one
    class, stood for by its smallest id, so exact copies cost one set.
 2. One total order over all n-grams, rare ones first: a table of ``order_buckets`` counts over
-   all documents gives each n-gram its level, ties go by hash. The table's size is fixed, so it
+   all texts gives each n-gram its level, ties go by hash. The table's size is fixed, so it
    can be broadcast at any input size; a coarser table changes the cost, never the result.
-3. Sets with Jaccard >= t share an n-gram among the first ``n - ceil(t n) + 1`` of each. Each
-   such n-gram's sets are tied to the smallest of them (a star, not all pairs); connected
-   components of the stars are *candidate clusters*: two linked sets are always in one.
+3. Sets with Jaccard >= t share an n-gram among the first ``n - ceil(t n) + 1`` of each, and are of
+   like size. The sets of such an n-gram and size class are tied to the smallest of them (a star,
+   not all pairs), or, where they are few, in pairs whose shared n-grams and remaining lengths can
+   reach the threshold. Connected components are *candidate clusters*: two linked sets are always
+   in one.
 4. Inside a cluster the sets are stored in a prefix tree under one order (shared n-grams first),
    and every set walks it: overlaps of a path are counted once for all sets below, and a subtree
    is left when its remaining lengths cannot reach the threshold, or when all sets in it already
@@ -33,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shingles import shingle_set, word_hashes
+from .shingles import shingle_set, shingles, word_hashes
 from .storage import stored
 
 RANGES = 64
+BROADCAST_ROWS = 500_000  # sides of a join with more counted rows are shuffled
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[pa.Array, list[np.ndarray]]:
@@ -50,9 +53,10 @@ def _levels(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            sets = _sets(batch, k)[1]
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            if raw:
+                every = np.concatenate([shingles(word_hashes(x or b""), k) for x in raw])
+                total += np.bincount((every & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         if total.any():
             parts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(RANGES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())], ["part", "counts"])
@@ -71,26 +75,75 @@ def _levels(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, and its prefix under the global order."""
+    """Per row: id, n, digest of the set, its prefix under the global order, and the place of the prefix's end in it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             ids, sets = _sets(batch, k)
-            firsts, digests = [], []
+            firsts, digests, lasts = [], [], []
             for s in sets:
                 n = len(s)
                 p = n + (-percent * n // 100) + 1 if n else 0
-                order = np.lexsort((s, table[(s & np.uint64(len(table) - 1)).astype(np.int64)]))
-                firsts.append(s[order[:p]].view(np.int64))
+                level = table[(s & np.uint64(len(table) - 1)).astype(np.int64)]
+                order = np.argsort(level, kind="stable")[:p]  # ties stay in order of hash
+                firsts.append(s[order].view(np.int64))
+                lasts.append((int(level[order[-1]]) << 55) | (int(s[order[-1]]) >> 9) if p else 0)
                 digests.append(_digest(s))
             lengths = np.array([len(x) for x in sets], np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             values = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(lasts, pa.int64())], ["id", "n", "digest", "prefix", "last"])
 
-    return docs.mapInArrow(make, "id long, n long, digest binary, prefix array<long>")
+    return docs.mapInArrow(make, "id long, n long, digest binary, prefix array<long>, last long")
+
+
+def _shared_grams(first: DataFrame, classes: DataFrame, per_range: int = 1_000_000) -> DataFrame:
+    """(gram): n-grams that the prefixes of at least two rows hold, found in packed hash ranges."""
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(6, int(total / per_range).bit_length())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)]
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+        values, times = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+        values = np.repeat(values, np.minimum(times, 2))
+        cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        parts = [(p, v.tobytes()) for p, v in enumerate(np.split(values, cuts)) if len(v)]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())], ["part", "grams"])
+
+    def twice(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, times = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.int64), return_counts=True)
+        return pd.DataFrame({"gram": values[times > 1]})
+
+    return first.select("prefix").mapInArrow(split, "part int, grams binary").groupBy("part").applyInPandas(twice, "gram long")
+
+
+def _candidates(common: DataFrame, percent: int, few: int = 16) -> DataFrame:
+    """Edges (u, v) whose components hold all links.
+
+    An n-gram of many sets (over ``few`` of a size class) ties them to the smallest, a star. One of
+    few sets gives its pairs; a pair is an edge only if the n-grams it shares can be enough: all
+    others that the sets may share come after the end of the prefix that ends first.
+    """
+    counts = common.groupBy("gram", "size").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1")
+    held = stored(common.join(counts, ["gram", "size"]), "held")
+    many = held.where(F.col("c") > few)
+    star = many.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    g = many.groupBy("id", "size").agg(F.count("*").alias("g"))
+    own = held.where(F.col("c") <= few).join(g, ["id", "size"], "left")
+    row = F.struct("id", "n", "last", "own", F.coalesce("g", F.lit(0)).alias("g"))
+    lists = own.groupBy("gram", "size").agg(F.array_sort(F.collect_list(row)).alias("r"))  # at most `few` rows
+    pairs = lists.select("size", F.explode(F.flatten(F.transform("r", lambda y: F.transform(F.filter("r", lambda x: x["id"] < y["id"]), lambda x: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
+    # two sets of one class meet in two size classes, and count in the first
+    pairs = pairs.where(F.col("size") == F.greatest("p.x.own", "p.y.own"))
+    sums = pairs.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count("*").alias("c"))
+    after = lambda z: F.floor(F.lit(percent) * F.col(f"{z}.n") / 100.0 - 1e-9)  # noqa: E731  n-grams behind the prefix
+    rest = F.when(F.col("x.last") < F.col("y.last"), after("x")).when(F.col("x.last") > F.col("y.last"), after("y")).otherwise(F.greatest(after("x"), after("y")))
+    enough = (100 + percent) * (F.col("c") + F.least("x.g", "y.g") + rest) >= percent * (F.col("x.n") + F.col("y.n"))
+    return star.unionByName(sums.where(enough).select(F.col("y.id").alias("u"), F.col("x.id").alias("v"))).distinct()
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -120,35 +173,38 @@ class Tree:
             self.common[i] = int(differ[0]) if len(differ) else m
         self.kids: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
 
-    def children(self, lo: int, hi: int, depth: int) -> list[tuple[int, int, int]]:
-        """Subtrees (lo, hi, end depth) of rows lo..hi, which agree on their first ``depth`` ranks."""
+    def children(self, lo: int, hi: int, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Subtrees (lo, hi, end depth) of rows lo..hi, which agree on their first ``depth`` ranks, and where they begin."""
         if (lo, hi, depth) not in self.kids:
             cuts = [lo, *(i for i in range(lo + 1, hi) if self.common[i] <= depth), hi]
-            self.kids[lo, hi, depth] = [(a, b, min([int(self.lengths[a]), *self.common[a + 1 : b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            kids = [(a, b, min([int(self.lengths[a]), *self.common[a + 1 : b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            self.kids[lo, hi, depth] = np.array(cuts[:-1]), kids
         return self.kids[lo, hi, depth]
 
-    def links(self, row: np.ndarray, size: int, percent: int, mask: np.ndarray, done) -> list[int]:
-        """Rows, as given, whose similarity with ``row`` reaches ``percent``; ``done(lo, hi)`` says which subtrees to leave."""
+    def links(self, row: np.ndarray, size: int, percent: int, mask: np.ndarray, wanted: np.ndarray) -> list[int]:
+        """Rows, as given, among ``wanted`` (sorted places) whose similarity with ``row`` reaches ``percent``."""
         mask[row] = True
         found: list[int] = []
-        stack = [(0, len(self.rows), 0, 0)]
+        stack = [(0, len(self.rows), 0, 0, wanted)]
         while stack:
-            lo, hi, depth, overlap = stack.pop()
-            for a, b, end in self.children(lo, hi, depth):
-                if done(a, b):
-                    continue
+            lo, hi, depth, overlap, want = stack.pop()
+            starts, kids = self.children(lo, hi, depth)
+            which = np.searchsorted(starts, want, "right") - 1
+            cuts = np.flatnonzero(np.diff(which)) + 1
+            for own in np.split(want, cuts):
+                a, b, end = kids[int(np.searchsorted(starts, own[0], "right")) - 1]
                 path = self.rows[a][depth:end]
                 o = overlap + int(np.count_nonzero(mask[path]))
-                left = len(row) - int(np.searchsorted(row, path[-1], "right")) if len(path) else len(row) - int(np.searchsorted(row, self.rows[a][end - 1], "right")) if end else len(row)
-                most = o + min(left, int(self.lengths[a:b].max()) - end)
-                if (100 + percent) * most < percent * (size + int(self.sizes[a:b].min())):
+                left = len(row) - int(np.searchsorted(row, self.rows[a][end - 1], "right")) if end else len(row)
+                most = o + min(left, int(self.lengths[own].max()) - end)
+                if (100 + percent) * most < percent * (size + int(self.sizes[own].min())):
                     continue
-                whole = self.lengths[a:b] == end
-                if whole.any():
-                    at = a + np.flatnonzero(whole)
-                    found += self.order[at[(100 + percent) * o >= percent * (size + self.sizes[at])]].tolist()
-                if not whole.all():
-                    stack.append((a + int(whole.sum()), b, end, o))  # rows that end here sort first
+                whole = self.lengths[own] == end
+                at = own[whole]
+                found += self.order[at[(100 + percent) * o >= percent * (size + self.sizes[at])]].tolist()
+                if len(at) < len(own):
+                    ended = int(np.count_nonzero(self.lengths[a:b] == end))  # rows that end here sort first
+                    stack.append((a + ended, b, end, o, own[~whole]))
         mask[row] = False
         return found
 
@@ -158,6 +214,8 @@ def tree_links(sets: list[np.ndarray], comps: list, percent: int, n_members: int
 
     ``comps`` are the components so far; the result has, for each set, the least one reached.
     """
+    if not n_members:  # a block that the hash left empty
+        return comps
     flat = np.concatenate(sets)
     values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int32)
@@ -172,11 +230,21 @@ def tree_links(sets: list[np.ndarray], comps: list, percent: int, n_members: int
     comp = np.array([number[c] for c in comps], np.int64)  # small numbers are small names
     mask = np.zeros(len(values), bool)
     at = comp[:n_members][tree.order]  # components in the tree's order
+    # the rarest n-grams of a set, of which a link shares one: those of its own first, which nothing shares
+    tails = []
+    for row, n in zip(rows, sizes.tolist(), strict=True):
+        k = max(0, n + (-percent * n // 100) + 1 - (n - len(row)))
+        tails.append(row[len(row) - k :])
+    held = np.concatenate(tails[:n_members])
+    by = np.argsort(held, kind="stable")
+    held, holder = held[by], tree.place[np.repeat(np.arange(n_members), [len(t) for t in tails[:n_members]])[by]]
     for q in range(n_members, len(sets)) if len(sets) > n_members else range(len(sets)):
-        own = comp[q]
-        if (at == own).all():
+        if not len(tails[q]) or (at == comp[q]).all():
             continue
-        for hit in tree.links(rows[q], int(sizes[q]), percent, mask, lambda a, b, own=own: bool((at[a:b] == own).all())):
+        lo, hi = np.searchsorted(held, tails[q], "left"), np.searchsorted(held, tails[q], "right")
+        wanted = np.unique(np.concatenate([holder[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+        wanted = wanted[at[wanted] != comp[q]]
+        for hit in tree.links(rows[q], int(sizes[q]), percent, mask, wanted) if len(wanted) else ():
             if comp[hit] != comp[q]:
                 low, high = sorted((int(comp[hit]), int(comp[q])))
                 comp[comp == high] = low
@@ -188,7 +256,7 @@ def _join_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) that tie each set of a block to the least of its component there."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["member", "id"], ascending=[False, True])
+        pdf = pdf.sort_values(["member", "id"], ascending=[False, True]).drop_duplicates(["member", "id", "grams"])
         ids, comps = pdf["id"].tolist(), pdf["comp"].tolist()
         sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
         after = tree_links(sets, comps, percent, int(pdf["member"].sum()))
@@ -208,9 +276,10 @@ def _with_sets(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
             _, sets = _sets(batch, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_digest(s) for s in sets], pa.binary()), *batch.columns[2:]], ["id", "grams", "found", "cluster", "subs", "digest"])
 
-    with_text = docs.join(clusters, "id").select("id", "text", "cluster", "subs", "digest")
+    n = clusters.count()
+    with_text = docs.join(F.broadcast(clusters) if n <= BROADCAST_ROWS else clusters, "id").select("id", "text", "cluster", "subs", "digest")
     made = with_text.mapInArrow(make, "id long, grams binary, found binary, cluster long, subs int, digest binary")
-    return made.where("found = digest").select("cluster", "subs", "id", "grams").dropDuplicates(["id", "cluster", "grams"])
+    return made.where("found = digest").select("cluster", "subs", "id", "grams")
 
 
 def _join_large(large: DataFrame, links: DataFrame, percent: int, block_items: int) -> DataFrame:
@@ -246,29 +315,33 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     levels = _levels(docs, n, order_buckets)
     rows = stored(_prefixes(docs, n, percent, levels), "sets")
     known = rows.where("n > 0 AND id IS NOT NULL")
+    # sets whose sizes allow the threshold are in the same class of sizes or in neighbouring ones
+    size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
     classes = stored(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     first = known.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi")
-    grams = first.select("id", F.explode("prefix").alias("gram"))
-    lead = grams.groupBy("gram").agg(F.min("id").alias("v"), F.max("id").alias("high")).where("v <> high").drop("high")
-    stars = grams.join(lead, "gram").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    near = stored(components(stars), "clusters")
+    grams = first.select("id", "n", "last", size_class.alias("own"), F.explode("prefix").alias("gram"))
+    shared = stored(_shared_grams(first, classes), "shared")
+    met = grams.join(F.broadcast(shared) if shared.count() <= 4 * BROADCAST_ROWS else shared, "gram")
+    common = stored(met.select("id", "n", "last", "own", "gram", F.explode(F.array("own", F.col("own") + 1)).alias("size")), "grams")
+    stars = _candidates(common, percent)
+    near = components(stars)
 
     sized = near.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node")
     totals = sized.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / block_items), F.lit(1)).cast("int").alias("subs"))
-    clusters = sized.join(totals, "comp").select(F.col("node").alias("id"), F.col("comp").alias("cluster"), "subs", "digest")
-    blocks = stored(_with_sets(docs, clusters, n).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")), "blocks")
+    clusters = stored(sized.join(totals, "comp").select(F.col("node").alias("id"), F.col("comp").alias("cluster"), "subs", "digest"), "clusters")
+    blocks = _with_sets(docs, clusters, n).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
     base = blocks.select("cluster", "sub", F.lit(0).alias("chunk"), "id", F.col("id").alias("comp"), F.lit(True).alias("member"), "grams")
     links = stored(_join_blocks(base, percent), "links")
-    large = blocks.where("subs > 1")
-    if large.limit(1).count():
-        links = links.unionByName(_join_large(stored(large, "large"), links, percent, block_items))
+    if clusters.where("subs > 1").limit(1).count():
+        large = stored(blocks.where("subs > 1").dropDuplicates(["id", "cluster", "grams"]), "large")
+        links = links.unionByName(_join_large(large, links, percent, block_items))
         found = components(links)
     else:
         found = links.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     known_ids = known.select("id", "digest").distinct()
-    shared = known_ids.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    if shared.limit(1).count():  # rows of one id with different texts are one document
-        tied = known_ids.join(shared, "id").join(classes.select("digest", "rep"), "digest").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    several = known_ids.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    if several.limit(1).count():  # rows of one id with different texts are one document
+        tied = known_ids.join(several, "id").join(classes.select("digest", "rep"), "digest").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
         found = components(links.unionByName(tied))
     comp_of = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("c"))
     out = rows.select("id", "n", "digest").join(comp_of, (F.col("digest") == F.col("d")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")

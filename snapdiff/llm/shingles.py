@@ -3,32 +3,47 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_MASK = (1 << 64) - 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_rng = np.random.default_rng(20240110)
+_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class Memo(dict):
-    """Word -> 64-bit hash; forgets everything when it grows past ``limit`` words."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_memo = Memo()
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64, at least ``n`` of each."""
+    if len(_powers[0]) < n:
+        size = max(2 * len(_powers[0]), n, 1 << 14)
+        for k, base in enumerate((_BASE, _BACK)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words of UTF-8 text: A-Z lower-cased, cut at ASCII white space only."""
-    found = raw.lower().split()
-    return np.fromiter(map(_memo.__getitem__, found), np.uint64, len(found))
+    """64-bit hashes of the words of UTF-8 text: A-Z lower-cased, cut at ASCII white space only.
+
+    A word's hash is a polynomial over random values of its bytes, from running sums over the text.
+    """
+    codes = np.frombuffer(raw, np.uint8)
+    if not len(codes):
+        return np.empty(0, np.uint64)
+    up, down = _tables(len(codes) + 1)
+    space = _SPACE[codes]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    if not space[-1]:
+        edge = np.concatenate([edge, [len(codes)]])
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTE[codes] * up[: len(codes)], out=sums[1:])
+    starts, ends = edge[::2], edge[1::2]
+    return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,9 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def factor(j: int) -> np.uint64:
-    """An odd multiplier for the word at place ``j`` of an n-gram."""
-    return np.uint64(xxhash.xxh64_intdigest(b"place", seed=j) | 1)
+_PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:
@@ -48,12 +61,17 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.full(n, k, np.uint64)
     for j in range(k):
-        total += h[j : j + n] * factor(j)
-    return mixed(total + np.uint64(k))
+        total += h[j : j + n] * _PLACE[j % 64]
+    return mixed(total)
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """``k``-word shingles in order; fewer words, but not none, make one shingle of all words."""
+    return ngrams(h, min(k, len(h))) if len(h) else np.empty(0, np.uint64)
 
 
 def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
-    """Distinct ``k``-word shingles; fewer words, but not none, make one shingle of all words."""
-    return np.unique(ngrams(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+    """Distinct shingles, sorted."""
+    return np.unique(shingles(h, k))
