@@ -108,6 +108,17 @@ f AS (SELECT page_id, host, path, max({'w': length(rhost) + length(rpath), 'acti
 SELECT p.page_id, p.host, p.path, f.b.rule AS rule,
        coalesce(f.b.action, CASE WHEN list_has_any(regexp_split_to_array(p.host, '[.\-]'), ['adult', 'bet', 'bets', 'betting', 'casino', 'escort', 'gambling', 'malware', 'phishing', 'poker', 'porn', 'sex', 'spam', 'warez', 'xxx']) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.host = p.host AND f.path = p.path""",
+    "op6_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+e AS (SELECT *, length(t) + length(t) - length(replace(t, '\', '')) + len(regexp_extract_all(t, '<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>|<\||\|>')) AS escaped,
+  CASE role WHEN 'system' THEN length('<<SYS>><</SYS>>') + 4 WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('  </s>') ELSE length('<||></s>') + length(role) END AS around,
+  coalesce(lag(role) OVER w, '') AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(escaped + around) + 3 AS BIGINT) AS formatted_chars,
+  bool_and(CASE before WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' WHEN 'system' THEN role = 'user' ELSE role IN ('system', 'user') END) AS valid
+FROM e GROUP BY conv_id""",
     "op7_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
