@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -87,6 +88,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    import re
-
     assert {int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
