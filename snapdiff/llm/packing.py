@@ -11,7 +11,8 @@ most ``capacity`` ids only if it is longer. Packing works on (piece, length) row
 * after an epoch each island's elite is sent to the next island of its shard (a shuffle), and
   a second epoch starts from both; the best island's elite is the shard's result;
 * bins with more than ``slack`` free places are opened again and their pieces dealt into new
-  shards, which mixes what is left of all shards; that is repeated ``levels`` times.
+  shards, which mixes what is left of all shards; that is repeated ``levels`` times. A level that
+  closes no bin is the last: its open bins are sequences as they are, as those of the last level.
 
 Random numbers are seeded by shard, island and level, and each level's result is written to
 the shared folder, so a lost executor's tasks give the same rows again.
@@ -234,12 +235,11 @@ def _epoch(rows: DataFrame, capacity: int, level: int, epoch: int, population: i
 def pack(pieces: DataFrame, capacity: int = 2048, shard_items: int = 4096, islands: int = 2, population: int = 4, generations: int = 6, slack: int = 8, levels: int = 3) -> DataFrame:
     """``(pid, sequence_id, offset)`` for each row of ``pieces (pid, length)``; lengths are 1 to ``capacity``."""
     done = pieces.where(F.col("length") == capacity).select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, last = pieces.where(F.col("length") < capacity).select("pid", "length"), -1
+    rest = pieces.where(F.col("length") < capacity).select("pid", "length")
+    n = rest.count()
     for level in range(levels):
-        n = rest.count()
-        if not n or n == last:
+        if not n:
             break
-        last = n
         shards = -(-n // shard_items)
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(shards)))
         start = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "pid", "length", F.lit(0).cast("long").alias("bin")).withColumn("origin", F.col("island"))
@@ -251,12 +251,15 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_items: int = 4096, islan
         fill = won.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
         sums = won.join(fill, ["shard", "bin"])
         final = level == levels - 1 or shards == 1
+        if not final:
+            rest, before = stored(sums.where(F.col("fill") < capacity - slack).select("pid", "length"), "rest"), n
+            n = rest.count()
+            final = n == before  # no bin was closed: these bins are the result
         closed = sums if final else sums.where(F.col("fill") >= capacity - slack)
         placed = _places(closed, level)
         done = done.unionByName(placed)
         if final:
             break
-        rest = stored(sums.where(F.col("fill") < capacity - slack).select("pid", "length"), "rest")
     return done
 
 
