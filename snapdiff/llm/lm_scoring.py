@@ -2,9 +2,11 @@
 
 *Training* counts words and word pairs of the training rows. Pair counts travel as sorted
 40-bit hashes in one packed row per task and hash range, and each range becomes one segment of
-a Bloom filter: an n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c). The
-filter has ``bits_per_gram`` bits for each n-gram up to ``max_bytes`` in all, which is what
-is broadcast; past that bound its error rate rises, its size does not.
+a Bloom filter: an n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c). A
+segment has ``bits_per_gram`` bits for each n-gram and level that was counted in its range, so
+the error rate is the same at any size. Up to ``max_bytes`` in all, the segments are broadcast;
+past that bound each block's distinct n-grams are sent to their segments, and the levels found
+come back to the block's texts, so no task holds more than a segment.
 
 *Scoring* probes the levels of a pair and of its words one after the other until one is absent,
 which gives their counts up to the quantisation, and mixes the pair's relative frequency with
@@ -23,7 +25,7 @@ training rows N and V are 0; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,63 +186,98 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.view("<u8").reshape(-1)), np.ascontiguousarray(raw[5:].T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _spots(values: np.ndarray, level: int, hashes: int, bits: int) -> list[np.ndarray]:
+def _spots(values: np.ndarray, level: int, hashes: int, bits: int | np.ndarray) -> list[np.ndarray]:
     a = mixed(values + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
     b = mixed(a) | np.uint64(1)
-    return [(a + np.uint64(j) * b) % np.uint64(bits) for j in range(hashes)]
+    return [(a + np.uint64(j) * b) % np.asarray(bits, np.uint64) for j in range(hashes)]
+
+
+_MIDDLE = np.array([0.0, 1.0, *(1.5 * 2.0 ** (level - 1) - 0.5 for level in range(2, 64))])
 
 
 class Filter:
-    """Segments of ``bits`` bits, one for each hash range, in one array of bytes."""
+    """Segments of ``bits`` bits each, one for each hash range, that begin at the bytes ``starts`` of one array."""
 
-    def __init__(self, data: np.ndarray, ranges: int, bits: int, hashes: int):
-        self.data, self.ranges, self.bits, self.hashes = data, ranges, bits, hashes
+    def __init__(self, data: np.ndarray, ranges: int, starts: np.ndarray, bits: np.ndarray, hashes: int):
+        self.data, self.ranges, self.starts, self.bits, self.hashes = data, ranges, starts, bits, hashes
 
     def has(self, values: np.ndarray, level: int) -> np.ndarray:
-        base = (values // np.uint64((1 << 40) // self.ranges)) * np.uint64(self.bits)
+        part = (values // np.uint64((1 << 40) // self.ranges)).astype(np.int64)
+        base, bits = self.starts[part] * np.uint64(8), self.bits[part]
         ok = np.ones(len(values), bool)
-        for spot in _spots(values, level, self.hashes, self.bits):
+        for spot in _spots(values, level, self.hashes, bits):
             at = base + spot
             ok &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return ok
 
-    def counts(self, values: np.ndarray) -> np.ndarray:
-        """Counts up to the quantisation: the middle of the highest level in a row that is present."""
-        found, at = np.zeros(len(values)), np.arange(len(values))
+    def levels(self, values: np.ndarray) -> np.ndarray:
+        """The highest level in a row that is present."""
+        found, at = np.zeros(len(values), np.uint8), np.arange(len(values))
         for level in range(1, 64):
             at = at[self.has(values[at], level)] if len(at) else at
             if not len(at):
                 break
-            found[at] = 1.0 if level == 1 else 1.5 * 2 ** (level - 1) - 0.5
+            found[at] = level
         return found
 
+    def counts(self, values: np.ndarray) -> np.ndarray:
+        """Counts up to the quantisation: the middle of the level."""
+        return _MIDDLE[self.levels(values)]
+
+
+def filter_of(segments: Iterable[tuple[int, bytes]], ranges: int, hashes: int) -> Filter:
+    """The filter with these segments; a range without one has eight bits that are off."""
+    own = list(segments)
+    sizes = np.array([len(segment) for _, segment in own], np.uint64)
+    starts, bits = np.full(ranges, sizes.sum(), np.uint64), np.full(ranges, 8, np.uint64)
+    parts = [part for part, _ in own]
+    starts[parts] = np.cumsum(sizes) - sizes
+    bits[parts] = sizes * np.uint64(8)
+    return Filter(np.frombuffer(b"".join([*(segment for _, segment in own), b"\0"]), np.uint8), ranges, starts, bits, hashes)
+
 
-def build_filter(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, max_bytes: int = 1 << 26, hashes: int = 3, grams_per_range: int = 2_000_000) -> Filter:
-    """The filter over all training rows; ``n_tokens`` sizes its ranges and its bits."""
+def filter_segments(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> tuple[DataFrame, int]:
+    """(part, segment) of the filter over all training rows, and the number of ranges, from ``n_tokens``."""
     ranges = 64
     while 2 * n_tokens > ranges * grams_per_range and ranges < 1 << 20:
         ranges *= 2
-    bits = 8 * max(128, min(2 * n_tokens * bits_per_gram // 8, max_bytes) // ranges)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = [unpacked(b) for b in pdf["grams"]]
         values, inverse = np.unique(np.concatenate([v for v, _ in pairs]), return_inverse=True)
         level = 1 + np.floor(np.log2(np.bincount(inverse, weights=np.concatenate([t for _, t in pairs])))).astype(np.int64)
+        bits = 8 * max(128, -(-int(level.sum()) * bits_per_gram // 8))
         on = np.zeros(bits, bool)
         for j in range(1, int(level.max()) + 1):
             for spot in _spots(values[level >= j], j, hashes, bits):
                 on[spot.astype(np.int64)] = True
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "segment": [np.packbits(on, bitorder="little").tobytes()]})
 
-    data = np.zeros((ranges, bits // 8), np.uint8)
-    for r in counted_ranges(docs, ranges).groupBy("part").applyInPandas(build, "part int, segment binary").toLocalIterator():  # max_bytes in all
-        data[r.part] = np.frombuffer(r.segment, np.uint8)
-    return Filter(data.reshape(-1), ranges, bits, hashes)
+    return stored(counted_ranges(docs, ranges).groupBy("part").applyInPandas(build, "part int, segment binary"), "filter"), ranges
+
+
+def build_filter(docs: DataFrame, n_tokens: int, hashes: int = 3, **options) -> Filter:
+    """The whole filter, on the driver."""
+    segments, ranges = filter_segments(docs, n_tokens, hashes=hashes, **options)
+    return filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes)
+
+
+def _mix(single: np.ndarray, both: np.ndarray, lengths: np.ndarray, total: int, distinct: int, weight: float) -> np.ndarray:
+    """Log10 probabilities of texts of these lengths from the counts at each place."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    before = np.concatenate([[0.0], single[:-1]])
+    before[starts] = single[lengths[0] - 1]  # as many texts begin as end
+    p = weight * np.minimum(both, before) / np.maximum(before, 1) + (1 - weight) * np.minimum((single + 1) / (total + distinct + 1), 1)
+    return np.add.reduceat(np.log10(p), starts)
+
+
+def _scored(ids: list, raws: list[bytes], score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_key(r) for r in raws], pa.int64()), pa.array(score)], ["doc_id", "row_key", "score"])
 
 
 def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
     """(doc_id, row_key, score): the log10 probability of each text, its end included."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.bits, model.hashes))
+    shared = docs.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.starts, model.bits, model.hashes))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(*shared.value)
@@ -248,24 +285,76 @@ def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weig
             pairs = [grams(raw) for raw in raws]
             lengths = np.array([len(one) for one, _ in pairs])
             one, inverse = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
-            two = np.concatenate([x for _, x in pairs])
             single = own.counts(_cut(one, own.ranges))[inverse]
-            both = own.counts(_cut(two, own.ranges))
-            before = np.concatenate([[0.0], single[:-1]])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            before[starts] = own.counts(_cut(mixed(np.array([END])), own.ranges))[0]  # as many texts begin as end
-            p = weight * np.minimum(both, before) / np.maximum(before, 1) + (1 - weight) * np.minimum((single + 1) / (total + distinct + 1), 1)
-            score = np.add.reduceat(np.log10(p), starts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_key(r) for r in raws], pa.int64()), pa.array(score)], ["doc_id", "row_key", "score"])
+            both = own.counts(_cut(np.concatenate([x for _, x in pairs]), own.ranges))
+            yield _scored(ids, raws, _mix(single, both, lengths, total, distinct, weight))
 
     return docs.mapInArrow(make, "doc_id long, row_key long, score double")
 
 
-def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sent_scores(docs: DataFrame, segments: DataFrame, ranges: int, hashes: int, total: int, distinct: int, weight: float = 0.7, block_bytes: int = 16_000_000) -> DataFrame:
+    """What ``model_scores`` gives, for a filter that is too large to broadcast."""
+    step = (1 << 40) // ranges
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, count = TaskContext.get().partitionId(), 0
+        names = ["block", "part", "grams", "doc_id", "raw"]
+        texts: list[tuple[int | None, bytes]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            block, values = (part << 24) + count, np.unique(np.concatenate([_cut(x, ranges) for _, raw in texts for x in grams(raw)]))
+            where = (values // np.uint64(step)).astype(np.int32)
+            parts, begins = np.unique(where, return_index=True)
+            blobs = [packed(v, np.zeros(len(v), np.int64)) for v in np.split(values, begins[1:])]
+            k, m = len(parts), len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(parts), pa.array(blobs, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([i for i, _ in texts], pa.int64()), pa.array([raw for _, raw in texts], pa.binary())], names)
+
+        for ids, raws in _texts(batches):
+            for doc, raw in zip(ids, raws, strict=True):
+                texts.append((doc, raw))
+                size += len(raw)
+                if size >= block_bytes:
+                    yield from out()
+                    count, texts, size = count + 1, [], 0
+        if texts:
+            yield from out()
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes)
+        found = [own.levels(unpacked(b)[0]).tobytes() for b in asked["grams"].to_pylist()]
+        return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
+
+    def score(levels: pa.Table, texts: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(levels.sort_by("part")["levels"].to_pylist()), np.uint8)  # in the order of the values
+        ids, raws = texts["doc_id"].to_pylist(), texts["raw"].to_pylist()
+        pairs = [grams(raw) for raw in raws]
+        one, two = (_cut(np.concatenate(x), ranges) for x in zip(*pairs, strict=True))
+        values, inverse = np.unique(np.concatenate([one, two]), return_inverse=True)
+        assert len(values) == len(found)
+        at = _MIDDLE[found][inverse]
+        return pa.Table.from_batches([_scored(ids, raws, _mix(at[: len(one)], at[len(one) :], np.array([len(x) for x, _ in pairs]), total, distinct, weight))])
+
+    rows = stored(docs.mapInArrow(ask, "block long, part int, grams binary, doc_id long, raw binary"), "asked")
+    asked = rows.where("part IS NOT NULL").select("block", "part", "grams")
+    levels = asked.groupBy("part").cogroup(segments.withColumnRenamed("part", "p").groupBy("p")).applyInArrow(answer, "block long, part int, levels binary")
+    texts = rows.where("part IS NULL").select(F.col("block").alias("own"), "doc_id", "raw")
+    return levels.groupBy("block").cogroup(texts.groupBy("own")).applyInArrow(score, "doc_id long, row_key long, score double")
+
+
+def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26, hashes: int = 3, **options) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base, total, distinct = base_scores(stored(tokenised_blocks(docs), "tokens"))
-    model = build_filter(docs, total, **options)
-    scores = model_scores(docs, model, total, distinct).dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
+    segments, ranges = filter_segments(docs, total, hashes=hashes, **options)
+    if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= max_bytes:
+        model = filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes)
+        scores = model_scores(docs, model, total, distinct)
+    else:
+        scores = sent_scores(docs, segments, ranges, hashes, total, distinct)
+    scores = scores.dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
     out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

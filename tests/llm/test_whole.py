@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
+from snapdiff.llm import lm_scoring as LM
 from snapdiff.llm import packing as PK
 
 
@@ -14,3 +16,14 @@ def test_pieces_that_close_no_bin_are_placed(spark, length):
     assert sorted(r.pid for r in rows) == list(range(5000))
     used = {(r.sequence_id, r.offset) for r in rows}
     assert len(used) == 5000 and max(o for _, o in used) + length <= 2048
+
+
+def test_scores_past_the_broadcast_bound_are_the_same(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 60))) for i in range(400)] + [(None, None), (500, ""), (501, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = ({r.doc_id: r.score for r in LM.score_documents(docs, max_bytes=n).collect()} for n in (10_000, 1 << 26))
+    assert small.keys() == large.keys() and len(small) == len(rows)
+    assert all(abs(small[i] - large[i]) < 1e-9 for i in large)
+    unseen, seen = ([small[i] for i in range(400) if LM.is_held_out(i) == held] for held in (True, False))
+    assert max(unseen) < min(seen)  # random words: nearly no pair of an unseen text was counted
