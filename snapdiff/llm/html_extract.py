@@ -7,7 +7,9 @@ without unions, kept as a small tree. Per task one wrapper per host is inferred
 pages; those are merged per (host, salt), then per host, so a host with a third of all pages is
 never in one task. From a wrapper comes a short rule: where the main text is. It is the article
 or main element, or else the part whose slots hold the most text that differs between pages and
-is no link. Pages are then read a second time with their host's rule.
+is no link. Pages are then read a second time with their host's rule. A form or an element whose
+names mark noise is read as main all the same if it holds most of the text: more than half, and
+at least ``LARGE`` times what the best part outside of noise has.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments in the
 markup and reader comments go; what the wrapper shows to be the same text on all of at least
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-DEEPEST, SAME_PAGES = 150, 5
+DEEPEST, SAME_PAGES, LARGE = 150, 5, 4
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
@@ -46,6 +48,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SOFT_TAGS = frozenset({"form"})
 _NOISE_TAGS = frozenset("nav footer aside form button dialog menu input head".split())
 _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu".split())
 _NOISE_WORDS = frozenset(
@@ -229,17 +232,18 @@ def rule_of(w: list) -> dict:
     loose: list[tuple[float, int, list[str]]] = []
     same: list[str] = []
 
-    def walk(node: list, path: list[str], noise: bool) -> float:
+    def walk(node: list, path: list[str], noise: bool, large: float) -> float:
         tag = node[LABEL].split(" ")[0]
         names = set(node[LABEL].split(" ")[1:])
-        noise = noise or tag in _NOISE_TAGS or tag == "header" or tag not in ("html", "body", "main", "article") and bool(names & _NOISE_WORDS)
+        named = tag in _SOFT_TAGS or tag not in ("html", "body", "main", "article") and bool(names & _NOISE_WORDS)
+        noise = noise or tag in _NOISE_TAGS - _SOFT_TAGS or tag == "header" or named and node[CHARS] - node[LINKS] <= large
         if node[LABEL] == "#":
             if node[TEXT] is not None and node[PAGES] >= SAME_PAGES and not node[REPEATED]:
                 same.append(node[TEXT])
                 return 0
             return 0 if noise else node[CHARS] - 2 * node[LINKS]
         own = path + [node[LABEL]] if node[LABEL][:1] not in ("", "(") else path
-        worth = sum(walk(k, own, noise) for k in node[KIDS])
+        worth = sum(walk(k, own, noise, large) for k in node[KIDS])
         if not noise and node[LABEL][:1] not in ("", "("):
             if _is_main(node[LABEL]):
                 mains.append((node[CHARS], -len(own), own))
@@ -247,7 +251,11 @@ def rule_of(w: list) -> dict:
                 loose.append((worth, len(own), own))
         return worth
 
-    walk(w, [], False)
+    walk(w, [], False, float("inf"))
+    best = max([m[0] for m in mains] + [x[0] for x in loose] + [0])
+    for found in (mains, loose, same):
+        found.clear()
+    walk(w, [], False, max((w[CHARS] - w[LINKS]) / 2, LARGE * best))
     if mains:
         inner = [m for m in mains if m[2][-1].startswith("article")] or mains
         return {"region": max(inner)[2], "same": []}
@@ -278,7 +286,51 @@ def _regions(root: Node, region: list[str]) -> list[Node]:
         if node.tag == "body":
             body.append(node)
         stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
-    return found or body or [root]
+    found = found or body or [root]
+    return _large(root, LARGE * sum(_chars(n, n) for n in found)) or found
+
+
+def _chars(node: Node, region: Node | None = None) -> int:
+    """Text of a node that is no link; without noise, if it is a region's."""
+    total, stack = 0, [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            total += len(" ".join(item.split()))
+        elif item.tag != "a" and not (region and item.noise and item is not region):
+            stack += item.kids
+    return total
+
+
+def _large(root: Node, least: int) -> list[Node]:
+    """The noise-named part with over half of the page's text and over ``least``: its article or main elements, or itself."""
+    least, stack = max(least, _chars(root) // 2), [root]
+    while stack:
+        node = stack.pop()
+        if node.noise and node.tag not in _NOISE_TAGS - _SOFT_TAGS and _chars(node) > least:
+            inner, found = list(reversed(node.kids)), []
+            while inner:
+                kid = inner.pop()
+                if isinstance(kid, str):
+                    continue
+                if _is_main(kid.label):
+                    found.append(kid)
+                elif not kid.noise:
+                    inner += reversed(kid.kids)
+            return found or _large_in(node, least)
+        if not node.noise:
+            stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return []
+
+
+def _large_in(node: Node, least: int) -> list[Node]:
+    """The innermost of such parts within each other."""
+    for kid in node.kids:
+        if not isinstance(kid, str):
+            deep = _large(kid, least)
+            if deep:
+                return deep
+    return [node]
 
 
 def main_text(page: str | None, rule: dict | None = None) -> str:

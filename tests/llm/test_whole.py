@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from snapdiff.llm import html_extract as HX
 from snapdiff.llm import lm_scoring as LM
 from snapdiff.llm import packing as PK
 
@@ -27,3 +28,27 @@ def test_scores_past_the_broadcast_bound_are_the_same(spark):
     assert all(abs(small[i] - large[i]) < 1e-9 for i in large)
     unseen, seen = ([small[i] for i in range(400) if LM.is_held_out(i) == held] for held in (True, False))
     assert max(unseen) < min(seen)  # random words: nearly no pair of an unseen text was counted
+
+
+def texts_of(spark, pages):
+    return [r.text for r in HX.extract(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+WRAPPERS = ["div class='layout has-sidebar'", "div class=with-comments", "div class=header-fixed", "div class=widget-area", "div class=content-form", "div class=search-results", "form"]
+
+
+def test_articles_below_noise_named_wrappers(spark):
+    pages, want = [], []
+    for h, wrapper in enumerate(WRAPPERS):
+        for i in range(6):
+            for inner in ("article", "div"):
+                body = f"<h1>Title {i}</h1><p>The text number {i} of the page, long enough to be one.</p><p>And {i} more words of it.</p>"
+                pages.append((f"http://{inner}{h}.example/{i}", f"<html><body><nav><a>Home</a></nav><{wrapper}><{inner}>{body}</{inner}><div class=sidebar>Read also {i}</div></{wrapper.split()[0]}><footer>All rights</footer></body></html>"))
+                want.append(f"Title {i}\nThe text number {i} of the page, long enough to be one.\nAnd {i} more words of it.")
+    assert texts_of(spark, pages) == want
+    assert [HX.main_text(h) for _, h in pages[::2]] == want[::2]  # without a rule
+
+
+def test_comments_stay_noise():
+    page = "<body><div class=post><p>The text of the post itself.</p></div><div id=comments><article>I say this of it</article><article>And I say that of it</article></div></body>"
+    assert HX.main_text(page, HX.rule_of(HX.wrapper_of(HX.parse(page)))) == HX.main_text(page) == "The text of the post itself."
