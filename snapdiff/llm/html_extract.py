@@ -13,7 +13,9 @@ at least ``LARGE`` times what the best part outside of noise has.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments in the
 markup and reader comments go; what the wrapper shows to be the same text on all of at least
-``SAME_PAGES`` pages goes too, where a host has no article or main element. Character references
+``SAME_PAGES`` different pages goes too, where a host has no article or main element and at least
+as much text outside of noise differs between its pages; else they may be recrawls of one page,
+and the text is kept. Equal pages of a host count as one in its wrapper. Character references
 are decoded, white space in a block becomes one space, blocks are joined by one newline.
 
 Nulls, ties and repeats: null or empty html gives an empty text; a null url or one without a
@@ -232,18 +234,23 @@ def rule_of(w: list) -> dict:
     loose: list[tuple[float, int, list[str]]] = []
     same: list[str] = []
 
-    def walk(node: list, path: list[str], noise: bool, large: float) -> float:
+    differs = [0, 0]  # text outside of noise: that of slots, that of the template
+
+    def walk(node: list, path: list[str], noise: bool, large: float, trust: bool) -> float:
         tag = node[LABEL].split(" ")[0]
         names = set(node[LABEL].split(" ")[1:])
         named = tag in _SOFT_TAGS or tag not in ("html", "body", "main", "article") and bool(names & _NOISE_WORDS)
         noise = noise or tag in _NOISE_TAGS - _SOFT_TAGS or tag == "header" or named and node[CHARS] - node[LINKS] <= large
         if node[LABEL] == "#":
-            if node[TEXT] is not None and node[PAGES] >= SAME_PAGES and not node[REPEATED]:
+            template = node[TEXT] is not None and node[PAGES] >= SAME_PAGES and not node[REPEATED]
+            if not noise:
+                differs[template] += max(0, node[CHARS] - node[LINKS])
+            if template and trust:
                 same.append(node[TEXT])
                 return 0
             return 0 if noise else node[CHARS] - 2 * node[LINKS]
         own = path + [node[LABEL]] if node[LABEL][:1] not in ("", "(") else path
-        worth = sum(walk(k, own, noise, large) for k in node[KIDS])
+        worth = sum(walk(k, own, noise, large, trust) for k in node[KIDS])
         if not noise and node[LABEL][:1] not in ("", "("):
             if _is_main(node[LABEL]):
                 mains.append((node[CHARS], -len(own), own))
@@ -251,11 +258,16 @@ def rule_of(w: list) -> dict:
                 loose.append((worth, len(own), own))
         return worth
 
-    walk(w, [], False, float("inf"))
+    walk(w, [], False, float("inf"), True)
     best = max([m[0] for m in mains] + [x[0] for x in loose] + [0])
-    for found in (mains, loose, same):
-        found.clear()
-    walk(w, [], False, max((w[CHARS] - w[LINKS]) / 2, LARGE * best))
+    large = max((w[CHARS] - w[LINKS]) / 2, LARGE * best)
+    for trust in (True, False):
+        for found in (mains, loose, same):
+            found.clear()
+        differs[:] = 0, 0
+        walk(w, [], False, large, trust)
+        if differs[0] >= differs[1]:
+            break
     if mains:
         inner = [m for m in mains if m[2][-1].startswith("article")] or mains
         return {"region": max(inner)[2], "same": []}
@@ -406,7 +418,9 @@ def infer_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rule": [json.dumps(rule_of(join(pdf)), ensure_ascii=False)]})
 
-    made = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(infer, "host string, wrapper binary")
+    # equal pages once; sorted, so that the order does not depend on the shuffle
+    once = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.sha2(html_col, 256).alias("digest")).dropDuplicates(["host", "digest"])
+    made = once.sortWithinPartitions("host", "digest").select("host", "html").mapInArrow(infer, "host string, wrapper binary")
     salted = made.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     merged = salted.groupBy("host", "salt").applyInPandas(partial, "host string, wrapper binary")
     return merged.groupBy("host").applyInPandas(last, "host string, rule string")

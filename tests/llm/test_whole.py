@@ -52,3 +52,15 @@ def test_articles_below_noise_named_wrappers(spark):
 def test_comments_stay_noise():
     page = "<body><div class=post><p>The text of the post itself.</p></div><div id=comments><article>I say this of it</article><article>And I say that of it</article></div></body>"
     assert HX.main_text(page, HX.rule_of(HX.wrapper_of(HX.parse(page)))) == HX.main_text(page) == "The text of the post itself."
+
+
+def test_copies_and_recrawls_keep_their_text(spark):
+    page = lambda day, text: f"<html><body><div class=top>Site</div><div class=post><h2>The title</h2><p>{text}</p><div class=date>Seen on day {day}</div></div></body></html>"
+    story = "One long paragraph that is the same in each copy of the page."
+    copies = [("http://c.example/a", page(1, story))] * 6
+    recrawls = [("http://r.example/a", page(i, story)) for i in range(6)]
+    few = [("http://f.example/a", page(1, story))] * 4 + [("http://f.example/b", page(2, story + " With a longer end of its own."))]
+    other = [(f"http://o.example/{i}", page(i, f"The text {i} has words of its own, {i} times more than the template.")) for i in range(6)]
+    got = texts_of(spark, copies + recrawls + few + other)
+    assert all(story in t and "The title" in t for t in got[:17])
+    assert all("words of its own" in t and "Site" not in t and "The title" not in t for t in got[17:])
