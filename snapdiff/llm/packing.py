@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,25 +32,54 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
 
 
+# How the tokenizer whose texts can be cut at white space normalises and splits them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-&(-/:-@\[-^`{-~]+"  # no apostrophe: it starts contractions
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+_ALPHABET = {**{b: b for b in _PLAIN}, **{b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}}
+
+
+def _ids(values: list[int]) -> bytes:
+    return np.array(values, "<u4").tobytes()
+
+
 class Stems(dict):
-    """Piece of text -> its ids, as little-endian 32-bit bytes; forgets everything past ``limit`` pieces."""
+    """Piece of text -> its ids, as little-endian 32-bit bytes; forgets everything past ``limit`` pieces.
+
+    Letters that are composed already and have one lower-case letter each, or ASCII punctuation,
+    are one word of the model; everything else goes through the whole tokenizer.
+    """
 
     limit = 1_000_000
+    word = re.compile(f"{_LETTERS}|{_MARKS}")
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        first, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        split = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT} and [r.get("type") for r in rest] == ["ByteLevel"]
+        no_space = not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") or t["lstrip"] or t["rstrip"] or t["normalized"] for t in made["added_tokens"])
+        self.divides = split and no_space and made["normalizer"] == NORMALIZER and made["post_processor"] is None
+        self.starts = {t["content"][:2] for t in made["added_tokens"]}  # their names have a case
 
     def __missing__(self, text: str) -> bytes:
-        value = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.word.fullmatch(text):
+            value = _ids([t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_ALPHABET))])
+        else:
+            value = _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(text) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -60,22 +90,21 @@ class Stems(dict):
 class Chunks(dict):
     """Text between ASCII white space -> its ids.
 
-    The tokenizer cuts texts at white space, and between letters and ASCII punctuation, and lower-cases
-    them; so a text's ids are those of its chunks in a row, and letters with punctuation after them
-    are looked up apart: fewer different pieces, each encoded once.
+    The tokenizer cuts texts at white space and lower-cases them, so a text's ids are those of its
+    chunks in a row. Letters with punctuation after them are looked up apart, as the tokenizer
+    cuts there too: fewer different pieces, each encoded once.
     """
 
     limit = 500_000
-    parts = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")  # punctuation but for the apostrophe, which starts contractions
+    parts = re.compile(f"({_LETTERS})({_MARKS})")
 
     def __init__(self, path: str):
         super().__init__()
         self.stems = Stems(path)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        both = self.parts.fullmatch(text)
-        value = self.stems[both[1]] + self.stems[both[2]] if both else self.stems[text]
+    def __missing__(self, chunk: str) -> bytes:
+        both = self.parts.fullmatch(chunk)
+        value = self.stems[both[1]] + self.stems[both[2]] if both else self.stems[chunk]
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -92,12 +121,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(raw: bytes, path: str) -> bytes:
-    """Ids of a text, as little-endian 32-bit bytes."""
+def token_ids(texts: pa.StringArray, path: str) -> list[np.ndarray]:
+    """Ids of each text; each different chunk of the texts is looked up once.
+
+    A tokenizer that cuts otherwise gets whole texts. Letters are lower-cased before the look-up,
+    but in texts with combining marks, which compose first, or names of special tokens.
+    """
     if path not in _chunks:
         _chunks[path] = Chunks(path)
-    low = raw if b"<|" in raw else raw.lower()  # names of special tokens have a case
-    return b"".join(map(_chunks[path].__getitem__, low.split()))
+    own = _chunks[path]
+    if not own.stems.divides:
+        return [np.frombuffer(_ids(own.stems.tokenizer.encode(t, add_special_tokens=False).ids), "<u4") for t in texts.to_pylist()]
+    cased = pc.match_substring_regex(texts, "|".join(["[\u0300-\u036f]", *map(re.escape, sorted(own.stems.starts))]))
+    lists = pc.ascii_split_whitespace(pc.if_else(cased, texts, pc.ascii_lower(texts)))
+    words = lists.flatten().dictionary_encode()
+    found = list(map(own.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    table, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    at = words.indices.to_numpy()
+    lengths = sizes[at]
+    ends = np.cumsum(lengths)
+    starts = np.cumsum(sizes) - sizes
+    ids = table[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts take about ``most_bytes``, one at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -107,17 +161,17 @@ def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, capaci
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            # a few documents at a time, so that their ids stay small in memory
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, 1):  # a few documents at a time, so that their ids stay small in memory
                 rows = []
-                for doc, raw in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    ids = token_bytes(raw or b"", path) + end
-                    for i, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[start : start + 4 * capacity]
-                        rows.append((doc, i, start // 4, len(piece) // 4, zlib.crc32(piece), piece)[: len(names)])
+                texts = pc.fill_null(some.column(1).cast(pa.string()), "")
+                for doc, ids in zip(some.column(0).to_pylist(), token_ids(texts, path), strict=True):
+                    for i, start in enumerate(range(0, len(ids) + 1, capacity)):
+                        piece = ids[start : start + capacity]
+                        last = len(piece) < capacity
+                        size, raw = len(piece) + last, (np.concatenate([piece, end]) if last else piece).tobytes()
+                        rows.append((doc, i, start, size, zlib.crc32(raw), raw)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -275,5 +329,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, capa
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as bytes, if asked)."""
     pieces = stored(token_pieces(documents, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     placed = pack(pieces.select("pid", "length"), capacity, **options).withColumnRenamed("pid", "p")
-    out = pieces.join(placed, F.col("pid") == F.col("p"))
+    out = pieces.join(placed, F.col("pid") == F.col("p"), "left")
+    placed_id = F.when(F.col("sequence_id").isNull(), F.raise_error(F.lit("a piece was not placed"))).otherwise(F.col("sequence_id"))
+    out = out.withColumn("sequence_id", placed_id)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

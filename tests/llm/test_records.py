@@ -55,6 +55,29 @@ def test_pieces_and_places(spark):
     assert PK.pack_documents(docs(spark, EDGES).limit(0)).count() == 0
 
 
+_PIECES = ["a", "B", "I", "K", "é", "Ü", "ß", "ÿ", "İ", "ı", "ſ", "ŉ", "ǅ", "\u212a", "\u0958", "\u0915\u093c", "\u0338", "\u0307", "\u0301", "\u200d", "!", ".", "'", "'s", "#", "0", "½", " ", "\t", "\x1c", "\x85", "\u00a0", "中", "한", "\U0001f600", "<|", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PIECES), max_size=8).map("".join), min_size=1, max_size=20))
+def test_ids_are_those_of_the_tokenizer(texts):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PK.default_tokenizer())
+    assert [x.tolist() for x in PK.token_ids(pa.array(texts, pa.string()), PK.default_tokenizer())] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words, İ!", "", "a\nb"]
+    assert [x.tolist() for x in PK.token_ids(pa.array(texts), path)] == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_islands_pack_tightly(spark):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 900, 3000).tolist()
