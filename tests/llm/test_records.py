@@ -216,6 +216,22 @@ def test_vectors_equal_brute_force(spark):
     audit = ED.audit(v, out, every=5).agg({"n_true": "sum", "n_links": "sum"}).first()
     assert audit["sum(n_links)"] >= 0.9 * audit["sum(n_true)"] > 0
     assert best and ED.near_duplicates(v.limit(0)).count() == 0
+    assert ED.audit(v.limit(0), out).count() == 0
+
+
+def test_large_group_of_near_copies_keeps_its_links(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    near = base + rng.normal(size=(2000, 32)) * 0.08 * np.linalg.norm(base) / math.sqrt(32)
+    rest = rng.normal(size=(600, 32))
+    x = np.concatenate([near, rest]).astype(np.float32)
+    v = spark.createDataFrame([(i, a.tolist(), 1) for i, a in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in ED.near_duplicates(v, shard_vectors=50, block_vectors=500).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (u @ u.T >= 0.98).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() > 10**6
+    assert len({got[i].component_id for i in range(2000)}) == 1
 
 
 # ---- personal data
