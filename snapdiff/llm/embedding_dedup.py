@@ -43,6 +43,7 @@ from .graph import components
 from .storage import stored
 
 NONE = np.int64(-1)
+BROADCAST_ROWS = 500_000  # sides of a join with more counted rows are shuffled
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -218,10 +219,16 @@ def spread_out(c: np.ndarray, apart: float) -> np.ndarray:
 _SHARD = ["label", "dim", "shard"]
 
 
+def _side(shards: DataFrame) -> DataFrame:
+    """One row per shard, for joins: broadcast while they are few, so that no shard's members are dealt by it."""
+    kept = stored(shards, "sizes")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def _divide(members: DataFrame, least: float, shard_vectors: int, overlap: int, fan_out: int, apart: float, chunk: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """(small, divided): members of shards that are small enough or a group of near copies, and of the new shards of the others."""
     sizes = members.groupBy(*_SHARD).agg(F.count("*").alias("n"), F.count_if("tight").alias("t"))
-    large = sizes.where((F.col("n") > 4 * shard_vectors) & (2 * F.col("t") < F.col("n"))).drop("t")
+    large = _side(sizes.where((F.col("n") > 5 * shard_vectors) & (2 * F.col("t") < F.col("n"))).drop("t"))
     own = members.join(large, _SHARD).withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.ceil(F.col("n") / chunk)).cast("int"))
     # a vector is a centre if its hash is in the lowest share
     share = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 40)) / float(1 << 40)
@@ -254,7 +261,7 @@ def _divide(members: DataFrame, least: float, shard_vectors: int, overlap: int,
 
     made = own.groupBy(*_SHARD, "chunk").cogroup(centres.groupBy(*[f"c_{c}" for c in (*_SHARD, "chunk")])).applyInPandas(assign, "label long, dim int, shard long, k long, times long, vec binary, tight boolean, done boolean")
     made = stored(made, "shards")
-    whole = members.join(large.select(*_SHARD), _SHARD, "left_anti").select(*_SHARD, "k", "times", "vec", "tight")
+    whole = members.join(large.drop("n"), _SHARD, "left_anti").select(*_SHARD, "k", "times", "vec", "tight")
     return whole.unionByName(made.where("done").drop("done")), made.where("NOT done").drop("done")
 
 
@@ -272,7 +279,7 @@ def _shards(classes: DataFrame, least: float, shard_vectors: int, overlap: int,
 
 def _groups(members: DataFrame, block_vectors: int) -> DataFrame:
     """Rows of the groups that are searched: one per shard, or one per pair of its blocks (i, j)."""
-    subs = members.groupBy(*_SHARD).agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("subs"))
+    subs = _side(members.groupBy(*_SHARD).agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("subs")))
     lists = members.groupBy("k").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
     each = members.join(subs, _SHARD).join(lists, "k").withColumn("sub", F.pmod(F.xxhash64("k", F.lit(3)), F.col("subs")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda o: F.struct(F.least("sub", o).alias("i"), F.greatest("sub", o).alias("j")))
@@ -335,7 +342,7 @@ def padded_lists(lists) -> np.ndarray:
     return out
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_vectors: int = 400, overlap: int = 3, fan_out: int = 1024, apart: float = 0.9, block_vectors: int = 1500, degree: int = 20, alpha: float = 1.2) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_vectors: int = 100, overlap: int = 3, fan_out: int = 1024, apart: float = 0.9, block_vectors: int = 1500, degree: int = 20, alpha: float = 1.2) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept (vec_id = component_id)."""
     rows, classes = _classes(vectors, id_col, vector_col, label_col)
     members = _shards(classes, least, shard_vectors, overlap, fan_out, apart)

@@ -195,7 +195,7 @@ def test_vectors_equal_brute_force(spark):
     rows += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] * 16, 1), (1004, [None] * 16, 1), (1005, rows[0][1], None), (1006, [1.0, 2.0], 1), (0, rows[0][1], 0)]
     v = spark.createDataFrame([(*r, 9, True) for r in rows], "vec_id long, embedding array<float>, label int, rep long, kept boolean")
     for block in (3000, 25):
-        out = ED.near_duplicates(v, shard_vectors=60, block_vectors=block)
+        out = ED.near_duplicates(v, shard_vectors=20, block_vectors=block)
         got = sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect())
         best = list(range(len(rows)))
         n = [0] * len(rows)
