@@ -306,7 +306,7 @@ def _join_large(large: DataFrame, links: DataFrame, percent: int, block_items: i
     return links.unionByName(stored(_join_blocks(held.select(*columns).unionByName(asked.select(*columns)), percent), "links"))
 
 
-def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", order_buckets: int = 1 << 22, block_items: int = 2_000_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", order_buckets: int = 1 << 22, block_items: int = 250_000) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links.
 
     Links: Jaccard similarity of the n-gram sets >= ``percent`` / 100.
@@ -349,8 +349,18 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
 
 
 def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents, all columns, with one row left of each component; rows with a null id stay."""
+    """Documents, all columns, with one row left of each component; rows with a null id stay.
+
+    Of rows that share the id that stays, the one whose columns have the least hash is left.
+    """
     found = jaccard_components(documents, n, percent, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    with_id = documents.join(kept, F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(documents.where(F.col(id_col).isNull()))
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
+    kept = stored(kept, "kept")
+    own = F.col(id_col).cast("long") == F.col("__kept_id")
+    out = documents.join(kept.where("__rows = 1"), own, "left_semi").unionByName(documents.where(F.col(id_col).isNull()))
+    several = kept.where("__rows > 1")
+    if several.limit(1).count():
+        row = F.struct(*[F.col(c) for c in documents.columns])
+        least = documents.join(several, own, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("__row"))
+        out = out.unionByName(least.select("__row.*"))
+    return out

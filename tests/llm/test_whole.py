@@ -64,3 +64,14 @@ def test_copies_and_recrawls_keep_their_text(spark):
     got = texts_of(spark, copies + recrawls + few + other)
     assert all(story in t and "The title" in t for t in got[:17])
     assert all("words of its own" in t and "Site" not in t and "The title" not in t for t in got[17:])
+
+
+def test_the_row_left_of_an_id_is_always_the_same(spark):
+    from snapdiff.llm import jaccard_join as JJ
+
+    rows = [(1, f"one two three four five six seven eight nine ten {k}", k) for k in range(6)] + [(2, "other words", 0), (None, "x", 1), (3, None, 2), (3, None, 2)]
+    left = []
+    for order in (rows, rows[::-1]):
+        out = JJ.drop_near_copies(spark.createDataFrame(order, "doc_id long, text string, n_chars int").repartition(3))
+        left.append(sorted(out.collect(), key=str))
+    assert left[0] == left[1] and sorted(str(r.doc_id) for r in left[0]) == ["1", "2", "3", "None"]
