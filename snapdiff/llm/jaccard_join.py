@@ -14,7 +14,7 @@
    and every set walks it: overlaps of a path are counted once for all sets below, and a subtree
    is left when its remaining lengths cannot reach the threshold, or when all sets in it already
    belong to the walker's component. Similarity is exact at the leaves.
-5. A cluster over ``block_items`` n-grams is cut into blocks: trees per block, then a few pivots
+5. A cluster over ``block_items`` n-grams or ``block_rows`` sets is cut into blocks: trees per block, then a few pivots
    against all blocks, then every set outside the cluster's main component against all blocks.
    So no cluster is ever in one task, and no link between different components is lost.
 
@@ -306,7 +306,7 @@ def _join_large(large: DataFrame, links: DataFrame, percent: int, block_items: i
     return links.unionByName(stored(_join_blocks(held.select(*columns).unionByName(asked.select(*columns)), percent), "links"))
 
 
-def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", order_buckets: int = 1 << 22, block_items: int = 250_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", order_buckets: int = 1 << 22, block_items: int = 250_000, block_rows: int = 400) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links.
 
     Links: Jaccard similarity of the n-gram sets >= ``percent`` / 100.
@@ -327,7 +327,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     near = components(stars)
 
     sized = near.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node")
-    totals = sized.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / block_items), F.lit(1)).cast("int").alias("subs"))
+    totals = sized.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / block_items), F.ceil(F.count("*") / block_rows)).cast("int").alias("subs"))
     clusters = stored(sized.join(totals, "comp").select(F.col("node").alias("id"), F.col("comp").alias("cluster"), "subs", "digest"), "clusters")
     blocks = _with_sets(docs, clusters, n).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
     base = blocks.select("cluster", "sub", F.lit(0).alias("chunk"), "id", F.col("id").alias("comp"), F.lit(True).alias("member"), "grams")
