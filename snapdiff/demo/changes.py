@@ -229,3 +229,66 @@ def colocation_flag(s, d):
 @query("coloc_leader", f"SELECT p_brand AS keyspace_name, CAST(min(p_partkey) AS VARCHAR) AS tablet_id, 's' || CAST({_N} % 3 AS VARCHAR) AS leader_addr FROM part WHERE {_N} % 2 = 0 GROUP BY p_brand")
 def coloc_leader(s, d):
     return E.coloc_leader(*_colocated(s, d)).select("keyspace_name", "tablet_id", "leader_addr")
+
+
+def views(s, d):
+    """Masters as two hosts see them: h1 as they are, h2 all of them as followers at first and at last as they are."""
+    m = masters(s, d)
+    one = m.withColumn("hostname_port", F.lit("h1"))
+    two = m.withColumns({"hostname_port": F.lit("h0"), "role": F.when(F.col("snapshot_id") == 0, "FOLLOWER").otherwise(F.col("role"))})
+    return one.unionByName(two)
+
+
+def view_leaders(s, d):
+    """Both hosts answer; h1 comes first where there are events, which is everywhere."""
+    seen = A.last_events(s, d).groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(F.struct(F.lit("h1").alias("h"), F.lit(0).alias("pos")), F.struct(F.lit("h0").alias("h"), F.lit(1).alias("pos"))))
+    return seen.select("snapshot_id", each.alias("l")).select("snapshot_id", F.col("l.h").alias("hostname_port"), F.lit("OK").alias("status"), F.col("l.pos").alias("pos"))
+
+
+def health_leaders(s):
+    return s.createDataFrame([(0, "m1:7000", "OK"), (1, "m1:7000", "OK"), (1, "u_other", "")], "snapshot_id int, hostname_port string, status string")
+
+
+VIEWS = _M
+LED = f"SELECT * FROM (SELECT {kind('b.role = e.role AND b.zone = e.zone', 'role')} AS change, permanent_uuid FROM {full('m', 'permanent_uuid')}) WHERE change IS NOT NULL"
+
+
+@query("masters_diff_led", f"WITH {VIEWS} {LED}")
+def masters_diff_led(s, d):
+    return G.masters_diff(views(s, d), 0, 1, view_leaders(s, d)).select("change", "permanent_uuid")
+
+
+_RENAMED = f"{LAST}, kn AS (SELECT snapshot_id, hostname_port AS keyspace_id, CASE WHEN status <> 'error' THEN status END AS name FROM le)"
+
+
+@query("keyspace_renames", f"WITH {_RENAMED} SELECT CASE WHEN b.keyspace_id IS NULL THEN '+' WHEN e.keyspace_id IS NULL THEN '-' ELSE '=' END AS change, coalesce(b.keyspace_id, e.keyspace_id) AS keyspace_id, CASE WHEN b.keyspace_id IS NULL OR e.keyspace_id IS NULL THEN coalesce(e.name, b.name) ELSE coalesce(b.name, '') || '->' || coalesce(e.name, '') END AS name FROM (SELECT * FROM kn WHERE snapshot_id = 0) b FULL JOIN (SELECT * FROM kn WHERE snapshot_id = 1) e ON b.keyspace_id = e.keyspace_id WHERE b.keyspace_id IS NULL OR e.keyspace_id IS NULL OR b.name IS DISTINCT FROM e.name")
+def keyspace_renames(s, d):
+    """Names of keyspaces that come, go and change, nulls included."""
+    le = A.last_events(s, d)
+    ks = le.select("snapshot_id", F.col("hostname_port").alias("keyspace_id"), F.when(F.col("status") != "error", F.col("status")).alias("keyspace_name"), F.lit("ycql").alias("keyspace_type"))
+    none = ks.select("snapshot_id", F.concat("keyspace_id", F.lit("t")).alias("table_id"), "keyspace_id", F.lit("t").alias("table_name"), F.lit("RUNNING").alias("state"))
+    return E.keyspace_diff(ks, none, 0, 1).select("change", "keyspace_id", "name")
+
+
+_TREE = f"""{ent_sql(30, _DATES)}, {health_sql(_DATES)}, n AS (SELECT snapshot_id, keyspace_id FROM tb GROUP BY ALL),
+alltb AS (SELECT snapshot_id, p_brand || '.' || p_type AS table_id, p_brand AS keyspace_id, p_type AS table_name FROM (SELECT DISTINCT p_brand, p_type FROM part), dts)"""
+
+
+@query("entities_tree", f"""WITH {_TREE} SELECT DISTINCT snapshot_id, 'keyspace' AS kind, keyspace_id AS keyspace_name, '' AS table_name, '' AS tablet_id, '' AS server_uuid, '' AS marks FROM alltb
+UNION ALL SELECT snapshot_id, 'table', keyspace_id, table_name, '', '', CASE WHEN EXISTS (SELECT 1 FROM tl WHERE tl.snapshot_id = alltb.snapshot_id AND tl.table_id = alltb.table_id) THEN '' ELSE 'COLOCATED' END FROM alltb
+UNION ALL SELECT tl.snapshot_id, 'tablet', tb.keyspace_id, tb.table_name, tl.tablet_id, '', concat_ws(' ', tl.state, CASE WHEN few.tablet_id IS NOT NULL THEN 'UNDER REPLICATED' END) FROM tl JOIN tb USING (snapshot_id, table_id) LEFT JOIN few ON few.snapshot_id = tl.snapshot_id AND few.tablet_id = tl.tablet_id
+UNION ALL SELECT rp.snapshot_id, 'replica', tb.keyspace_id, tb.table_name, rp.tablet_id, server_uuid, concat_ws(' ', type, CASE WHEN server_uuid = leader THEN 'LEADER' END, CASE WHEN dead.addr IS NOT NULL THEN 'DEAD' END) FROM rp JOIN tl USING (snapshot_id, tablet_id) JOIN tb USING (snapshot_id, table_id) LEFT JOIN dead ON dead.snapshot_id = rp.snapshot_id AND dead.addr = rp.addr""")
+def entities_tree(s, d):
+    """All tables that parts name; those without order lines have no tablets."""
+    h = A.hierarchy(s, d, 30, _DATES)
+    return E.entities_tree(h["keyspaces"], all_tables(s, d), h["tablets"], h["replicas"], A.health(s, d))
+
+
+@query("system_keyspaces", "SELECT r_name AS keyspace_name, r_regionkey < 3 AS system FROM region")
+def system_keyspaces(s, d):
+    from ..functions.columns import SYSTEM_KEYSPACES, is_system_keyspace
+
+    ids = F.array(*[F.lit(x) for x in SYSTEM_KEYSPACES])
+    key = F.when(F.col("r_regionkey") < 3, F.get(ids, F.col("r_regionkey").cast("int"))).otherwise(F.lpad(F.hex("r_regionkey"), 32, "0a"))
+    return A.table(s, d, "region").select(F.col("r_name").alias("keyspace_name"), is_system_keyspace(key).alias("system"))

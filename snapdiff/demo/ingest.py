@@ -22,9 +22,21 @@ def at() -> Column:
 
 
 def bodies(df: DataFrame, keys: list[Column], row: Column, wrap) -> DataFrame:
-    """One payload per key: its rows, in order, wrapped to a body."""
+    """One payload per key, host and capture: its rows, in order, wrapped to a body.
+
+    The last of ``keys`` numbers the captures of a host, so that a payload has a bounded number of rows.
+    """
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return g.select(F.lit(0).alias("snapshot_id"), F.lit("demo").alias("dataset"), "hostname_port", at().alias("captured_at"), wrap(F.col("rows")).alias("body"))
+    when = at() + F.make_dt_interval(secs=F.col("capture"))
+    return g.select(F.lit(0).alias("snapshot_id"), F.lit("demo").alias("dataset"), "hostname_port", when.alias("captured_at"), wrap(F.col("rows")).alias("body"))
+
+
+BLOCK = 7000  # keys a capture spans: 1,000 rows for each of seven hosts
+
+
+def captured(key: str, host: Column | None = None) -> list[Column]:
+    """The host and the capture of the row with this key; rows of different keys are in different captures when ``BLOCK`` apart."""
+    return [by_host(key) if host is None else host, F.floor(F.col(key).cast("long") / BLOCK).alias("capture")]
 
 
 def by_host(n: str, m: int = 7) -> Column:
@@ -59,7 +71,7 @@ def metric_payloads(s, d) -> DataFrame:
         F.concat(head, F.lit(',"value":true}')),
     ]
     row = F.concat(F.lit('{"type":"'), F.col("metric_type"), F.lit('","id":"'), F.col("metric_id"), F.lit('","attributes":{"namespace_name":"ns"},"metrics":['), F.concat_ws(",", *shapes), F.lit("]}"))
-    return bodies(m, [F.col("hostname_port")], row, lambda r: F.concat(F.lit("["), F.array_join(r, ","), F.lit("]")))
+    return bodies(m, captured("metric_id", F.col("hostname_port")), row, lambda r: F.concat(F.lit("["), F.array_join(r, ","), F.lit("]")))
 
 
 @query("metrics_ingest", f"""WITH {EV}, k(kind) AS (VALUES ('value'), ('countsum'), ('countsumrows'), ('rejected_u64'), ('rejected_bool'))
@@ -69,7 +81,7 @@ def metrics_ingest(s, d):
 
 
 def order_payloads(s, d, row: Column, wrap) -> DataFrame:
-    return bodies(A.table(s, d, "orders"), [by_host("o_orderkey")], row, wrap)
+    return bodies(A.table(s, d, "orders"), captured("o_orderkey"), row, wrap)
 
 
 @query("statements_ingest", f"SELECT {host_sql('o_orderkey')}, o_orderkey AS query_id, o_orderpriority || chr(10) || '\"x\"' AS query, o_custkey AS calls, o_totalprice AS total_time, o_custkey * 2 AS rows_ FROM orders")
@@ -84,7 +96,7 @@ def entities_ingest(s, d):
     tablet = F.struct(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").cast("string").alias("tablet_id"), F.lit("RUNNING").alias("state"), F.col("own").alias("replicas"))
     ks = F.array(F.struct(F.lit("k1").alias("keyspace_id"), F.lit("db").alias("keyspace_name"), F.lit("ysql").alias("keyspace_type")))
     wrap = lambda r: as_json(F.struct(ks.alias("keyspaces"), F.transform(r, lambda x: F.struct(x["table_id"].alias("table_id"), F.lit("k1").alias("keyspace_id"))).alias("tables"), r.alias("tablets")))
-    e = J.entities(bodies(o, [by_host("o_orderkey")], tablet, wrap))
+    e = J.entities(bodies(o, captured("o_orderkey"), tablet, wrap))
     return e["replicas"].join(e["tablets"].select("hostname_port", "tablet_id", "table_id"), ["hostname_port", "tablet_id"]).select("hostname_port", "table_id", "tablet_id", "type", "server_uuid")
 
 
@@ -94,14 +106,14 @@ def masters_ingest(s, d):
     at = lambda h, p: F.struct(h.alias("host"), p.alias("port"))
     reg = F.when(F.col("c_custkey") % 3 != 0, F.struct(F.array(at(F.col("c_name"), F.lit(7100)), at(F.lit("b"), F.col("c_nationkey"))).alias("private_rpc_addresses"), F.struct(F.concat(F.lit("z"), F.col("c_nationkey").cast("string")).alias("placement_zone")).alias("cloud_info")))
     row = F.struct(F.struct(F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_name")).alias("permanent_uuid"), F.col("c_custkey").alias("instance_seqno")).alias("instance_id"), reg.alias("registration"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_mktsegment")).alias("role"))
-    return J.masters(bodies(c, [by_host("c_custkey")], row, lambda r: as_json(F.struct(r.alias("masters"))))).select("hostname_port", "permanent_uuid", "instance_seqno", "zone", "role", "rpc_addresses")
+    return J.masters(bodies(c, captured("c_custkey"), row, lambda r: as_json(F.struct(r.alias("masters"))))).select("hostname_port", "permanent_uuid", "instance_seqno", "zone", "role", "rpc_addresses")
 
 
 def server_payloads(s, d) -> DataFrame:
     path = F.struct(F.concat(F.lit("/d"), F.col("c_nationkey").cast("string")).alias("path"), (F.col("c_custkey") + 1).alias("space_used"), ((F.col("c_custkey") + 1) * 3).alias("total_space_size"))
     row = F.struct(F.col("c_name").alias("k"), F.struct(F.col("c_mktsegment").alias("status"), F.col("c_custkey").alias("uptime_seconds"), F.array(path).alias("path_metrics")).alias("v"))
     wrap = lambda r: F.concat(F.lit('{"":'), as_json(F.map_from_arrays(F.transform(r, lambda x: x["k"]), F.transform(r, lambda x: x["v"]))), F.lit("}"))
-    return bodies(A.table(s, d, "customer"), [by_host("c_custkey")], row, wrap)
+    return bodies(A.table(s, d, "customer"), captured("c_custkey"), row, wrap)
 
 
 @query("tserver_ingest", f"SELECT {host_sql('c_custkey')}, c_name AS server, c_mktsegment AS status, c_custkey AS uptime_seconds FROM customer")
@@ -118,7 +130,7 @@ def path_usage(s, d):
 @query("vars_ingest", f"SELECT {host_sql('p_partkey')}, p_name AS name, p_type AS value, p_brand AS var_type FROM part")
 def vars_ingest(s, d):
     row = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("value"), F.col("p_brand").alias("type"))
-    return J.vars_(bodies(A.table(s, d, "part"), [by_host("p_partkey")], row, lambda r: as_json(F.struct(r.alias("flags"))))).select("hostname_port", "name", "value", "var_type")
+    return J.vars_(bodies(A.table(s, d, "part"), captured("p_partkey"), row, lambda r: as_json(F.struct(r.alias("flags"))))).select("hostname_port", "name", "value", "var_type")
 
 
 def single(df: DataFrame, host: Column, body: Column) -> DataFrame:
@@ -151,8 +163,8 @@ def rpc_payloads(s, d) -> DataFrame:
     detail = F.struct(F.when(F.col("o_custkey") % 2 == 0, F.array(statement(0), statement(1))).otherwise(F.array(statement(0))).alias("call_details"))
     call = F.struct(F.col("o_orderkey").alias("elapsed_millis"), detail.alias("cql_details"))
     peer = F.struct(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("remote_ip"), F.lit("OPEN").alias("state"), F.when(F.col("o_orderpriority") == "1-URGENT", F.array(call)).alias("calls_in_flight"))
-    even = bodies(o.where("o_orderkey % 2 = 0"), [by_host("o_orderkey")], back, lambda r: as_json(F.struct(r.alias("connections"))))
-    odd = bodies(o.where("o_orderkey % 2 <> 0"), [F.concat(F.lit("t"), by_host("o_orderkey")).alias("hostname_port")], peer, lambda r: as_json(F.struct(r.alias("inbound_connections"))))
+    even = bodies(o.where("o_orderkey % 2 = 0"), captured("o_orderkey"), back, lambda r: as_json(F.struct(r.alias("connections"))))
+    odd = bodies(o.where("o_orderkey % 2 <> 0"), captured("o_orderkey", F.concat(F.lit("t"), by_host("o_orderkey")).alias("hostname_port")), peer, lambda r: as_json(F.struct(r.alias("inbound_connections"))))
     return even.unionByName(odd)
 
 
@@ -187,7 +199,7 @@ def prometheus_ingest(s, d):
     head = F.when(n == 0, "# TYPE node_a_total counter\n").when(n == 1, "# TYPE node_g gauge\n").when(n == 2, "# TYPE node_u untyped\n").otherwise("# TYPE node_s summary\n")
     k = F.col("c_custkey").cast("string")
     line = F.struct(F.col("c_custkey").alias("k"), F.concat(head, name, F.lit('{seg="z'), F.col("c_mktsegment"), F.lit('",id="'), k, F.lit('"} '), k).alias("line"))
-    p = bodies(A.table(s, d, "customer"), [by_host("c_custkey")], line, lines)
+    p = bodies(A.table(s, d, "customer"), captured("c_custkey"), line, lines)
     return X.prometheus_samples(p).select("name", "labels", "exporter_type", "value")
 
 
@@ -195,7 +207,7 @@ def prometheus_ingest(s, d):
 def gflags_ingest(s, d):
     k = F.col("p_partkey").cast("string")
     line = F.struct(F.concat(F.lit("--flag_"), k, F.lit("="), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat("p_type", F.lit("="), "p_brand"))).alias("line"))
-    return X.gflags(bodies(A.table(s, d, "part"), [by_host("p_partkey")], line, lines)).select("hostname_port", "name", "value")
+    return X.gflags(bodies(A.table(s, d, "part"), captured("p_partkey"), line, lines)).select("hostname_port", "name", "value")
 
 
 def log_payloads(s, d, odd: bool = True) -> DataFrame:
@@ -203,7 +215,7 @@ def log_payloads(s, d, odd: bool = True) -> DataFrame:
     sev = F.when(F.col("event_type") == "error", "E").when(F.col("event_type") == "purchase", "W").when(F.col("event_type") == "signup", "F").otherwise("I")
     head = F.concat(sev, F.date_format("ts", "MMdd HH:mm:ss.SSSSSS"), F.lit(" "), (F.col("event_id") % 9).cast("string"), F.lit(" f"), (F.col("user_id") % 3).cast("string"), F.lit(".cc:1] "), F.col("event_type"), F.lit(" &amp; "), F.col("event_id").cast("string"))
     line = F.struct("event_id", F.when(F.col("event_id") % 2 == 1, F.concat(head, F.lit("\n  at more"))).otherwise(head).alias("line"))
-    return bodies(ev, [by_host("user_id")], line, lambda r: F.concat(F.lit("<div class='main'><pre>\n"), lines(r), F.lit("</pre></div>")))
+    return bodies(ev, captured("event_id", by_host("user_id")), line, lambda r: F.concat(F.lit("<div class='main'><pre>\n"), lines(r), F.lit("</pre></div>")))
 
 
 _LOG = f"""log AS (SELECT {host_sql('user_id')}, CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'W' WHEN 'signup' THEN 'F' ELSE 'I' END AS severity, ts, event_id % 9 AS tid, 'f' || CAST(user_id % 3 AS VARCHAR) || '.cc:1' AS source,
@@ -262,7 +274,7 @@ def page_of(s, d, name: str, key: str, cells: dict[str, Column], kind: str, tag:
     header = P.SPECS[kind][0]
     row = F.struct(F.col(key).alias("_k"), *[c.alias(f"c{i}") for i, c in enumerate(cells.values())])
     body = lambda r: F.concat(F.lit("<html><body><table><tr><th>other</th></tr><tr><td>1</td></tr></table>"), html(r, header, lambda x: [x[f"c{i}"] for i in range(len(cells))], tag, title), extra(r) if extra else F.lit(""))
-    return H.html_tables(bodies(A.table(s, d, name), [by_host(key)], row, body))
+    return H.html_tables(bodies(A.table(s, d, name), captured(key), row, body))
 
 
 def text(c: str) -> Column:
@@ -288,14 +300,15 @@ def memtrackers(s, d):
     return P.memtrackers(page_of(s, d, "part", "p_partkey", cells, "memtrackers")).select("hostname_port", "id", "current_bytes")
 
 
-@query("threads_fill", f"SELECT {host_sql('p_partkey')}, p_name AS thread_name, last_value(CASE WHEN p_partkey % 3 = 0 OR p_partkey = lo THEN 'main;f' || CAST(p_partkey AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) AS stack FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_partkey % 7) AS lo FROM part)")
+@query("threads_fill", f"SELECT {host_sql('p_partkey')}, p_name AS thread_name, last_value(CASE WHEN p_partkey % 3 = 0 OR p_partkey = lo THEN 'main;f' || CAST(p_partkey AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY p_partkey % 7, p_partkey // 7000 ORDER BY p_partkey) AS stack FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_partkey % 7, p_partkey // 7000) AS lo FROM part)")
 def threads_fill(s, d):
-    lo = A.table(s, d, "part").groupBy((F.col("p_partkey") % 7).alias("g")).agg(F.min("p_partkey").alias("lo"))
-    t = A.table(s, d, "part").join(lo, F.col("p_partkey") % 7 == F.col("g"))
+    block = F.floor(F.col("p_partkey") / BLOCK)
+    lo = A.table(s, d, "part").groupBy((F.col("p_partkey") % 7).alias("g"), block.alias("b")).agg(F.min("p_partkey").alias("lo"))
+    t = A.table(s, d, "part").join(lo, (F.col("p_partkey") % 7 == F.col("g")) & (block == F.col("b")))
     stack = F.when((F.col("p_partkey") % 3 == 0) | (F.col("p_partkey") == F.col("lo")), F.concat(F.lit("<td rowspan=3>@ 0x1f f"), text("p_partkey"), F.lit(" @ 0x2a main</td>"))).otherwise("")
     row = F.struct("p_partkey", F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>1s</td><td>2s</td><td>3s</td>"), stack, F.lit("</tr>")).alias("line"))
     head = "".join(f"<th>{h}</th>" for h in P.SPECS["threads"][0])
-    body = bodies(t, [by_host("p_partkey")], row, lambda r: F.concat(F.lit(f"<table><tr>{head}<th>Stack</th></tr>"), lines(r), F.lit("</table>")))
+    body = bodies(t, captured("p_partkey"), row, lambda r: F.concat(F.lit(f"<table><tr>{head}<th>Stack</th></tr>"), lines(r), F.lit("</table>")))
     return P.threads(H.html_tables(body)).select("hostname_port", "thread_name", "stack")
 
 
@@ -376,3 +389,89 @@ def tablet_detail(s, d):
 @query("sst_files", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, s.store, p_partkey || '.sst' AS name, s.n AS total_size, CAST(p_size AS BIGINT) AS base_size FROM part, (VALUES ('regular', 10::BIGINT), ('intents', 20::BIGINT)) s(store, n)")
 def sst_files(s, d):
     return P.sst_files(P.pre_blocks(tablet_detail_pages(s, d))).select(F.col("hostname_port").alias("tablet_id"), "store", "name", "total_size", "base_size")
+
+
+# ---- parts of table and tablet pages, and reports
+
+
+def raft_pages(s, d) -> DataFrame:
+    """A consensus page per part: state, queue, one watermark and one message."""
+    k = text("p_partkey")
+    body = F.concat(F.lit("<h1>Raft</h1><h2>State</h2><pre>term "), k, F.lit("</pre><h2>Queue overview</h2><pre>ops "), text("p_size"), F.lit("</pre><h3>Watermarks</h3><table><tr><th>Peer</th><th>Watermark</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>{ last: "), k, F.lit(" }</td></tr></table><h3>Messages:</h3><table><tr><th>Entry</th><th>OpId</th><th>Type</th><th>Size</th><th>Status</th></tr><tr><th>0</th><th>1."), k, F.lit("</th><td>WRITE</td><td>"), text("p_size"), F.lit("</td><td>"), F.col("p_type"), F.lit("</td></tr></table>"))
+    return H.html_tables(single(A.table(s, d, "part"), k, body))
+
+
+@query("tablet_consensus", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, i.item, CASE i.item WHEN 'state' THEN 'term ' || p_partkey ELSE 'ops ' || p_size END AS text FROM part, (VALUES ('state'), ('queue_overview')) i(item)")
+def tablet_consensus(s, d):
+    return P.consensus_state(raft_pages(s, d)).select(F.col("hostname_port").alias("tablet_id"), "item", "text")
+
+
+@query("tablet_watermarks", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, p_brand AS peer, '{ last: ' || p_partkey || ' }' AS watermark FROM part")
+def tablet_watermarks(s, d):
+    return P.page(raft_pages(s, d), "watermarks").select(F.col("hostname_port").alias("tablet_id"), "peer", "watermark")
+
+
+@query("tablet_messages", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, '0' AS entry, '1.' || p_partkey AS op_id, 'WRITE' AS type, CAST(p_size AS VARCHAR) AS size, p_type AS status FROM part")
+def tablet_messages(s, d):
+    return P.page(raft_pages(s, d), "messages").select(F.col("hostname_port").alias("tablet_id"), "entry", "op_id", "type", "size", "status")
+
+
+@query("tablet_log_anchors", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, l.line, CASE l.line WHEN 0 THEN 'anchor ' || p_partkey ELSE p_brand END AS text FROM part, (VALUES (0), (1)) l(line)")
+def tablet_log_anchors(s, d):
+    body = F.concat(F.lit("<div><pre>anchor "), text("p_partkey"), F.lit("\n"), F.col("p_brand"), F.lit("\n</pre></div>"))
+    return P.pre_lines(H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), body))).select(F.col("hostname_port").alias("tablet_id"), "line", "text")
+
+
+def table_parts(s, d) -> DataFrame:
+    """A table's page per part: properties, columns, one tablet and one task."""
+    head = lambda kind: F.lit("<table><tr>" + "".join(f"<th>{h}</th>" for h in P.SPECS[kind][0]) + "</tr><tr>")
+    cells = lambda *c: F.concat(*[x for v in c for x in (F.lit("<td>"), v, F.lit("</td>"))], F.lit("</tr></table>"))
+    body = F.concat(F.lit("<table><tr><td>Version:</td><td>1</td></tr></table>"), head("columns"), F.lit("<th>k</th>"), cells(F.lit("0"), F.lit("int")), head("tablets_of_table"), cells(F.lit("x"), F.lit("hash"), text("p_size"), F.lit("Running"), F.lit("false"), F.lit(""), F.lit("LEADER: a")), head("tasks_of_table"), cells(F.lit("Alter"), F.lit("kComplete"), F.lit("1 s ago"), F.lit("2 ms"), F.col("p_type")))
+    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), body))
+
+
+@query("table_tablets", "SELECT CAST(p_partkey AS VARCHAR) AS table_id, 'x' AS tablet_id, CAST(p_size AS VARCHAR) AS split_depth, 'LEADER: a' AS raft_config FROM part")
+def table_tablets(s, d):
+    return P.page(table_parts(s, d), "tablets_of_table").select(F.col("hostname_port").alias("table_id"), "tablet_id", "split_depth", "raft_config")
+
+
+@query("table_tasks", "SELECT CAST(p_partkey AS VARCHAR) AS table_id, 'Alter' AS task_name, 'kComplete' AS state, p_type AS description FROM part")
+def table_tasks(s, d):
+    return P.page(table_parts(s, d), "tasks_of_table").select(F.col("hostname_port").alias("table_id"), "task_name", "state", "description")
+
+
+@query("rpc_report", f"WITH {_RPC} SELECT hostname_port, direction, label, CASE WHEN active THEN elapsed_ms ELSE -1 END AS elapsed_ms FROM (SELECT hostname_port, direction, active, CASE WHEN active THEN label ELSE '' END AS label, elapsed_ms FROM c)")
+def rpc_report(s, d):
+    from ..plans.reports import rpc_report as report
+
+    p = rpc_payloads(s, d)
+    return report(J.connections(p), J.calls(p), details=True).select("hostname_port", "direction", "label", F.coalesce("elapsed_ms", F.lit(-1)).alias("elapsed_ms"))
+
+
+def _lead(s, d) -> DataFrame:
+    names = A.table(s, d, "supplier").where("s_suppkey IN (1, 2)")
+    return names.select(F.lit(0).alias("snapshot_id"), F.col("s_name").alias("hostname_port"), F.lit("OK").alias("status"), (-F.col("s_suppkey")).alias("pos"))
+
+
+@query("health_report", "SELECT s_name AS hostname_port, s_suppkey AS most_recent_uptime FROM supplier WHERE s_suppkey = 2")
+def health_report(s, d):
+    from ..plans.reports import health_report as report
+
+    body = as_json(F.struct(F.col("s_suppkey").alias("most_recent_uptime")))
+    return report(J.health(single(A.table(s, d, "supplier"), F.col("s_name"), body)), _lead(s, d)).select("hostname_port", "most_recent_uptime")
+
+
+@query("config_report", "SELECT s_name AS hostname_port, CAST(s_suppkey AS INTEGER) AS version, '{\"cluster_uuid\":\"u' || s_suppkey || '\",\"version\":' || s_suppkey || '}' AS doc FROM supplier WHERE s_suppkey = 2")
+def config_report(s, d):
+    from ..plans.reports import config_report as report
+
+    body = as_json(F.struct(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("cluster_uuid"), F.col("s_suppkey").alias("version")))
+    return report(J.cluster_config(single(A.table(s, d, "supplier"), F.col("s_name"), body)), _lead(s, d)).select("hostname_port", "version", "doc")
+
+
+@query("tservers_report", "SELECT s_name AS hostname_port, c_name AS server, c_mktsegment AS status FROM customer JOIN supplier ON s_suppkey = 2 WHERE c_custkey % 2 = 0")
+def tservers_report(s, d):
+    from ..plans.reports import tservers_report as report
+
+    views = A.table(s, d, "customer").withColumn("n", (2 - F.col("c_custkey") % 2).cast("long")).join(A.table(s, d, "supplier").select(F.col("s_suppkey").alias("n"), "s_name"), "n")
+    return report(views.select(F.lit(0).alias("snapshot_id"), F.col("s_name").alias("hostname_port"), F.col("c_name").alias("server"), F.col("c_mktsegment").alias("status")), _lead(s, d)).select("hostname_port", "server", "status")

@@ -166,3 +166,25 @@ def sample_gauge_diff(s, d):
     return N.sample_gauge_diff(mark_category(A.samples(s, d)), A.snapshots(s), 0, 1)
 
 
+
+
+@query("statement_totals", f"WITH {EV} SELECT snapshot_id, hostname_port, 'select ' || chr(39) || name || chr(39) AS query, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(cents) AS BIGINT) AS total_time, CAST(sum(k) AS BIGINT) AS rows_ FROM ev GROUP BY ALL")
+def statement_totals(s, d):
+    return N.statement_totals(A.statements(s, d)).drop("captured_at")
+
+
+@query("inferred_units", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'bytes' WHEN 2 THEN 'count' ELSE '?' END AS unit FROM part")
+def inferred_units(s, d):
+    n = F.col("p_partkey") % 4
+    name = F.concat("p_name", F.when(n == 0, "_us").when(n == 1, "_bytes").when(n == 2, "_count").otherwise("_x"))
+    return A.table(s, d, "part").select("p_partkey", C.inferred_unit(name).alias("unit"))
+
+
+@query("visible_samples", f"WITH {EV} SELECT hostname_port, name, kind FROM (SELECT DISTINCT hostname_port, name FROM ev), (VALUES ('gauge'), ('counter')) k(kind) WHERE name <> 'click' AND kind = 'counter'")
+def visible_samples(s, d):
+    """Without the switches no detail samples and no gauges show."""
+    from ..functions.filters import apply_visibility
+
+    m = A.counters(s, d).where("kind = 'value'").select("hostname_port", "name").distinct()
+    kinds = m.select("*", F.explode(F.array(F.lit("gauge"), F.lit("counter"))).alias("kind"), F.when(F.col("name") == "click", "detail").otherwise("all").alias("category"))
+    return apply_visibility(kinds).drop("category")

@@ -16,12 +16,16 @@ from .registry import ORACLE_SQL, query
 def _store(s, d) -> str:
     path = S.scratch_dir(s)
     m = A.counters(s, d)
-    for i, cut in enumerate(A.CUTS):
-        S.write_snapshot(s, {"metrics": m.where(F.col("snapshot_id") == i)}, path, f"cut {i}", cut)
+    last = A.at_cuts(A.table(s, d, "events"), "ts", A.CUTS).groupBy("snapshot_id").agg(F.max("ts").cast("string").alias("ts"), F.count("*").alias("n"))
+    for r in last.orderBy("snapshot_id").collect():  # a row per snapshot
+        S.write_snapshot(s, {"metrics": m.where(F.col("snapshot_id") == r.snapshot_id)}, path, f"{r.n} events", r.ts)
     return path
 
 
-@query("snapshot_list", "SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-10', 'cut 0', 2), (1, TIMESTAMP '2024-01-20', 'cut 1', 2)) v(snapshot_id, ts, comment, next_id)")
+_LIST = f"(SELECT snapshot_id, max(ts) AS ts, count(*) || ' events' AS comment FROM events JOIN (VALUES {', '.join(f"({i}, TIMESTAMP '{c}')" for i, c in enumerate(A.CUTS))}) v(snapshot_id, cut) ON ts < cut GROUP BY 1)"
+
+
+@query("snapshot_list", f"SELECT *, CAST(max(snapshot_id) OVER () + 1 AS INTEGER) AS next_id FROM {_LIST}")
 def snapshot_list(s, d):
     snaps = S.snapshot_list(s, _store(s, d))
     return S.resolve_pair(snaps, 0, 1).withColumn("next_id", F.lit(S.next_snapshot_id(snaps)))
@@ -32,12 +36,12 @@ def snapshot_roundtrip(s, d):
     return S.read_snapshot(s, _store(s, d), "metrics", [1]).where("kind = 'value'").select("snapshot_id", "hostname_port", "metric_type", "metric_id", "name", "value")
 
 
-@query("payload_scan", "SELECT CAST(doc_id % 2 AS INTEGER) AS snapshot_id, 'd' || CAST(doc_id % 3 AS VARCHAR) AS dataset, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL")
+@query("payload_scan", "SELECT CAST(doc_id % 2 AS INTEGER) AS snapshot_id, 'd' || CAST(doc_id % 3 AS VARCHAR) AS dataset, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
 def payload_scan(s, d):
     path = S.scratch_dir(s)
     docs = A.table(s, d, "documents").select((F.col("doc_id") % 2).cast("int").alias("snapshot_id"), F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("dataset"), "text")
     docs.write.partitionBy("snapshot_id", "dataset").text(path)
-    p = L.read_payloads(s, path).where("dataset <> 'd0'")  # a partition filter
+    p = L.read_payloads(s, path)
     rows = p.select("snapshot_id", "dataset", F.explode(F.split(F.regexp_replace("body", r"\n\z", ""), "\n")).alias("line"))
     return rows.groupBy("snapshot_id", "dataset").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
@@ -65,3 +69,33 @@ def full_report(s, d):
 @query("nonmetrics_report", _sections(R.NONMETRICS))
 def nonmetrics_report(s, d):
     return R.diff_report(tables(s, d), 0, 1, R.NONMETRICS).select("section", "change", "key")
+
+
+@query("json_snapshot", "SELECT s_name AS server, s_nationkey AS value, 7 AS snapshot_id, 'kept' AS comment FROM supplier")
+def json_snapshot(s, d):
+    """A dataset kept as JSON arrays, and the CSV list beside it."""
+    path = S.scratch_dir(s)
+    rows = A.table(s, d, "supplier").groupBy((F.col("s_suppkey") % 8).alias("part")).agg(F.to_json(F.collect_list(F.struct(F.col("s_name").alias("server"), F.col("s_nationkey").alias("value")))).alias("value"))
+    rows.write.partitionBy("part").text(f"{path}/json")  # a file for each array
+    A.table(s, d, "region").limit(1).select(F.lit(7).alias("snapshot_id"), F.lit("2024-01-10 00:00:00").alias("ts"), F.lit("kept").alias("comment")).write.csv(f"{path}/index", header=True)
+    files = S.read_json_snapshot(s, f"{path}/json", "server string, value long")
+    kept = S.read_index(s, f"{path}/index").select("snapshot_id", "comment", F.lit(1).alias("one"))
+    return files.withColumn("one", F.lit(1)).join(F.broadcast(kept), "one").select("server", "value", "snapshot_id", "comment")
+
+
+@query("filtered_report", _sections(("values", "countsums")).replace("FROM ev GROUP", "FROM (SELECT * FROM ev WHERE regexp_matches(hostname_port, '[12]') AND regexp_matches(name, 'i')) ev GROUP") + " UNION ALL SELECT 'gauges', '=', concat_ws('|', hostname_port, metric_type, metric_id, name) FROM (" + ORACLE_SQL["gauge_diff"].replace("FROM ev GROUP", "FROM (SELECT * FROM ev WHERE regexp_matches(hostname_port, '[12]') AND regexp_matches(name, 'i')) ev GROUP") + ")")
+def filtered_report(s, d):
+    t = {k: v for k, v in tables(s, d).items() if k in ("snapshots", "metrics", "catalog")}
+    return R.diff_report(t, 0, 1, ("values", "countsums"), gauges=True, host="[12]", stat="i").select("section", "change", "key")
+
+
+@query("led_report", f"WITH {C.VIEWS} SELECT 'masters' AS section, change, permanent_uuid AS key FROM ({C.LED}) UNION ALL SELECT 'health', change, item || '|' || value FROM ({ORACLE_SQL['health_diff']})")
+def led_report(s, d):
+    """Masters and health from several views of each snapshot: the leaders' count."""
+    h = A.health(s, d)
+    odd = h.select("snapshot_id", F.lit("u_other").alias("hostname_port"), F.lit(None).cast("array<string>").alias("dead_nodes"), F.array(F.lit("odd")).alias("under_replicated_tablets"))
+    lead = C.health_leaders(s)
+    parts = {"masters": C.views(s, d), "health": h.unionByName(odd), "snapshots": A.snapshots(s)}
+    masters = R.diff_report({"masters": parts["masters"], "leaders": C.view_leaders(s, d), "snapshots": parts["snapshots"]}, 0, 1, ("masters",))
+    health = R.diff_report({"health": parts["health"], "leaders": lead, "snapshots": parts["snapshots"]}, 0, 1, ("health",))
+    return masters.unionByName(health).select("section", "change", "key")

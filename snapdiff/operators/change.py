@@ -20,6 +20,27 @@ def sides(facts: DataFrame, keys: list[str], fields: list[str], begin: int, end:
     return facts.where(F.col("snapshot_id").isin(begin, end)).groupBy(*keys).agg(side(begin, "b"), side(end, "e"))
 
 
+def pair(df: DataFrame, begin: int, end: int) -> DataFrame:
+    """Rows of both snapshots; a filter by value, so that no other partition is read."""
+    return df.where(F.col("snapshot_id").isin(begin, end))
+
+
+def leader_of(leaders: DataFrame) -> DataFrame:
+    """(snapshot_id, hostname_port): per snapshot the first host whose status is ``OK``, by ``pos``, or by name where there is none."""
+    first = F.min_by("hostname_port", "pos") if "pos" in leaders.columns else F.min("hostname_port")
+    return leaders.where("status = 'OK'").groupBy("snapshot_id").agg(first.alias("hostname_port"))
+
+
+def leader_view(df: DataFrame, leaders: DataFrame | None, begin: int, end: int) -> DataFrame:
+    """Rows of both snapshots as the leader of each reported them; none if a side has no leader."""
+    rows = pair(df, begin, end)
+    if leaders is None or "hostname_port" not in df.columns:
+        return rows
+    both = leader_of(pair(leaders, begin, end)).groupBy().agg(F.collect_list(F.struct("snapshot_id", "hostname_port")).alias("l"))  # two rows at most
+    both = both.where(F.size("l") == len({begin, end})).select(F.inline("l"))
+    return rows.join(both, ["snapshot_id", "hostname_port"], "left_semi")
+
+
 def kind_of(before: Column, after: Column, same: Column) -> Column:
     """``+``, ``-``, ``=``, or null for what is unchanged or on neither side."""
     return F.when(before.isNull() & after.isNotNull(), "+").when(before.isNotNull() & after.isNull(), "-").when(before.isNotNull() & ~same, "=")
@@ -44,8 +65,9 @@ def spelled(changes: Column) -> Column:
     return F.array_join(F.transform(changes, lambda x: F.concat(x["field"], F.lit(":"), none(x["before"]), F.lit("->"), none(x["after"]))), ";")
 
 
-def masters_diff(masters: DataFrame, begin: int, end: int) -> DataFrame:
-    """By permanent uuid; a sequence number of 0 means absent."""
+def masters_diff(masters: DataFrame, begin: int, end: int, leaders: DataFrame | None = None) -> DataFrame:
+    """By permanent uuid, as the leader of each side sees them; a sequence number of 0 means absent."""
+    masters = leader_view(masters, leaders, begin, end)
     fields = ["role", "cloud", "region", "zone", "instance_seqno", "start_time_us", "rpc_addresses", "http_addresses"]
     return change_diff(masters, ["permanent_uuid"], fields, begin, end, F.col("instance_seqno") != 0)
 
@@ -73,8 +95,9 @@ def tserver_diff(servers: DataFrame, begin: int, end: int) -> DataFrame:
     return a.select(change.alias("change"), "server", F.col("b.status").alias("status_before"), F.col("e.status").alias("status_after"), restart.alias("restart"), F.col("e.uptime_seconds").alias("uptime_seconds")).where("change IS NOT NULL")
 
 
-def health_diff(health: DataFrame, begin: int, end: int) -> DataFrame:
-    """(change, item, value): list members that came (+) and went (-); nothing if a side has no report."""
+def health_diff(health: DataFrame, begin: int, end: int, leaders: DataFrame | None = None) -> DataFrame:
+    """(change, item, value): list members that came (+) and went (-) in the leaders' reports; nothing if a side has no report."""
+    health = leader_view(health, leaders, begin, end)
     side = lambda n, c: F.max(F.when(F.col("snapshot_id") == n, F.col(c)))
     both = (F.max(F.col("snapshot_id") == begin)) & (F.max(F.col("snapshot_id") == end))
     lists = ("dead_nodes", "under_replicated_tablets")

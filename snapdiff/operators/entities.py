@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_catalog_object, is_colocation_parent
-from .change import changed_fields, kind_of, sides
+from ..functions.columns import is_catalog_object, is_colocation_parent, is_system_keyspace
+from .change import changed_fields, kind_of, leader_of, pair, sides
 
 
 def leader_rows(df: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Rows that the leader of their snapshot reported: the first host whose status is ``OK``."""
-    pick = leaders.where("status = 'OK'").groupBy("snapshot_id").agg(F.min("hostname_port").alias("hostname_port"))
-    return df.join(pick, ["snapshot_id", "hostname_port"], "left_semi")
+    """Rows that the leader of their snapshot reported."""
+    return df.join(leader_of(leaders), ["snapshot_id", "hostname_port"], "left_semi")
 
 
 def tables_per_keyspace(tables: DataFrame) -> DataFrame:
@@ -72,12 +71,17 @@ def coloc_leader(keyspaces: DataFrame, tables: DataFrame, tablets: DataFrame, re
 
 def keyspace_diff(keyspaces: DataFrame, tables: DataFrame, begin: int, end: int) -> DataFrame:
     """YSQL keyspaces never vanish from the list: one counts as present while it has tables."""
+    keyspaces, tables = pair(keyspaces, begin, end), pair(tables, begin, end)
     n = tables_per_keyspace(tables).withColumnsRenamed({"snapshot_id": "_s", "keyspace_id": "_k"})
     k = keyspaces.join(n, (F.col("snapshot_id") == F.col("_s")) & (F.col("keyspace_id") == F.col("_k")), "left").join(colocation_flags(keyspaces, tables), ["snapshot_id", "keyspace_id"])
     k = k.withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
     a = sides(k, ["keyspace_id"], ["keyspace_name", "keyspace_type", "colocated", "n_tables"], begin, end, (F.col("keyspace_type") != "ysql") | (F.col("n_tables") > 0))
-    name = F.when(F.col("b.keyspace_name") != F.col("e.keyspace_name"), F.concat("b.keyspace_name", F.lit("->"), "e.keyspace_name")).otherwise(F.coalesce("e.keyspace_name", "b.keyspace_name"))
-    same = (F.col("b.keyspace_name") == F.col("e.keyspace_name")) & (F.col("b.colocated") == F.col("e.colocated"))
+    named = lambda side: F.coalesce(f"{side}.keyspace_name", F.lit(""))
+    both = F.col("b").isNotNull() & F.col("e").isNotNull()
+    name = F.when(both & (named("b") != named("e")), F.concat(named("b"), F.lit("->"), named("e"))).otherwise(F.coalesce("e.keyspace_name", "b.keyspace_name"))
+    same = F.lit(True)
+    for c in ("keyspace_name", "keyspace_type", "colocated"):
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"e.{c}"))
     return a.select(kind_of(F.col("b"), F.col("e"), same).alias("change"), "keyspace_id", name.alias("name"), F.coalesce("e.colocated", "b.colocated").alias("colocated"), F.coalesce("b.n_tables", F.lit(0)).alias("tables_before"), F.coalesce("e.n_tables", F.lit(0)).alias("tables_after")).where("change IS NOT NULL")
 
 
@@ -92,6 +96,7 @@ def _classified(facts: DataFrame, keys: list[str], carried: list[str], compared:
 
 def table_diff(tables: DataFrame, keyspaces: DataFrame, tablets: DataFrame, begin: int, end: int) -> DataFrame:
     """Tables; the catalog's objects show only when changed. ``colocated``: a YSQL table without tablets."""
+    tables, keyspaces, tablets = (pair(x, begin, end) for x in (tables, keyspaces, tablets))
     a = _classified(tables, ["table_id"], ["keyspace_id"], ["table_name", "state"], begin, end)
     a = a.where((F.col("change") == "=") | (F.length("table_id") != 32) | ~is_catalog_object(F.col("table_id")))
     k = keyspaces.select(F.col("snapshot_id").alias("_s"), F.col("keyspace_id").alias("_k"), "keyspace_name")
@@ -102,7 +107,8 @@ def table_diff(tables: DataFrame, keyspaces: DataFrame, tablets: DataFrame, begi
 
 def tablet_diff(tablets: DataFrame, replicas: DataFrame, tables: DataFrame, keyspaces: DataFrame, begin: int, end: int) -> DataFrame:
     """Tablets whose state or leader's address changed, with the names of their side."""
-    a = _classified(with_leader_addr(tablets.where(F.col("snapshot_id").isin(begin, end)), replicas), ["tablet_id"], ["table_id"], ["state", "leader_addr"], begin, end)
+    tablets, replicas, tables, keyspaces = (pair(x, begin, end) for x in (tablets, replicas, tables, keyspaces))
+    a = _classified(with_leader_addr(tablets, replicas), ["tablet_id"], ["table_id"], ["state", "leader_addr"], begin, end)
     return with_names(a, tables, keyspaces, "side").select("change", "tablet_id", "keyspace_name", "table_name", "state_before", "state_after", "leader_addr_before", "leader_addr_after")
 
 
@@ -113,6 +119,7 @@ def leader_moves(diff: DataFrame) -> DataFrame:
 
 def replica_diff(replicas: DataFrame, tablets: DataFrame, tables: DataFrame, keyspaces: DataFrame, begin: int, end: int) -> DataFrame:
     """Replicas by tablet and server: added, removed, or of another type or address."""
+    replicas, tablets, tables, keyspaces = (pair(x, begin, end) for x in (replicas, tablets, tables, keyspaces))
     a = _classified(replicas, ["tablet_id", "server_uuid"], [], ["type", "addr"], begin, end)
     t = tablets.select(F.col("snapshot_id").alias("side"), "tablet_id", "table_id")
     named = with_names(a.join(t, ["side", "tablet_id"], "left"), tables, keyspaces, "side")
@@ -128,3 +135,32 @@ def entities_report(keyspaces: DataFrame, tables: DataFrame, tablets: DataFrame,
     r = r.join(tables.select("snapshot_id", "table_id", "table_name", "keyspace_id"), ["snapshot_id", "table_id"]).join(seen, ["snapshot_id", "keyspace_id"])
     marks = F.concat_ws(" ", F.when(F.col("server_uuid") == F.col("leader"), "LEADER"), F.when(F.col("dead"), "DEAD"), F.when(F.col("under_replicated"), "UNDER REPLICATED"))
     return r.select("snapshot_id", "keyspace_name", "table_name", "tablet_id", "tablet_state", "server_uuid", "type", "addr", marks.alias("marks"))
+
+
+def entities_tree(keyspaces: DataFrame, tables: DataFrame, tablets: DataFrame, replicas: DataFrame, health: DataFrame, system: bool = True) -> DataFrame:
+    """(snapshot_id, kind, keyspace_name, table_name, tablet_id, server_uuid, marks): each level on its own rows.
+
+    A keyspace without tables, a table without tablets and a tablet without replicas have their row;
+    YSQL keyspaces that were dropped (no tables) do not show, nor do system keyspaces unless
+    ``system``. Marks: of keyspaces SYSTEM; of tables COLOCATED; of tablets their state and UNDER
+    REPLICATED; of replicas their type, LEADER and DEAD.
+    """
+    n = tables_per_keyspace(tables)
+    ks = keyspaces.join(n, ["snapshot_id", "keyspace_id"], "left").where("keyspace_type <> 'ysql' OR n_tables > 0")
+    own = is_system_keyspace(F.col("keyspace_id"))
+    ks = ks if system else ks.where(~own)
+    ks = ks.select("snapshot_id", "keyspace_id", "keyspace_name", F.when(own, "SYSTEM").otherwise("").alias("ks_marks"))
+    coloc = colocated_tables(tables, keyspaces, tablets).select("snapshot_id", "table_id", F.lit("COLOCATED").alias("t_marks"))
+    tb = tables.join(ks.drop("ks_marks"), ["snapshot_id", "keyspace_id"]).join(coloc, ["snapshot_id", "table_id"], "left").select("snapshot_id", "table_id", "keyspace_name", "table_name", F.coalesce("t_marks", F.lit("")).alias("t_marks"))
+    few = health.select("snapshot_id", F.explode("under_replicated_tablets").alias("tablet_id"), F.lit("UNDER REPLICATED").alias("few")).distinct()
+    tl = tablets.select("snapshot_id", "tablet_id", "table_id", "state", "leader").join(tb.drop("t_marks"), ["snapshot_id", "table_id"]).join(few, ["snapshot_id", "tablet_id"], "left")
+    re = mark_liveness(replicas, health).join(tl.select("snapshot_id", "tablet_id", "keyspace_name", "table_name", "leader"), ["snapshot_id", "tablet_id"])
+    none = F.lit("")
+    row = lambda df, kind, table, tablet, server, marks: df.select("snapshot_id", F.lit(kind).alias("kind"), "keyspace_name", table.alias("table_name"), tablet.alias("tablet_id"), server.alias("server_uuid"), marks.alias("marks"))
+    parts = [
+        row(ks, "keyspace", none, none, none, F.col("ks_marks")),
+        row(tb, "table", F.col("table_name"), none, none, F.col("t_marks")),
+        row(tl, "tablet", F.col("table_name"), F.col("tablet_id"), none, F.concat_ws(" ", "state", "few")),
+        row(re, "replica", F.col("table_name"), F.col("tablet_id"), F.col("server_uuid"), F.concat_ws(" ", "type", F.when(F.col("server_uuid") == F.col("leader"), "LEADER"), F.when(F.col("dead"), "DEAD"))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -13,6 +13,8 @@ from ..operators import numeric as N
 #: Sections of the full report, in order.
 SECTIONS = ("values", "countsums", "countsumrows", "statements", "samples", "keyspaces", "tables", "tablets", "replicas", "masters", "tablet_servers", "vars", "versions", "health")
 NONMETRICS = SECTIONS[5:]
+GAUGES = ("gauges", "sample_gauges")
+ALL_SECTIONS = ("values", "gauges", *SECTIONS[1:5], "sample_gauges", *NONMETRICS)
 
 
 def latency_report(clocks: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -57,32 +59,44 @@ def _long(section: str, df: DataFrame, key: list[str]) -> DataFrame:
     """A section as (section, change, key, detail): detail is the other columns as JSON."""
     change = F.col("change") if "change" in df.columns else F.lit("=")
     rest = [c for c in df.columns if c not in ("change", *key)]
-    return df.select(F.lit(SECTIONS.index(section)).alias("n"), F.lit(section).alias("section"), change.alias("change"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"), F.to_json(F.struct(*rest) if rest else F.struct(F.lit("").alias("x"))).alias("detail"))
-
-
-def diff_report(tables: dict[str, DataFrame], begin: int, end: int, sections: tuple[str, ...] = SECTIONS, details: bool = False) -> DataFrame:
-    """The sections whose tables are given, as one long table; tables of other sections are not read."""
-    t, snaps, parts = tables, tables.get("snapshots"), []
+    return df.select(F.lit(ALL_SECTIONS.index(section)).alias("n"), F.lit(section).alias("section"), change.alias("change"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"), F.to_json(F.struct(*rest) if rest else F.struct(F.lit("").alias("x"))).alias("detail"))
+
+
+def diff_report(tables: dict[str, DataFrame], begin: int, end: int, sections: tuple[str, ...] = SECTIONS, details: bool = False, gauges: bool = False, host: str | None = None, stat: str | None = None, table: str | None = None) -> DataFrame:
+    """The sections whose tables are given, as one long table; tables of other sections are not read.
+
+    Each table is cut to the two snapshots first. With ``leaders`` the hierarchy, masters and health
+    are as the leader of each side saw them. ``host`` and ``stat`` are patterns for metrics and
+    samples, ``table`` for metrics of tables and for the names of tables, tablets and replicas;
+    ``gauges`` adds the sections of gauges, ``details`` rows of each object and CPU.
+    """
+    snaps, parts, leaders = tables.get("snapshots"), [], tables.get("leaders")
+    t = {k: G.pair(v, begin, end) if "snapshot_id" in v.columns else v for k, v in tables.items()}
+    t |= {k: G.leader_view(t[k], leaders, begin, end) for k in ("keyspaces", "tables", "tablets", "replicas", "masters", "health") if k in t}
+    own = {"host": host, "stat": stat}
+    named = lambda df, *cols: df if table is None else df.where(F.concat_ws(".", *cols).rlike(table))
     have = lambda *names: all(n in t for n in names)
     makers = {
-        "values": (("metrics", "catalog"), lambda: N.value_diff(t["metrics"], snaps, begin, end, t["catalog"], details), list(N.SERIES)),
-        "countsums": (("metrics",), lambda: N.countsum_diff(t["metrics"], snaps, begin, end, details), list(N.SERIES)),
-        "countsumrows": (("metrics",), lambda: N.countsumrows_diff(t["metrics"], snaps, begin, end), list(N.SERIES)),
+        "values": (("metrics", "catalog"), lambda: N.value_diff(t["metrics"], snaps, begin, end, t["catalog"], details, **own, table=table), list(N.SERIES)),
+        "gauges": (("metrics", "catalog"), lambda: N.gauge_diff(t["metrics"], snaps, begin, end, t["catalog"], details, **own, table=table), list(N.SERIES)),
+        "countsums": (("metrics",), lambda: N.countsum_diff(t["metrics"], snaps, begin, end, details, **own, table=table), list(N.SERIES)),
+        "countsumrows": (("metrics",), lambda: N.countsumrows_diff(t["metrics"], snaps, begin, end, **own), list(N.SERIES)),
         "statements": (("statements",), lambda: N.statements_diff(t["statements"], snaps, begin, end), ["hostname_port", "query"]),
-        "samples": (("samples",), lambda: N.sample_counter_diff(t["samples"], snaps, begin, end), ["hostname_port", "name", "labels"]),
+        "samples": (("samples",), lambda: N.sample_counter_diff(t["samples"], snaps, begin, end, details, **own), ["hostname_port", "name", "labels"]),
+        "sample_gauges": (("samples",), lambda: N.sample_gauge_diff(t["samples"], snaps, begin, end, **own), ["hostname_port", "name", "labels"]),
         "keyspaces": (("keyspaces", "tables"), lambda: E.keyspace_diff(t["keyspaces"], t["tables"], begin, end), ["keyspace_id"]),
-        "tables": (("tables", "keyspaces", "tablets"), lambda: E.table_diff(t["tables"], t["keyspaces"], t["tablets"], begin, end), ["table_id"]),
-        "tablets": (("tablets", "replicas", "tables", "keyspaces"), lambda: E.tablet_diff(t["tablets"], t["replicas"], t["tables"], t["keyspaces"], begin, end), ["tablet_id"]),
-        "replicas": (("replicas", "tablets", "tables", "keyspaces"), lambda: E.replica_diff(t["replicas"], t["tablets"], t["tables"], t["keyspaces"], begin, end), ["tablet_id", "server_uuid"]),
+        "tables": (("tables", "keyspaces", "tablets"), lambda: named(E.table_diff(t["tables"], t["keyspaces"], t["tablets"], begin, end), "keyspace_name", F.coalesce("table_name_after", "table_name_before")), ["table_id"]),
+        "tablets": (("tablets", "replicas", "tables", "keyspaces"), lambda: named(E.tablet_diff(t["tablets"], t["replicas"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"), ["tablet_id"]),
+        "replicas": (("replicas", "tablets", "tables", "keyspaces"), lambda: named(E.replica_diff(t["replicas"], t["tablets"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"), ["tablet_id", "server_uuid"]),
         "masters": (("masters",), lambda: G.masters_diff(t["masters"], begin, end), ["permanent_uuid"]),
         "tablet_servers": (("tablet_servers",), lambda: G.tserver_diff(t["tablet_servers"], begin, end), ["server"]),
         "vars": (("vars",), lambda: G.vars_diff(t["vars"], begin, end), ["hostname_port", "name"]),
         "versions": (("versions",), lambda: G.versions_diff(t["versions"], begin, end), ["hostname_port"]),
         "health": (("health",), lambda: G.health_diff(t["health"], begin, end), ["item", "value"]),
     }
-    for name in SECTIONS:
+    for name in ALL_SECTIONS:
         needs, make, key = makers[name]
-        if name in sections and have(*needs):
+        if (name in sections or gauges and name in GAUGES) and have(*needs):
             parts.append(_long(name, make(), key))
     if not parts:
         raise ValueError("no section has its tables")

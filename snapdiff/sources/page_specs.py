@@ -23,6 +23,9 @@ SPECS: dict[str, tuple[list[str], list[str]]] = {
     "tables": (["Keyspace", "Table Name", "State", "Message", "UUID", "YSQL OID", "Hidden"], ["keyspace", "table_name", "state", "message", "table_id", "oid", "hidden", "on_disk_size"]),
     "columns": (["Column", "ID", "Type"], ["column", "column_id", "type"]),
     "tablets_of_table": (["Tablet ID", "Partition", "SplitDepth", "State", "Hidden", "Message", "RaftConfig"], ["tablet_id", "partition", "split_depth", "state", "hidden", "message", "raft_config"]),
+    "tasks_of_table": (["Task Name", "State", "Start Time", "Time", "Description"], ["task_name", "state", "start_time", "duration", "description"]),
+    "watermarks": (["Peer", "Watermark"], ["peer", "watermark"]),
+    "messages": (["Entry", "OpId", "Type", "Size", "Status"], ["entry", "op_id", "type", "size", "status"]),
     "tablets": (["Namespace", "Table name", "Table UUID", "Tablet ID", "Partition", "State", "Hidden", "Num SST Files", "On-disk size", "RaftConfig", "Last status"], ["namespace", "table_name", "table_id", "tablet_id", "partition", "state", "hidden", "num_sst_files", "on_disk_size", "raft_config", "last_status"]),
 }
 
@@ -107,3 +110,16 @@ def sst_files(blocks: DataFrame) -> DataFrame:
     lines = blocks.where("heading = 'Files'").select(*stamp_of(blocks), F.when(F.col("part") <= 1, "regular").otherwise("intents").alias("store"), F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     f = sst_fields(F.col("line"))
     return lines.select(*stamp_of(blocks), "store", f[0].alias("name"), f[1].try_cast("long").alias("total_size"), f[2].try_cast("long").alias("base_size"))
+
+
+def consensus_state(pages: DataFrame) -> DataFrame:
+    """(item, text) of a tablet's consensus page: its state and the overview of its queue."""
+    blocks = pre_blocks(pages).where("heading IN ('State', 'Queue overview')")
+    return blocks.select(*stamp_of(pages), F.when(F.col("heading") == "State", "state").otherwise("queue_overview").alias("item"), "text")
+
+
+def pre_lines(pages: DataFrame) -> DataFrame:
+    """Lines of all preformatted blocks, with their place: pages of log anchors and of transactions."""
+    each = pages.select(*stamp_of(pages), F.explode(F.filter("tables", lambda t: t["header"] == F.array(F.lit("pre")))).alias("t"))
+    text = F.regexp_replace(F.col("t.rows")[0][0], r"\n\z", "")
+    return each.select(*stamp_of(pages), F.col("t.pos").alias("block"), F.posexplode(F.split(text, "\n")).alias("line", "text"))

@@ -24,45 +24,122 @@ def follow_logs(payloads: DataFrame, delay: str = "10 minutes", levels: str = "W
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ts", "hostname_port", "source"])
 
 
+SERIES = ["hostname_port", "metric_type", "metric_id", "name"]
+
+
 class _Deltas(StatefulProcessor):
-    """State: the last time and value of a series. Rows of one key and batch come in any order."""
+    """State: the last time and values of a series. Rows of one key and batch come in any order."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, value double", ttlDurationMs=self.ttl_ms)
+    def __init__(self, keys: list[str], values: list[str], ttl_ms: int | None):
+        self.keys, self.values, self.ttl_ms = keys, values, ttl_ms
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at timestamp, " + ", ".join(f"{v} double" for v in self.values), ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows)).drop_duplicates("at").sort_values("at")
-        before = self.last.get() if self.last.exists() else None
+        before = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for at, value in zip(pdf["at"], pdf["value"], strict=True):
+        for at, *now in pdf[["at", *self.values]].itertuples(index=False, name=None):
             if before is not None:
                 if at <= before[0]:
                     continue
-                reset = value < before[1]
-                delta = value if reset else value - before[1]
-                out.append((*key, at, delta, delta / (at - before[0]).total_seconds(), bool(reset)))
-            before = (at, value)
+                resets = [x < y for x, y in zip(now, before[1:], strict=True)]
+                deltas = [x if r else x - y for x, y, r in zip(now, before[1:], resets, strict=True)]
+                out.append((*key, at, *deltas, (at - before[0]).total_seconds(), any(resets)))
+            before = (at, *now)
         if before is not None:
             self.last.update(before)
-        yield pd.DataFrame(out, columns=["hostname_port", "metric_type", "metric_id", "name", "captured_at", "delta", "rate", "reset"])
+        yield pd.DataFrame(out, columns=[*self.keys, "captured_at", *self.values, "seconds", "reset"])
 
     def close(self) -> None:
         pass
 
 
-def live_diff(metrics: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
-    """Per series and capture what was added since the one before it; vanished series leave the state after ``ttl``.
+def live_deltas(facts: DataFrame, keys: list[str], values: list[str], ttl: str | None = "1 hour") -> DataFrame:
+    """Per key and capture what was added to each value since the capture before it, and the seconds between.
 
-    Late captures (not newer than the state) are ignored. Needs the RocksDB state store.
+    A value that fell counts from 0 and marks a reset. Keys that are not seen for ``ttl`` leave the
+    state; late captures (not newer than the state) are ignored. Needs the RocksDB state store.
     """
-    keys = ["hostname_port", "metric_type", "metric_id", "name"]
-    rows = metrics.select(*keys, F.col("captured_at").cast("timestamp").alias("at"), F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    rows = facts.select(*keys, F.col("captured_at").cast("timestamp").alias("at"), *[F.col(v).cast("double").alias(v) for v in values]).dropna(subset=values)
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    schema = "hostname_port string, metric_type string, metric_id string, name string, captured_at timestamp, delta double, rate double, reset boolean"
-    return rows.groupBy(*keys).transformWithStateInPandas(_Deltas(ttl_ms), schema, "Append", "ProcessingTime")
+    schema = ", ".join([*[f"{k} string" for k in keys], "captured_at timestamp", *[f"{v} double" for v in values], "seconds double, reset boolean"])
+    return rows.groupBy(*keys).transformWithStateInPandas(_Deltas(keys, values, ttl_ms), schema, "Append", "ProcessingTime" if ttl else "None")
+
+
+def live_diff(metrics: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
+    """Counters: delta and rate of each series at each capture."""
+    return live_deltas(metrics, SERIES, ["value"], ttl).select(*SERIES, "captured_at", F.col("value").alias("delta"), (F.col("value") / F.col("seconds")).alias("rate"), "reset")
+
+
+def live_countsum(metrics: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
+    """Latencies: added count, per second, added sum, and the average unless there was a reset."""
+    d = live_deltas(metrics, SERIES, ["total_count", "total_sum"], ttl).where("total_count <> 0")
+    average = F.when(~F.col("reset"), F.floor(F.col("total_sum") / F.col("total_count")).cast("long"))
+    return d.select(*SERIES, "captured_at", F.col("total_count").alias("count"), (F.col("total_count") / F.col("seconds")).alias("rate"), F.col("total_sum").alias("sum"), average.alias("avg"), "reset")
+
+
+def live_samples(samples: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
+    """Exporter counters: change of each sample, and per second."""
+    keys = ["hostname_port", "name", "labels"]
+    d = live_deltas(samples.where("exporter_type = 'counter'"), keys, ["value"], ttl).where("value <> 0")
+    return d.select(*keys, "captured_at", F.col("value").alias("delta"), (F.col("value") / F.col("seconds")).alias("rate"), "reset")
+
+
+class _Changes(StatefulProcessor):
+    """State: the last time and row of a key; a timer says when it counts as gone."""
+
+    def __init__(self, keys: list[str], gone_ms: int):
+        self.keys, self.gone_ms = keys, gone_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp, row string")
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*self.keys, "captured_at", "change", "before", "after"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        pdf = pd.concat(list(rows)).sort_values(["at", "row"]).drop_duplicates("at")
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for at, row in zip(pdf["at"], pdf["row"], strict=True):
+            if before is None:
+                out.append((*key, at, "+", None, row))
+            elif at <= before[0]:
+                continue
+            elif row != before[1]:
+                out.append((*key, at, "=", before[1], row))
+            before = (at, row)
+        self.last.update(before)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(before[0]).timestamp() * 1000) + self.gone_ms)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out = []
+        if self.last.exists():
+            at, row = self.last.get()
+            out.append((*key, at, "-", row, None))
+            self.last.clear()
+        yield self._rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def live_changes(facts: DataFrame, keys: list[str], fields: list[str], gone_after: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """Live twin of ``change_diff``: ``+`` for a key that was not there, ``=`` for other fields, ``-`` for one not seen for ``gone_after``.
+
+    ``before`` and ``after`` are the fields as JSON; of rows of one key and time the least counts.
+    Time is that of the captures; a ``-`` has the time of the last capture that had the key.
+    """
+    rows = facts.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("captured_at").cast("timestamp").alias("at"), F.to_json(F.struct(*fields)).alias("row")).withWatermark("at", delay)
+    schema = ", ".join([*[f"{k} string" for k in keys], "captured_at timestamp, change string, before string, after string"])
+    gone = int(pd.Timedelta(gone_after).total_seconds() * 1000)
+    return rows.groupBy(*keys).transformWithStateInPandas(_Changes(keys, gone), schema, "Append", "EventTime")
 
 
 def windowed_rates(deltas: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from snapdiff.operators import numeric as N
@@ -36,3 +37,57 @@ def test_follow_logs_drops_repeats(spark, tmp_path):
     q = T.follow_logs(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start(out)
     q.awaitTermination(120)
     assert sorted(r.message for r in spark.read.parquet(out).collect()) == ["m0", "m1", "m2", "m3"]
+
+
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def run(df, out, checkpoint):
+    q = df.writeStream.format("parquet").option("checkpointLocation", str(checkpoint)).outputMode("append").trigger(availableNow=True).start(str(out))
+    q.awaitTermination(120)
+    assert q.exception() is None
+
+
+def polls(spark, path, schema, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def minute(m):
+    return dt.datetime(2024, 1, 1, 0, m)
+
+
+def test_live_latencies_go_on_after_a_restart(spark, tmp_path):
+    schema = "hostname_port string, metric_type string, metric_id string, name string, captured_at timestamp, total_count long, total_sum long"
+    row = lambda m, n, s: [("h", "server", "1", "n", minute(m), n, s)]
+    stream = polls(spark, tmp_path / "in", schema, [row(0, 10, 100), row(1, 14, 121)])
+    run(T.live_countsum(stream, ttl=None), tmp_path / "out", tmp_path / "ck")
+    polls(spark, tmp_path / "in", schema, [row(1, 99, 999), row(2, 15, 90)])  # a late capture, and a fallen sum
+    run(T.live_countsum(stream, ttl=None), tmp_path / "out", tmp_path / "ck")
+    got = [(r["count"], r["sum"], r.avg, r.reset) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("captured_at").collect()]
+    assert got == [(4.0, 21.0, 5, False), (1.0, 90.0, None, True)]
+
+
+def test_live_changes_classify(spark, tmp_path):
+    schema = "server string, status string, zone string, captured_at timestamp"
+    batches = [[("a", "up", "z", minute(0)), ("b", "up", "z", minute(0))], [("a", "down", "z", minute(1)), ("b", "up", "z", minute(1))], [("a", "down", "z", minute(30))], [("a", "up", None, minute(31))]]
+    run(T.live_changes(polls(spark, tmp_path / "in", schema, batches), ["server"], ["status", "zone"]), tmp_path / "out", tmp_path / "ck")
+    got = {(r.server, r.change, r.after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {("a", "+", '{"status":"up","zone":"z"}'), ("b", "+", '{"status":"up","zone":"z"}'), ("a", "=", '{"status":"down","zone":"z"}'), ("a", "=", '{"status":"up"}'), ("b", "-", None)} <= got
+
+
+def test_windowed_rates_of_a_stream_equal_batch_and_drop_late_rows(spark, tmp_path):
+    schema = "hostname_port string, metric_type string, metric_id string, name string, captured_at timestamp, delta double"
+    row = lambda m, k, v: ("h", "server", str(k), "n", minute(m), float(v))
+    batches = [[row(1, 1, 5), row(2, 1, 6), row(3, 2, 1)], [row(7, 1, 2)], [row(40, 1, 1)], [row(41, 1, 1)], [row(4, 1, 1000)], [row(59, 2, 3)]]
+    run(T.windowed_rates(polls(spark, tmp_path / "in", schema, batches)), tmp_path / "out", tmp_path / "ck")
+    got = sorted((r.window_start, r.metric_id, r.delta, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    in_time = spark.read.parquet(str(tmp_path / "in")).where("delta < 1000 AND captured_at < '2024-01-01 00:45:00'")
+    want = sorted((r.window_start, r.metric_id, r.delta, r.n) for r in N.windowed_rates(in_time, "5 minutes").collect())
+    assert got == want
