@@ -146,7 +146,7 @@ def token_ids(texts: pa.StringArray, path: str) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts take about ``most_bytes``, one at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // most_bytes
