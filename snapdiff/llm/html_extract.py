@@ -5,11 +5,14 @@ one with the host's wrapper; a mismatch is resolved into an optional item, a run
 into a repeated group, and differing text into a slot. The result is a regular expression
 without unions, kept as a small tree. Per task one wrapper per host is inferred from all of its
 pages; those are merged per (host, salt), then per host, so a host with a third of all pages is
-never in one task. From a wrapper comes a short rule: where the main text is. It is the article
+never in one task. A wrapper has a bounded size: beyond it, what the fewest pages have becomes a slot of
+its length in the item around it. From a wrapper comes a short rule: where the main text is. It is the article
 or main element, or else the part whose slots hold the most text that differs between pages and
 is no link. Pages are then read a second time with their host's rule. A form or an element whose
 names mark noise is read as main all the same if it holds most of the text: more than half, and
-at least ``LARGE`` times what the best part outside of noise has.
+at least ``LARGE`` times what the best part outside of noise has. A class or id marks noise only
+if all of its words do, apart from words of structure (``comment-list``, ``site-footer``); beside
+other words (``share-analysis``) it is a hint, and cuts only what is mostly links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments in the
 markup and reader comments go; what the wrapper shows to be the same text on all of at least
@@ -27,8 +30,10 @@ from __future__ import annotations
 
 import html as _html
 import json
+import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -56,42 +61,48 @@ _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search for
 _NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments disqus respond reply replies form login search pager pagination".split()
 )
+_PLAIN_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content element entry fixed group heading holder icon icons inner item items label layout left link links list main module outer page panel post posts right row section site slot text title toggle top unit user view wrap wrapper zone".split()
+)
 _MAIN_WORDS = frozenset({"articlebody"})
+LARGEST = 20_000  # of a wrapper: its items, and the texts they keep in units of 64 characters
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "kids")
+    __slots__ = ("tag", "label", "noise", "hint", "kids")
 
-    def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise, self.kids = tag, label, noise, []
+    def __init__(self, tag: str, label: str, noise: bool, hint: bool):
+        self.tag, self.label, self.noise, self.hint, self.kids = tag, label, noise, hint, []
 
 
 def _words(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
 
 
-_seen: dict[tuple[str, str], tuple[str, bool]] = {}
+_seen: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
 
-def _read_tag(tag: str, rest: str) -> tuple[str, bool]:
-    """A tag's label (tag, class, id and role without digits) and whether its names mark noise."""
+def _read_tag(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """A tag's label (tag, class and id without digits, marks), whether its names mark noise, and whether they hint at it."""
     if "=" not in rest:
-        return tag, tag in _NOISE_TAGS
+        return tag, tag in _NOISE_TAGS, False
     if (tag, rest) not in _seen:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(rest)}
-        names = _words(f"{found.get('class', '')} {found.get('id', '')}")
-        noise = tag in _NOISE_TAGS or found.get("role", "").lower() in _NOISE_ROLES
-        noise = noise or tag not in ("html", "body", "main", "article") and bool(_NOISE_WORDS.intersection(names))
+        names = [_words(name) for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        met = [ws for ws in names if _NOISE_WORDS.intersection(ws)] if tag not in ("html", "body", "main", "article") else []
+        named = any(all(w in _NOISE_WORDS or w in _PLAIN_WORDS or len(w) == 1 for w in ws) for ws in met)
+        noise = named or tag in _NOISE_TAGS or found.get("role", "").lower() in _NOISE_ROLES
         main = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() in _MAIN_WORDS
         if len(_seen) > 50_000:
             _seen.clear()
-        _seen[tag, rest] = (" ".join([tag, *sorted(set(names)), *["*main"] * main]), noise)
+        label = " ".join([tag, *sorted({w for ws in names for w in ws}), *["*noise"] * named, *["*main"] * main])
+        _seen[tag, rest] = (label, noise, bool(met) and not noise)
     return _seen[tag, rest]
 
 
 def parse(page: str) -> Node:
     """The page as a tree; kids are nodes or strings. Unclosed and stray tags are forgiven."""
-    root = Node("", "", False)
+    root = Node("", "", False, False)
     stack = [root]
     for m in _TOKEN.finditer(page):
         text = m["text"]
@@ -217,6 +228,38 @@ def fold_labels(kids: list[list]) -> list[list]:
     return out
 
 
+def shrink(w: list, most: int = LARGEST) -> list:
+    """A wrapper of at most ``most``, in place: beyond it, half of that is kept, by pages and then by length."""
+    stack, items = [w], []
+    while stack:
+        item = stack.pop()
+        items.append((item[PAGES], item[CHARS], 1 + len(item[TEXT] or "") // 64))
+        stack += item[KIDS]
+    if sum(x[2] for x in items) <= most:
+        return w
+    left, least = most // 2, (0, 0)
+    for pages, chars, size in sorted(items, reverse=True):
+        left -= size
+        if left < 0:
+            least = (pages, chars)
+            break
+
+    def cut(item: list) -> None:
+        kids, lost = [], [0, 0]
+        for kid in item[KIDS]:
+            if (kid[PAGES], kid[CHARS]) > least:
+                cut(kid)
+                kids.append(kid)
+            elif kid[LABEL].split(" ")[0] not in _NOISE_TAGS and "*noise" not in kid[LABEL]:
+                lost = [lost[0] + kid[CHARS], lost[1] + kid[LINKS]]
+        if lost[0]:
+            kids.append(["#", True, True, 1, None, *lost, []])
+        item[KIDS] = kids
+
+    cut(w)
+    return w
+
+
 def expression(w: list) -> str:
     """The wrapper as a regular expression over tokens, for people."""
     inner = " ".join(expression(k) for k in w[KIDS])
@@ -239,7 +282,7 @@ def rule_of(w: list) -> dict:
     def walk(node: list, path: list[str], noise: bool, large: float, trust: bool) -> float:
         tag = node[LABEL].split(" ")[0]
         names = set(node[LABEL].split(" ")[1:])
-        named = tag in _SOFT_TAGS or tag not in ("html", "body", "main", "article") and bool(names & _NOISE_WORDS)
+        named = tag in _SOFT_TAGS or "*noise" in names
         noise = noise or tag in _NOISE_TAGS - _SOFT_TAGS or tag == "header" or named and node[CHARS] - node[LINKS] <= large
         if node[LABEL] == "#":
             template = node[TEXT] is not None and node[PAGES] >= SAME_PAGES and not node[REPEATED]
@@ -314,6 +357,18 @@ def _chars(node: Node, region: Node | None = None) -> int:
     return total
 
 
+def _is_links(node: Node) -> bool:
+    """Whether at least half of a node's text is of links, or it has none."""
+    total, stack = 0, [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            total += len(" ".join(item.split()))
+        else:
+            stack += item.kids
+    return 2 * _chars(node) <= total
+
+
 def _large(root: Node, least: int) -> list[Node]:
     """The noise-named part with over half of the page's text and over ``least``: its article or main elements, or itself."""
     least, stack = max(least, _chars(root) // 2), [root]
@@ -369,7 +424,7 @@ def main_text(page: str | None, rule: dict | None = None) -> str:
             elif item is None:
                 close()
             else:
-                if item.noise and item is not region:
+                if item is not region and (item.noise or item.hint and _is_links(item)):
                     continue
                 if item.tag == "header" and item is not region:
                     if article:  # an article's own header gives its headings only
@@ -390,26 +445,32 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^/?#]*?://([^/?#]*)", 1))
 
 
-def infer_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 32) -> DataFrame:
-    """(host, rule): rules as JSON text, from the wrapper of all of the host's pages."""
+def infer_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, rule): rules as JSON text, from the wrapper of all of the host's pages.
+
+    A host has at most one wrapper of each task; they are merged in about the square root of as
+    many salts, so that both groups of a host stay small beside the number of tasks.
+    """
+    salts = 1 + math.isqrt(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list] = {}
+        merged: Counter[str] = Counter()
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    w = wrapper_of(parse(page))
-                    if host in own:
-                        merge(own[host], w)
-                    else:
-                        own[host] = w
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([pickle.dumps(w) for w in own.values()], pa.binary())], ["host", "wrapper"])
+                    w = shrink(wrapper_of(parse(page)))
+                    own[host] = merge(own[host], w) if host in own else w
+                    merged[host] += 1
+                    if merged[host] % 8 == 0:
+                        shrink(own[host])
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([pickle.dumps(shrink(w)) for w in own.values()], pa.binary())], ["host", "wrapper"])
 
     def join(pdf: pd.DataFrame) -> list:
         first, *rest = sorted(pdf["wrapper"])  # an order that does not depend on the shuffle
         w = pickle.loads(first)
         for x in rest:
-            merge(w, pickle.loads(x))
+            shrink(merge(w, pickle.loads(x)))
         return w
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
