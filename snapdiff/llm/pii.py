@@ -75,9 +75,9 @@ def base_spans(text: str) -> list[Span]:
 # ---- the random field
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-CONTEXT = 6
+CONTEXT = 12
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
-_ACTIVE = re.compile(r"[0-9@]")
+_ACTIVE = re.compile(r"[0-9]+|@")
 
 
 def shape(token: str) -> str:
@@ -249,8 +249,6 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Parts of a text around digits and at-signs, ``CONTEXT`` tokens wide on both sides."""
     start = end = -1
     for m in _ACTIVE.finditer(text):
-        if m.start() < end:
-            continue
         # whole runs of letters or white space count as one token
         lo, left = m.start(), CONTEXT
         while lo > 0 and left:
@@ -322,7 +320,7 @@ def _plausible(value: str, kind: int) -> bool:
     digits = _NO_DIGIT.sub("", value)
     return (
         kind == 0 and 0 < value.find("@") < len(value) - 3 and "." in value[value.find("@") :]
-        or kind == 1 and value.count(".") == 3
+        or kind == 1 and value.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in value.split("."))
         or kind == 2 and 14 <= len(digits) <= 19 and luhn(digits)
         or kind == 3 and value[0] == "+" and 10 <= len(digits) <= 15
     )
