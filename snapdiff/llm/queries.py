@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format as _chat
 from . import decontaminate as _decontaminate
@@ -66,6 +67,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: its columns but for the model's score."""
+    got = _lm.score_documents(_read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: how many base spans of each kind."""
+    return _pii.find_personal_data(_read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extraction": op2_html_extraction,
@@ -77,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
     "op10_lm_scoring": op10_lm_scoring,
+    "lm_base_scores": lm_base_scores,
+    "pii_base_counts": pii_base_counts,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -131,4 +145,32 @@ both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN both_ways ON b = x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "lm_base_scores": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' end') AS w FROM documents),
+b(k) AS (SELECT unnest(range(0, 8))),
+s0 AS (SELECT DISTINCT doc_id FROM d WHERE doc_id IS NOT NULL),
+bytes AS (SELECT doc_id, i, ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS v FROM (SELECT doc_id, unnest(range(1, length(CAST(doc_id AS VARCHAR)) + 1)) AS i FROM s0)),
+table_(x, c) AS (WITH RECURSIVE t(x, c, n) AS (SELECT range, range, 0 FROM range(0, 256) UNION ALL SELECT x, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM t WHERE n < 8) SELECT x, c FROM t WHERE n = 8),
+crc AS (WITH RECURSIVE t(doc_id, i, c) AS (SELECT doc_id, 0, 4294967295::BIGINT FROM s0 UNION ALL
+    SELECT t.doc_id, t.i + 1, xor(t.c // 256, table_.c) FROM t JOIN bytes ON bytes.doc_id = t.doc_id AND bytes.i = t.i + 1 JOIN table_ ON table_.x = xor(t.c % 256, bytes.v))
+    SELECT doc_id, xor(max_by(c, i), 4294967295) % 7 = 2 AS held_out FROM t GROUP BY doc_id),
+tokens AS (SELECT r, doc_id, coalesce(held_out, false) AS held_out, unnest(w) AS t FROM d LEFT JOIN crc USING (doc_id)),
+c AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + n.v + 1))), 4) AS base_score
+FROM tokens LEFT JOIN c USING (t), n GROUP BY r, doc_id, held_out""",
+    "pii_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e,
+    regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS i,
+    list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS c,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM d)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email,
+    CAST(len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS DOUBLE))) <= 255)) AS BIGINT) AS n_ip,
+    CAST(len(list_filter(c, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k:
+        CASE WHEN k % 2 = 1 THEN CAST(x[k] AS INTEGER) WHEN CAST(x[k] AS INTEGER) > 4 THEN 2 * CAST(x[k] AS INTEGER) - 9 ELSE 2 * CAST(x[k] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
+    CAST(len(list_filter(p, lambda x: x BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM m""",
 }
