@@ -6,16 +6,17 @@ a Bloom filter: an n-gram with count c is stored under the levels 1 .. 1 + floor
 segment has ``bits_per_gram`` bits for each n-gram and level that was counted in its range, so
 the error rate is the same at any size. Up to ``max_bytes`` in all, the segments are broadcast;
 past that bound each block's distinct n-grams are sent to their segments, and the levels found
-come back to the block's texts, so no task holds more than a segment.
+come back to the block, so no task holds more than a segment.
 
 *Scoring* probes the levels of a pair and of its words one after the other until one is absent,
 which gives their counts up to the quantisation, and mixes the pair's relative frequency with
 the add-one word frequency.
 
-The *base score* is exact: each task writes a block's distinct words with their counts and, per
-document, the block's word numbers; words are summed over all blocks, joined back to the blocks
-(one row per block and word, so a frequent word is no hot key), and each block's documents are
-summed from its words. No vocabulary is ever broadcast or collected.
+The *base score* is exact: texts are kept in blocks of bounded size, as numbers of the block's
+distinct words in order; words are summed over all blocks, joined back to the blocks (one row per
+block and word, so a frequent word is no hot key), and each block's documents are summed from its
+words. No vocabulary is ever broadcast or collected. Blocks also stand for the texts where n-grams
+are sent: a word is hashed once a block, and no text is shuffled.
 
 Nulls, ties and repeats: a null or empty text is the end token alone; a row with a null id is a
 training row; rows that repeat are scored each and counted each; no rows, no result; with no
@@ -24,12 +25,14 @@ training rows N and V are 0; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ from .shingles import mixed, ngrams, word_hashes
 from .storage import stored
 
 END, START = np.uint64(0xE4D), np.uint64(0x57A27)  # hashes of the end token and of the place before a text
-_ROWS = "kind int, block long, idx int, word binary, cnt long, doc_id long, row_key long, held_out boolean, n_tokens long, tokens binary"
+_BLOCK = "block long, words binary, counts binary, documents binary"
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
@@ -56,10 +59,35 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
             yield some.column(0).to_pylist(), [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
 
 
+def _pressed(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def _raw(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array in few bytes: its bytes of one place after the other, compressed."""
+    return _pressed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _array(blob: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_raw(blob), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _documents(blob: bytes) -> tuple[list[int | None], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row keys, which are held out, lengths in tokens, and the tokens of a block's documents, end to end."""
+    ids, keys, held, lengths, tokens = pickle.loads(blob)
+    return ids, keys, np.array(held), np.array(lengths), _array(tokens, np.uint32)
+
+
 def tokenised_blocks(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
-    """Rows of two kinds: 0, a block's distinct words with their training counts; 1, its documents.
+    """A row per block: its distinct words, their training counts, and its documents as word numbers.
 
-    The end token is the empty word.
+    The end token is the empty word, number 0.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,65 +95,77 @@ def tokenised_blocks(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFram
 
         part, count = TaskContext.get().partitionId(), 0
         number: dict[bytes, int] = {b"": 0}
-        total, docs_, size = np.zeros(1, np.int64), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            block, n, m = (part << 24) + count, len(number), len(docs_)
-            names = [f.split()[0] for f in _ROWS.split(", ")]
-            null = lambda t, k: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(number), pa.binary()), pa.array(total[:n]), null(pa.int64(), n), null(pa.int64(), n), null(pa.bool_(), n), null(pa.int64(), n), null(pa.binary(), n)], names)
-            for at in range(0, m, 4096):
-                some = docs_[at : at + 4096]
-                k = len(some)
-                cols = list(zip(*some, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), null(pa.int32(), k), null(pa.binary(), k), null(pa.int64(), k), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)]], names)
+        docs_, tokens, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, keys, held, lengths = (list(x) for x in zip(*docs_, strict=True))
+            every = np.concatenate(tokens)
+            times = np.bincount(every[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int64)
+            row = ((part << 24) + count, _pressed(b" ".join(number)), _planes(times), pickle.dumps((ids, keys, held, lengths, _planes(every))))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 3), strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
 
         for ids, raws in _texts(batches):
             for doc, raw in zip(ids, raws, strict=True):
                 found = raw.lower().split()
                 found.append(b"")
-                at = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
-                which, times = np.unique(at, return_counts=True)
-                held = is_held_out(doc)
-                if len(total) < len(number):
-                    total = np.concatenate([total, np.zeros(len(number) + 1000, np.int64)])
-                if not held:
-                    total[which] += times
-                tokens = np.concatenate([np.diff(which, prepend=0), times]).astype("<u4").tobytes()
-                docs_.append((doc, _key(raw), held, len(found), tokens))
+                tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.uint32, len(found)))
+                docs_.append((doc, _key(raw), is_held_out(doc), len(found)))
                 size += len(raw)
                 if size >= block_bytes:
-                    yield from out()
+                    yield out()
                     count += 1
-                    number, total, docs_, size = {b"": 0}, np.zeros(1, np.int64), [], 0
+                    number, docs_, tokens, size = {b"": 0}, [], [], 0
         if docs_:
-            yield from out()
+            yield out()
+
+    return docs.mapInArrow(make, _BLOCK)
+
+
+def block_words(blocks: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(block, idx, word, cnt): the words of each block."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words, times = _raw(blob).split(b" "), _array(counts, np.int64)
+                for at in range(0, len(words), rows):
+                    some = words[at : at + rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(times[at : at + rows])], ["block", "idx", "word", "cnt"])
 
-    return docs.mapInArrow(make, _ROWS)
+    return blocks.select("block", "words", "counts").mapInArrow(make, "block long, idx int, word binary, cnt long")
 
 
-def base_scores(blocks: DataFrame) -> tuple[DataFrame, int, int]:
-    """Per document row the exact base score; and N and V."""
-    words = blocks.where("kind = 0").select("block", "idx", "word", "cnt")
+def known_words(blocks: DataFrame) -> tuple[DataFrame, int, int]:
+    """(block, idx, c): the training count of each block's words over all blocks; and N and V."""
+    words = block_words(blocks)
     counts = stored(words.where("cnt > 0").groupBy("word").agg(F.sum("cnt").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = words.select("block", "idx", "word").join(counts, "word", "left").select("block", "idx", F.coalesce("c", F.lit(0)).alias("c"))
-    docs = blocks.where("kind = 1").select(F.col("block").alias("own"), "doc_id", "row_key", "held_out", "n_tokens", "tokens")
+    return known, int(total), int(distinct)
 
-    def score(words_: pd.DataFrame, docs_: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(len(words_), np.int64)
-        c[words_["idx"].to_numpy()] = words_["c"].to_numpy()
-        logs = np.log10((c + 1) / (total + 1 * (distinct + 1)))
-        base, seen = [], []
-        for blob in docs_["tokens"]:
-            which, times = np.frombuffer(blob, "<u4").reshape(2, -1).astype(np.int64)
-            which = np.cumsum(which)
-            base.append(float((logs[which] * times).sum()))
-            seen.append(int(times[c[which] > 0].sum()))
-        return docs_[["doc_id", "row_key", "held_out", "n_tokens"]].assign(n_known=seen, base_score=base)
 
-    out = known.groupBy("block").cogroup(docs.groupBy("own")).applyInPandas(score, "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base_score double")
-    return out, int(total), int(distinct)
+_BASE = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
+
+
+def _base(idx: np.ndarray, counts: np.ndarray, blob: bytes, total: int, distinct: int) -> pa.Table:
+    """The rows of a block's documents from its words' counts."""
+    ids, keys, held, lengths, tokens = _documents(blob)
+    c = np.zeros(len(idx), np.int64)
+    c[idx] = counts
+    logs = np.log10((c + 1) / (total + 1 * (distinct + 1)))
+    starts = np.cumsum(lengths) - lengths
+    seen, base = (np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(np.int64), logs))
+    return pa.table([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(held), pa.array(lengths), pa.array(seen), pa.array(base)], [f.split()[0] for f in _BASE.split(", ")])
+
+
+def base_scores(known: DataFrame, blocks: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Per document row the exact base score."""
+
+    def score(words: pa.Table, block: pa.Table) -> pa.Table:
+        return _base(words["idx"].to_numpy(), words["c"].to_numpy(), block["documents"][0].as_py(), total, distinct)
+
+    docs = blocks.select(F.col("block").alias("own"), "documents")
+    return known.groupBy("block").cogroup(docs.groupBy("own")).applyInArrow(score, _BASE)
 
 
 def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +174,21 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h[1:]), ngrams(h, 2)
 
 
+def block_grams(words: bytes, lengths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``grams`` gives for each of a block's texts, end to end."""
+    own, at = [np.array([END])], 0
+    while at < len(words):  # the empty word is first; some at a time, to hold little
+        end = words.find(b" ", at + (1 << 20))
+        end = len(words) if end < 0 else end
+        own.append(word_hashes(words[at:end]))
+        at = end
+    h = np.concatenate(own)[tokens]
+    place = np.arange(len(h)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    marked = np.full(len(h) + len(lengths), START)
+    marked[place] = h
+    return mixed(h), ngrams(marked, 2)[place - 1]
+
+
 def _cut(h: np.ndarray, ranges: int) -> np.ndarray:
     """Keeps 40 bits of a hash, of which the top ones name its range."""
     return h >> np.uint64(24)
@@ -175,12 +230,12 @@ def packed(values: np.ndarray, times: np.ndarray) -> bytes:
     """Sorted values and their counts in few bytes: gaps and counts, compressed."""
     gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     raw = np.ascontiguousarray(gaps[:, :5].T).tobytes() + np.minimum(times, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(values).to_bytes(4, "little") + pa.compress(raw, "lz4", asbytes=True)
+    return len(values).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
-    raw = np.frombuffer(pa.decompress(blob[4:], 9 * n, "lz4", asbytes=True), np.uint8).reshape(9, n)
+    raw = np.frombuffer(pa.decompress(blob[4:], 9 * n, "zstd", asbytes=True), np.uint8).reshape(9, n)
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :5] = raw[:5].T
     return np.cumsum(gaps.view("<u8").reshape(-1)), np.ascontiguousarray(raw[5:].T).view("<u4").reshape(-1).astype(np.int64)
@@ -292,69 +347,53 @@ def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weig
     return docs.mapInArrow(make, "doc_id long, row_key long, score double")
 
 
-def sent_scores(docs: DataFrame, segments: DataFrame, ranges: int, hashes: int, total: int, distinct: int, weight: float = 0.7, block_bytes: int = 16_000_000) -> DataFrame:
-    """What ``model_scores`` gives, for a filter that is too large to broadcast."""
+def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges: int, hashes: int, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
+    """What ``base_scores`` and ``model_scores`` give, for a filter that is too large to broadcast."""
     step = (1 << 40) // ranges
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, count = TaskContext.get().partitionId(), 0
-        names = ["block", "part", "grams", "doc_id", "raw"]
-        texts: list[tuple[int | None, bytes]] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            block, values = (part << 24) + count, np.unique(np.concatenate([_cut(x, ranges) for _, raw in texts for x in grams(raw)]))
-            where = (values // np.uint64(step)).astype(np.int32)
-            parts, begins = np.unique(where, return_index=True)
-            blobs = [packed(v, np.zeros(len(v), np.int64)) for v in np.split(values, begins[1:])]
-            k, m = len(parts), len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(parts), pa.array(blobs, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([i for i, _ in texts], pa.int64()), pa.array([raw for _, raw in texts], pa.binary())], names)
-
-        for ids, raws in _texts(batches):
-            for doc, raw in zip(ids, raws, strict=True):
-                texts.append((doc, raw))
-                size += len(raw)
-                if size >= block_bytes:
-                    yield from out()
-                    count, texts, size = count + 1, [], 0
-        if texts:
-            yield from out()
+        for batch in batches:
+            for block, words, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                _, _, _, lengths, tokens = _documents(blob)
+                values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), ranges))
+                parts, begins = np.unique((values // np.uint64(step)).astype(np.int32), return_index=True)
+                blobs = [packed(v, np.zeros(len(v), np.int64)) for v in np.split(values, begins[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(blobs, pa.binary())], ["block", "part", "grams"])
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
         own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes)
-        found = [own.levels(unpacked(b)[0]).tobytes() for b in asked["grams"].to_pylist()]
+        found = [_pressed(own.levels(unpacked(b)[0]).tobytes()) for b in asked["grams"].to_pylist()]
         return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
 
-    def score(levels: pa.Table, texts: pa.Table) -> pa.Table:
-        found = np.frombuffer(b"".join(levels.sort_by("part")["levels"].to_pylist()), np.uint8)  # in the order of the values
-        ids, raws = texts["doc_id"].to_pylist(), texts["raw"].to_pylist()
-        pairs = [grams(raw) for raw in raws]
-        one, two = (_cut(np.concatenate(x), ranges) for x in zip(*pairs, strict=True))
+    def score(found_: pa.Table, block: pa.Table) -> pa.Table:
+        words, levels = (found_.filter(pc.is_valid(found_[c])) for c in ("idx", "part"))
+        blob = block["documents"][0].as_py()
+        out = _base(words["idx"].to_numpy(), words["c"].to_numpy(), blob, total, distinct)
+        found = np.frombuffer(b"".join(_raw(b) for b in levels.sort_by("part")["levels"].to_pylist()), np.uint8)  # in the order of the values
+        _, _, _, lengths, tokens = _documents(blob)
+        one, two = (_cut(x, ranges) for x in block_grams(_raw(block["words"][0].as_py()), lengths, tokens))
         values, inverse = np.unique(np.concatenate([one, two]), return_inverse=True)
         assert len(values) == len(found)
         at = _MIDDLE[found][inverse]
-        return pa.Table.from_batches([_scored(ids, raws, _mix(at[: len(one)], at[len(one) :], np.array([len(x) for x, _ in pairs]), total, distinct, weight))])
+        return out.append_column("score", pa.array(_mix(at[: len(one)], at[len(one) :], lengths, total, distinct, weight)))
 
-    rows = stored(docs.mapInArrow(ask, "block long, part int, grams binary, doc_id long, raw binary"), "asked")
-    asked = rows.where("part IS NOT NULL").select("block", "part", "grams")
+    asked = blocks.select("block", "words", "documents").mapInArrow(ask, "block long, part int, grams binary")
     levels = asked.groupBy("part").cogroup(segments.withColumnRenamed("part", "p").groupBy("p")).applyInArrow(answer, "block long, part int, levels binary")
-    texts = rows.where("part IS NULL").select(F.col("block").alias("own"), "doc_id", "raw")
-    return levels.groupBy("block").cogroup(texts.groupBy("own")).applyInArrow(score, "doc_id long, row_key long, score double")
+    own = blocks.select(F.col("block").alias("own"), "words", "documents")
+    both = levels.unionByName(known, allowMissingColumns=True)
+    return both.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(score, f"{_BASE}, score double")
 
 
 def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26, hashes: int = 3, **options) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base, total, distinct = base_scores(stored(tokenised_blocks(docs), "tokens"))
+    blocks = stored(tokenised_blocks(docs), "tokens")
+    known, total, distinct = known_words(blocks)
     segments, ranges = filter_segments(docs, total, hashes=hashes, **options)
     if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= max_bytes:
         model = filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes)
-        scores = model_scores(docs, model, total, distinct)
+        scores = model_scores(docs, model, total, distinct).dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
+        out = base_scores(known, blocks, total, distinct).join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
     else:
-        scores = sent_scores(docs, segments, ranges, hashes, total, distinct)
-    scores = scores.dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
-    out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
+        out = sent_scores(known, blocks, segments, ranges, hashes, total, distinct)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
