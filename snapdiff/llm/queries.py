@@ -11,12 +11,15 @@ from . import chat_format as _chat
 from . import decontaminate as _decontaminate
 from . import embedding_dedup as _vectors
 from . import html_extract as _html
+from . import importance as _importance
 from . import jaccard_join as _jaccard
 from . import lm_scoring as _lm
 from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
+from . import tier_packing as _tiers
 from . import url_filter as _url
+from . import vector_codes as _codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +70,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiers.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op10: its columns but for the model's score."""
     got = _lm.score_documents(_read(spark, sf_dir, "documents"))
@@ -89,13 +104,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_tier_packing": op12_tier_packing,
+    "op13_importance_resampling": op13_importance_resampling,
     "lm_base_scores": lm_base_scores,
     "pii_base_counts": pii_base_counts,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_SQUARED = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - c.x[i]) * (a.x[i] - c.x[i])))"
+
+
+def _assigned(k: int) -> str:
+    return f"a{k} AS (SELECT vec_id, label, p, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, label, a.p AS p, a.x AS x, c.k AS k, {_SQUARED} AS d FROM parts a JOIN c{k} c ON a.p = c.p) GROUP BY vec_id, label, p, x)"
+
+
+def _moved(k: int) -> str:
+    return f"""m{k} AS (SELECT p, k, list(y ORDER BY i) AS x FROM (SELECT p, k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY p, k),
+c{k + 1} AS (SELECT p, k, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (p, k))"""
+
+
+_CODES = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(0, 16)) AS p FROM kept)),
+c0 AS (SELECT p, k, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+e AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, book"""
+
+_IMPORTANCE = rf"""
+WITH RECURSIVE t(x, c, n) AS (SELECT range, range, 0 FROM range(0, 256) UNION ALL SELECT x, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM t WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY x) AS l FROM t WHERE n = 8),
+w AS (SELECT 0 AS side, doc_id, {_WORDS.format("text")} AS w FROM documents UNION ALL SELECT 1, NULL, {_WORDS.format("text")} FROM benchmark),
+f AS (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, y: xor(c // 256, l[xor(c % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc_table),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000::DOUBLE)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id),
+s AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (doc_id) WHERE side = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM s LEFT JOIN r USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _CODES,
+    "op13_importance_resampling": _IMPORTANCE,
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
