@@ -80,27 +80,50 @@ def last_events(spark: SparkSession, sf_dir: str, cuts: tuple[str, ...] = CUTS)
     return g.select("snapshot_id", "captured_at", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("hostname_port"), F.col("l.event_type").alias("status"), F.get_json_object("l.props", "$.k").alias("value"), (F.col("l.event_id") % 3).cast("string").alias("zone"), up)
 
 
-def hierarchy(spark: SparkSession, sf_dir: str, days: int, dates: tuple[str, str] = ("1997-01-01", "1998-01-01")) -> dict[str, DataFrame]:
-    """Order lines of the last ``days`` before two dates as keyspaces, tables, tablets and replicas."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    each = F.array(*[F.struct(F.lit(i).alias("i"), stamp(d).alias("t")) for i, d in enumerate(dates)])
-    width = F.expr(f"INTERVAL {days} DAYS")
-    lines = table(spark, sf_dir, "lineitem").withColumn("cut", F.explode(F.filter(each, lambda c: (F.col("l_shipdate") < c["t"]) & (F.col("l_shipdate") >= c["t"] - width))))
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("cut.i").alias("snapshot_id"), F.col("p_brand").alias("keyspace_id"), F.concat_ws(".", "p_brand", "p_type").alias("table_id"), F.col("p_type").alias("table_name"), F.col("p_partkey").cast("string").alias("tablet_id"), F.col("l_suppkey").cast("string").alias("server_uuid"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    brands = part.select(F.col("p_brand").alias("keyspace_id")).distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"), "keyspace_id", F.col("keyspace_id").alias("keyspace_name"), F.lit("ysql").alias("keyspace_type"))
-    tables = rows.select("snapshot_id", "table_id", "keyspace_id", "table_name", F.lit("RUNNING").alias("state")).distinct()
-    tablets = rows.groupBy("snapshot_id", "tablet_id", "table_id").agg(F.max_by("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).cast("string").alias("leader"), F.count("*").alias("n")).select("snapshot_id", "tablet_id", "table_id", F.when(F.col("n") > 1, "RUNNING").otherwise("CREATING").alias("state"), "leader")
-    replicas = rows.groupBy("snapshot_id", "tablet_id", "server_uuid").agg(F.max("l_linenumber").alias("l")).select("snapshot_id", "tablet_id", "server_uuid", F.when(F.col("l") % 2 == 0, "VOTER").otherwise("OBSERVER").alias("type"), F.concat(F.lit("s"), "server_uuid", F.lit(":9100")).alias("addr"))
-    return {"keyspaces": brands, "tables": tables, "tablets": tablets, "replicas": replicas}
-
-
-def health(spark: SparkSession, sf_dir: str, dates: tuple[str, str] = ("1996-01-01", "1997-01-01"), days: int = 7) -> DataFrame:
-    """Per snapshot: suppliers without a line in the last ``days`` are dead; parts without a supplier are under-replicated."""
-    each = F.array(*[F.struct(F.lit(i).alias("i"), stamp(d).alias("t")) for i, d in enumerate(dates)])
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"))
-    width = F.expr(f"INTERVAL {days} DAYS")
-    lines = table(spark, sf_dir, "lineitem").withColumn("cut", F.explode(F.filter(each, lambda c: (F.col("l_shipdate") < c["t"]) & (F.col("l_shipdate") >= c["t"] - width))))
-    live = lines.select(F.col("l_suppkey").alias("k"), F.col("cut.i").alias("i")).distinct()
-    dead = supp.join(live, (F.col("s_suppkey") == F.col("k")) & (F.col("snapshot_id") == F.col("i")), "left_anti").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(":9100")))).alias("dead_nodes"))
-    few = lines.groupBy(F.col("cut.i").alias("i"), F.col("l_partkey").cast("string").alias("t")).agg(F.count_distinct("l_suppkey").alias("n")).where("n < 2").groupBy("i").agg(F.array_sort(F.collect_list("t")).alias("under_replicated_tablets"))
-    return dead.join(few, F.col("snapshot_id") == F.col("i"), "full").select(F.coalesce("snapshot_id", "i").alias("snapshot_id"), F.lit("m1:7000").alias("hostname_port"), F.coalesce("dead_nodes", F.array().cast("array<string>")).alias("dead_nodes"), F.coalesce("under_replicated_tablets", F.array().cast("array<string>")).alias("under_replicated_tablets"))
+DATES = ("1997-01-01", "1998-01-01")
+
+
+def _last_lines(spark: SparkSession, sf_dir: str, *keys: str | Column) -> DataFrame:
+    """(snapshot_id, keys, z): the newest of all order lines before each date; z orders lines and holds what is read of one."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), stamp(d).alias("t")) for i, d in enumerate(DATES)])
+    lines = table(spark, sf_dir, "lineitem").withColumn("i", F.explode(F.transform(F.filter(each, lambda c: F.col("l_shipdate") < c["t"]), lambda c: c["i"])))
+    return lines.groupBy(F.col("i").alias("snapshot_id"), *keys).agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")).alias("z"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tablets: brand and size make a keyspace, the type in it a table."""
+    space = F.concat_ws(".", "p_brand", F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), space.alias("keyspace_id"), F.concat_ws(".", space, F.col("p_type")).alias("table_id"), F.col("p_type").alias("table_name"))
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All order lines before two dates as keyspaces, tables, tablets and replicas.
+
+    A part is a tablet, and its suppliers are replicas, unless the last line of the part, or of part and supplier, was returned.
+    """
+    lines = _last_lines(spark, sf_dir, "l_partkey", "l_suppkey")
+    kept = F.col("z.l_returnflag") != "R"
+    state = F.when(F.col("z.l_linestatus") == "O", "RUNNING").otherwise("CREATING")
+    names = part_names(spark, sf_dir)
+    tablets = lines.groupBy("snapshot_id", "l_partkey").agg(F.max("z").alias("z")).where(kept).join(names, "l_partkey").select("snapshot_id", F.col("l_partkey").cast("string").alias("tablet_id"), "table_id", "table_name", "keyspace_id", state.alias("state"), F.col("z.l_suppkey").cast("string").alias("leader"))
+    tables = tablets.groupBy("snapshot_id", "table_id", "keyspace_id", "table_name").agg(F.max("state").alias("state"))
+    replicas = lines.where(kept).select("snapshot_id", F.col("l_partkey").cast("string").alias("tablet_id"), F.col("l_suppkey").cast("string").alias("server_uuid"), F.when(F.col("z.l_linestatus") == "F", "VOTER").otherwise("OBSERVER").alias("type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(":9100")).alias("addr"))
+    brands = names.select("keyspace_id").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"), "keyspace_id", F.col("keyspace_id").alias("keyspace_name"), F.lit("ysql").alias("keyspace_type"))
+    return {"keyspaces": brands, "tables": tables, "tablets": tablets.drop("table_name", "keyspace_id"), "replicas": replicas.join(tablets.select("snapshot_id", "tablet_id"), ["snapshot_id", "tablet_id"], "left_semi")}
+
+
+BLOCK = 1000  # keys that one health row lists
+
+
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per snapshot: suppliers whose last line was returned are dead; tablets with fewer than two replicas are under-replicated.
+
+    A leader's lists come in rows of at most ``BLOCK`` keys each.
+    """
+    h = hierarchy(spark, sf_dir)
+    empty = F.array().cast("array<string>")
+    suppliers = _last_lines(spark, sf_dir, F.col("l_suppkey").alias("k")).where("z.l_returnflag = 'R'").groupBy("snapshot_id", F.floor(F.col("k") / BLOCK).alias("block"))
+    dead = suppliers.agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(":9100")))).alias("dead_nodes")).withColumn("under_replicated_tablets", empty)
+    n = h["replicas"].groupBy("snapshot_id", "tablet_id").agg(F.count("*").alias("n")).where("n > 1")
+    few = h["tablets"].join(n, ["snapshot_id", "tablet_id"], "left_anti").groupBy("snapshot_id", F.floor(F.col("tablet_id").cast("long") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list("tablet_id")).alias("under_replicated_tablets")).withColumn("dead_nodes", empty)
+    return dead.unionByName(few).select("snapshot_id", F.lit("m1:7000").alias("hostname_port"), "dead_nodes", "under_replicated_tablets")

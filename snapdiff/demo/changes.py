@@ -110,97 +110,88 @@ def masters_report(s, d):
     return E.leader_rows(m, leaders(s, d)).select("snapshot_id", "permanent_uuid", "role", "zone")
 
 
-def health_sql(dates: tuple[str, str] = ("1996-01-01", "1997-01-01"), days: int = 7) -> str:
-    values = ", ".join(f"({i}, TIMESTAMP '{c}')" for i, c in enumerate(dates))
-    return f"""hd(snapshot_id, t) AS (VALUES {values}),
-hl AS (SELECT DISTINCT snapshot_id, l_suppkey, l_partkey FROM lineitem JOIN hd ON l_shipdate < t AND l_shipdate >= t - INTERVAL {days} DAYS),
-dead AS (SELECT snapshot_id, 's' || s_suppkey || ':9100' AS addr FROM supplier, hd WHERE NOT EXISTS (SELECT 1 FROM hl WHERE hl.snapshot_id = hd.snapshot_id AND l_suppkey = s_suppkey)),
-few AS (SELECT snapshot_id, CAST(l_partkey AS VARCHAR) AS tablet_id FROM hl GROUP BY ALL HAVING count(DISTINCT l_suppkey) < 2)"""
+_LINE = "max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'f': l_returnflag, 'u': l_linestatus})"
+ENT = f"""dts(snapshot_id, t) AS (VALUES {', '.join(f"({i}, TIMESTAMP '{c}')" for i, c in enumerate(A.DATES))}),
+pr AS (SELECT snapshot_id, l_partkey, l_suppkey, {_LINE} AS z FROM lineitem JOIN dts ON l_shipdate < t GROUP BY ALL),
+pt AS (SELECT snapshot_id, l_partkey, max(z) AS z FROM pr GROUP BY ALL),
+pn AS (SELECT p_partkey, p_brand || '.' || p_size AS keyspace_id, p_brand || '.' || p_size || '.' || p_type AS table_id, p_type AS table_name FROM part),
+tl AS (SELECT snapshot_id, CAST(l_partkey AS VARCHAR) AS tablet_id, table_id, table_name, keyspace_id, CASE WHEN z.u = 'O' THEN 'RUNNING' ELSE 'CREATING' END AS state, CAST(z.s AS VARCHAR) AS leader FROM pt JOIN pn ON l_partkey = p_partkey WHERE z.f <> 'R'),
+tb AS (SELECT snapshot_id, table_id, keyspace_id, table_name, max(state) AS state FROM tl GROUP BY ALL),
+ks AS (SELECT snapshot_id, keyspace_id FROM (SELECT DISTINCT keyspace_id FROM pn), dts),
+rp AS (SELECT snapshot_id, CAST(l_partkey AS VARCHAR) AS tablet_id, CAST(l_suppkey AS VARCHAR) AS server_uuid, CASE WHEN z.u = 'F' THEN 'VOTER' ELSE 'OBSERVER' END AS type, 's' || l_suppkey || ':9100' AS addr
+  FROM pr WHERE z.f <> 'R' AND EXISTS (SELECT 1 FROM tl WHERE tl.snapshot_id = pr.snapshot_id AND tl.tablet_id = CAST(l_partkey AS VARCHAR))),
+tla AS (SELECT tl.*, coalesce(addr, '') AS la FROM tl LEFT JOIN rp ON rp.snapshot_id = tl.snapshot_id AND rp.tablet_id = tl.tablet_id AND rp.server_uuid = tl.leader)"""
+HEALTH = f"""dead AS (SELECT snapshot_id, 's' || l_suppkey || ':9100' AS addr FROM (SELECT snapshot_id, l_suppkey, {_LINE} AS z FROM lineitem JOIN dts ON l_shipdate < t GROUP BY ALL) WHERE z.f = 'R'),
+few AS (SELECT tl.snapshot_id, tl.tablet_id FROM tl LEFT JOIN rp ON rp.snapshot_id = tl.snapshot_id AND rp.tablet_id = tl.tablet_id GROUP BY ALL HAVING count(server_uuid) < 2)"""
 
 
-@query("health_diff", f"""WITH {health_sql()}, u AS (SELECT snapshot_id, 'dead_nodes' AS item, addr AS value FROM dead UNION ALL SELECT snapshot_id, 'under_replicated_tablets', tablet_id FROM few)
+@query("health_diff", f"""WITH {ENT}, {HEALTH}, u AS (SELECT snapshot_id, 'dead_nodes' AS item, addr AS value FROM dead UNION ALL SELECT snapshot_id, 'under_replicated_tablets', tablet_id FROM few)
 SELECT '+' AS change, item, value FROM (SELECT item, value FROM u WHERE snapshot_id = 1 EXCEPT SELECT item, value FROM u WHERE snapshot_id = 0)
 UNION ALL SELECT '-', item, value FROM (SELECT item, value FROM u WHERE snapshot_id = 0 EXCEPT SELECT item, value FROM u WHERE snapshot_id = 1)""")
 def health_diff(s, d):
     return G.health_diff(A.health(s, d), 0, 1)
 
 
-def ent_sql(days: int, dates: tuple[str, str] = ("1997-01-01", "1998-01-01")) -> str:
-    values = ", ".join(f"({i}, TIMESTAMP '{c}')" for i, c in enumerate(dates))
-    return f"""dts(snapshot_id, t) AS (VALUES {values}),
-ln AS (SELECT snapshot_id, p_brand AS keyspace_id, p_brand || '.' || p_type AS table_id, p_type AS table_name, CAST(p_partkey AS VARCHAR) AS tablet_id, CAST(l_suppkey AS VARCHAR) AS server_uuid, l_shipdate, l_orderkey, l_linenumber, l_suppkey
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN dts ON l_shipdate < t AND l_shipdate >= t - INTERVAL {days} DAYS),
-ks AS (SELECT snapshot_id, p_brand AS keyspace_id FROM (SELECT DISTINCT p_brand FROM part), dts),
-tb AS (SELECT DISTINCT snapshot_id, table_id, keyspace_id, table_name FROM ln),
-tl AS (SELECT snapshot_id, tablet_id, table_id, CASE WHEN count(*) > 1 THEN 'RUNNING' ELSE 'CREATING' END AS state, CAST(arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS VARCHAR) AS leader FROM ln GROUP BY ALL),
-rp AS (SELECT snapshot_id, tablet_id, server_uuid, CASE WHEN max(l_linenumber) % 2 = 0 THEN 'VOTER' ELSE 'OBSERVER' END AS type, 's' || server_uuid || ':9100' AS addr FROM ln GROUP BY ALL),
-tla AS (SELECT tl.*, coalesce(addr, '') AS la FROM tl LEFT JOIN rp ON rp.snapshot_id = tl.snapshot_id AND rp.tablet_id = tl.tablet_id AND rp.server_uuid = tl.leader)"""
-
-
-@query("keyspace_diff", f"WITH {ent_sql(1)}, n AS (SELECT snapshot_id, keyspace_id, count(*) AS n FROM tb GROUP BY ALL), x AS (SELECT {kind('true', 'n')} AS change, keyspace_id, keyspace_id AS name, false AS colocated, coalesce(b.n, 0) AS tables_before, coalesce(e.n, 0) AS tables_after FROM {full('n', 'keyspace_id')}) SELECT * FROM x WHERE change IS NOT NULL")
+@query("keyspace_diff", f"WITH {ENT}, n AS (SELECT snapshot_id, keyspace_id, count(*) AS n FROM tb GROUP BY ALL), x AS (SELECT {kind('true', 'n')} AS change, keyspace_id, keyspace_id AS name, false AS colocated, coalesce(b.n, 0) AS tables_before, coalesce(e.n, 0) AS tables_after FROM {full('n', 'keyspace_id')}) SELECT * FROM x WHERE change IS NOT NULL")
 def keyspace_diff(s, d):
-    h = A.hierarchy(s, d, 1)
+    h = A.hierarchy(s, d)
     return E.keyspace_diff(h["keyspaces"], h["tables"], 0, 1)
 
 
-@query("table_diff", f"WITH {ent_sql(7)}, x AS (SELECT {kind('true', 'table_name')} AS change, table_id, coalesce(e.keyspace_id, b.keyspace_id) AS keyspace_name, b.table_name AS table_name_before, e.table_name AS table_name_after, CASE WHEN b.table_name IS NOT NULL THEN 'RUNNING' END AS state_before, CASE WHEN e.table_name IS NOT NULL THEN 'RUNNING' END AS state_after, false AS colocated FROM {full('tb', 'table_id')}) SELECT * FROM x WHERE change IS NOT NULL")
+@query("table_diff", f"WITH {ENT}, x AS (SELECT {kind('b.state = e.state', 'table_name')} AS change, table_id, coalesce(e.keyspace_id, b.keyspace_id) AS keyspace_name, b.table_name AS table_name_before, e.table_name AS table_name_after, b.state AS state_before, e.state AS state_after, false AS colocated FROM {full('tb', 'table_id')}) SELECT * FROM x WHERE change IS NOT NULL")
 def table_diff(s, d):
-    h = A.hierarchy(s, d, 7)
+    h = A.hierarchy(s, d)
     return E.table_diff(h["tables"], h["keyspaces"], h["tablets"], 0, 1)
 
 
-def _tablets(days: int) -> str:
-    return f"""{ent_sql(days)}, x AS (SELECT {kind('b.state = e.state AND b.la = e.la', 'state')} AS change, tablet_id, coalesce(e.table_id, b.table_id) AS table_id, b.state AS state_before, e.state AS state_after, b.la AS leader_addr_before, e.la AS leader_addr_after FROM {full('tla', 'tablet_id')}),
-nm AS (SELECT DISTINCT table_id, table_name, keyspace_id AS keyspace_name FROM tb), y AS (SELECT change, tablet_id, keyspace_name, table_name, state_before, state_after, leader_addr_before, leader_addr_after FROM x JOIN nm USING (table_id) WHERE change IS NOT NULL)"""
+_TABLETS = f"""{ENT}, x AS (SELECT {kind('b.state = e.state AND b.la = e.la', 'state')} AS change, tablet_id, coalesce(e.table_id, b.table_id) AS table_id, b.state AS state_before, e.state AS state_after, b.la AS leader_addr_before, e.la AS leader_addr_after FROM {full('tla', 'tablet_id')}),
+nm AS (SELECT DISTINCT table_id, table_name, keyspace_id AS keyspace_name FROM pn), y AS (SELECT change, tablet_id, keyspace_name, table_name, state_before, state_after, leader_addr_before, leader_addr_after FROM x JOIN nm USING (table_id) WHERE change IS NOT NULL)"""
 
 
-def _tablet_diff(s, d, days=30):
-    h = A.hierarchy(s, d, days)
+@query("tablet_diff", f"WITH {_TABLETS} SELECT * FROM y")
+def tablet_diff(s, d):
+    h = A.hierarchy(s, d)
     return E.tablet_diff(h["tablets"], h["replicas"], h["tables"], h["keyspaces"], 0, 1)
 
 
-query("tablet_diff", f"WITH {_tablets(30)} SELECT * FROM y")(_tablet_diff)
-
-
-@query("leader_moves", f"WITH {_tablets(60)} SELECT tablet_id, keyspace_name, table_name, leader_addr_before AS before, leader_addr_after AS after FROM y WHERE change = '=' AND leader_addr_before <> leader_addr_after")
+@query("leader_moves", f"WITH {_TABLETS} SELECT tablet_id, keyspace_name, table_name, leader_addr_before AS before, leader_addr_after AS after FROM y WHERE change = '=' AND leader_addr_before <> leader_addr_after")
 def leader_moves(s, d):
-    return E.leader_moves(_tablet_diff(s, d, 60))
+    return E.leader_moves(tablet_diff(s, d))
 
 
-@query("replica_diff", f"""WITH {ent_sql(30)}, x AS (SELECT {kind('b.type = e.type', 'type')} AS change, tablet_id, server_uuid, b.type AS type_before, e.type AS type_after, b.addr AS addr_before, e.addr AS addr_after FROM {full('rp', 'tablet_id, server_uuid')}),
-nm AS (SELECT DISTINCT tablet_id, table_name, keyspace_id AS keyspace_name FROM ln) SELECT change, tablet_id, server_uuid, keyspace_name, table_name, type_before, type_after, addr_before, addr_after FROM x JOIN nm USING (tablet_id) WHERE change IS NOT NULL""")
+@query("replica_diff", f"""WITH {ENT}, x AS (SELECT {kind('b.type = e.type', 'type')} AS change, tablet_id, server_uuid, b.type AS type_before, e.type AS type_after, b.addr AS addr_before, e.addr AS addr_after FROM {full('rp', 'tablet_id, server_uuid')}),
+nm AS (SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, table_name, keyspace_id AS keyspace_name FROM pn) SELECT change, tablet_id, server_uuid, keyspace_name, table_name, type_before, type_after, addr_before, addr_after FROM x JOIN nm USING (tablet_id) WHERE change IS NOT NULL""")
 def replica_diff(s, d):
-    h = A.hierarchy(s, d, 30)
+    h = A.hierarchy(s, d)
     return E.replica_diff(h["replicas"], h["tablets"], h["tables"], h["keyspaces"], 0, 1)
 
 
-_DATES = ("1996-01-01", "1997-01-01")
-_MARKED = f"""{ent_sql(30, _DATES)}, {health_sql(_DATES)},
+_MARKED = f"""{ENT}, {HEALTH},
 mk AS (SELECT rp.*, dead.addr IS NOT NULL AS is_dead, few.tablet_id IS NOT NULL AS is_few FROM rp LEFT JOIN dead ON dead.snapshot_id = rp.snapshot_id AND dead.addr = rp.addr LEFT JOIN few ON few.snapshot_id = rp.snapshot_id AND few.tablet_id = rp.tablet_id)"""
 
 
 @query("replica_liveness", f"WITH {_MARKED} SELECT snapshot_id, tablet_id, server_uuid, is_dead AS dead, is_few AS under_replicated FROM mk")
 def replica_liveness(s, d):
-    return E.mark_liveness(A.hierarchy(s, d, 30, _DATES)["replicas"], A.health(s, d)).select("snapshot_id", "tablet_id", "server_uuid", "dead", "under_replicated")
+    return E.mark_liveness(A.hierarchy(s, d)["replicas"], A.health(s, d)).select("snapshot_id", "tablet_id", "server_uuid", "dead", "under_replicated")
 
 
 @query("entities_report", f"""WITH {_MARKED} SELECT mk.snapshot_id, keyspace_id AS keyspace_name, table_name, mk.tablet_id, tl.state AS tablet_state, server_uuid, type, addr,
  concat_ws(' ', CASE WHEN server_uuid = leader THEN 'LEADER' END, CASE WHEN is_dead THEN 'DEAD' END, CASE WHEN is_few THEN 'UNDER REPLICATED' END) AS marks
- FROM mk JOIN tl ON tl.snapshot_id = mk.snapshot_id AND tl.tablet_id = mk.tablet_id JOIN tb ON tb.snapshot_id = mk.snapshot_id AND tb.table_id = tl.table_id""")
+ FROM mk JOIN tl ON tl.snapshot_id = mk.snapshot_id AND tl.tablet_id = mk.tablet_id""")
 def entities_report(s, d):
-    h = A.hierarchy(s, d, 30, _DATES)
+    h = A.hierarchy(s, d)
     return E.entities_report(h["keyspaces"], h["tables"], h["tablets"], h["replicas"], A.health(s, d))
 
 
 def all_tables(s, d):
     """Every table that parts name, live or not, in both snapshots."""
-    part = A.table(s, d, "part").select("p_brand", "p_type").distinct()
-    return part.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"), F.concat_ws(".", "p_brand", "p_type").alias("table_id"), F.col("p_brand").alias("keyspace_id"), F.col("p_type").alias("table_name"), F.lit("RUNNING").alias("state"))
+    part = A.part_names(s, d).select("keyspace_id", "table_id", "table_name").distinct()
+    return part.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"), "table_id", "keyspace_id", "table_name", F.lit("RUNNING").alias("state"))
 
 
-@query("colocated_tables", f"WITH {ent_sql(7)} SELECT snapshot_id, p_brand || '.' || p_type AS table_id, p_brand AS keyspace_id FROM (SELECT DISTINCT p_brand, p_type FROM part), dts WHERE NOT EXISTS (SELECT 1 FROM tl WHERE tl.snapshot_id = dts.snapshot_id AND tl.table_id = p_brand || '.' || p_type)")
+@query("colocated_tables", f"WITH {ENT} SELECT snapshot_id, table_id, keyspace_id FROM (SELECT DISTINCT table_id, keyspace_id FROM pn) p, dts WHERE NOT EXISTS (SELECT 1 FROM tl WHERE tl.snapshot_id = dts.snapshot_id AND tl.table_id = p.table_id)")
 def colocated_tables(s, d):
-    h = A.hierarchy(s, d, 7)
+    h = A.hierarchy(s, d)
     return E.colocated_tables(all_tables(s, d), h["keyspaces"], h["tablets"]).select("snapshot_id", "table_id", "keyspace_id")
 
 
@@ -271,17 +262,16 @@ def keyspace_renames(s, d):
     return E.keyspace_diff(ks, none, 0, 1).select("change", "keyspace_id", "name")
 
 
-_TREE = f"""{ent_sql(30, _DATES)}, {health_sql(_DATES)}, n AS (SELECT snapshot_id, keyspace_id FROM tb GROUP BY ALL),
-alltb AS (SELECT snapshot_id, p_brand || '.' || p_type AS table_id, p_brand AS keyspace_id, p_type AS table_name FROM (SELECT DISTINCT p_brand, p_type FROM part), dts)"""
+_TREE = f"""{ENT}, {HEALTH}, alltb AS (SELECT snapshot_id, table_id, keyspace_id, table_name FROM (SELECT DISTINCT table_id, keyspace_id, table_name FROM pn), dts)"""
 
 
 @query("entities_tree", f"""WITH {_TREE} SELECT DISTINCT snapshot_id, 'keyspace' AS kind, keyspace_id AS keyspace_name, '' AS table_name, '' AS tablet_id, '' AS server_uuid, '' AS marks FROM alltb
 UNION ALL SELECT snapshot_id, 'table', keyspace_id, table_name, '', '', CASE WHEN EXISTS (SELECT 1 FROM tl WHERE tl.snapshot_id = alltb.snapshot_id AND tl.table_id = alltb.table_id) THEN '' ELSE 'COLOCATED' END FROM alltb
-UNION ALL SELECT tl.snapshot_id, 'tablet', tb.keyspace_id, tb.table_name, tl.tablet_id, '', concat_ws(' ', tl.state, CASE WHEN few.tablet_id IS NOT NULL THEN 'UNDER REPLICATED' END) FROM tl JOIN tb USING (snapshot_id, table_id) LEFT JOIN few ON few.snapshot_id = tl.snapshot_id AND few.tablet_id = tl.tablet_id
-UNION ALL SELECT rp.snapshot_id, 'replica', tb.keyspace_id, tb.table_name, rp.tablet_id, server_uuid, concat_ws(' ', type, CASE WHEN server_uuid = leader THEN 'LEADER' END, CASE WHEN dead.addr IS NOT NULL THEN 'DEAD' END) FROM rp JOIN tl USING (snapshot_id, tablet_id) JOIN tb USING (snapshot_id, table_id) LEFT JOIN dead ON dead.snapshot_id = rp.snapshot_id AND dead.addr = rp.addr""")
+UNION ALL SELECT tl.snapshot_id, 'tablet', tl.keyspace_id, tl.table_name, tl.tablet_id, '', concat_ws(' ', tl.state, CASE WHEN few.tablet_id IS NOT NULL THEN 'UNDER REPLICATED' END) FROM tl LEFT JOIN few ON few.snapshot_id = tl.snapshot_id AND few.tablet_id = tl.tablet_id
+UNION ALL SELECT rp.snapshot_id, 'replica', tl.keyspace_id, tl.table_name, rp.tablet_id, server_uuid, concat_ws(' ', type, CASE WHEN server_uuid = leader THEN 'LEADER' END, CASE WHEN dead.addr IS NOT NULL THEN 'DEAD' END) FROM rp JOIN tl USING (snapshot_id, tablet_id) LEFT JOIN dead ON dead.snapshot_id = rp.snapshot_id AND dead.addr = rp.addr""")
 def entities_tree(s, d):
-    """All tables that parts name; those without order lines have no tablets."""
-    h = A.hierarchy(s, d, 30, _DATES)
+    """All tables that parts name; those whose parts were all returned have no tablets."""
+    h = A.hierarchy(s, d)
     return E.entities_tree(h["keyspaces"], all_tables(s, d), h["tablets"], h["replicas"], A.health(s, d))
 
 

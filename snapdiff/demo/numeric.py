@@ -90,7 +90,7 @@ def duplicate_keys(s, d):
 
 @query("catalog_lookup", f"WITH {EV}, {CAT} SELECT DISTINCT name, coalesce(unit, '?') AS unit, coalesce(suffix, '?') AS suffix, coalesce(kind, '?') AS kind, coalesce(divisor, 1) AS divisor FROM ev LEFT JOIN cat USING (name)")
 def catalog_lookup(s, d):
-    return C.with_catalog(A.table(s, d, "events").select(F.col("event_type").alias("name")).distinct(), C.checked(A.catalog(s)))
+    return C.with_catalog(A.table(s, d, "events").select(F.col("event_type").alias("name")).distinct(), A.catalog(s))
 
 
 _ST = f"""st AS (SELECT snapshot_id, hostname_port, 'select ''' || name || '''' AS query, sum(n) AS calls, sum(cents) AS total_time, sum(k) AS r FROM ev GROUP BY ALL),
@@ -161,6 +161,15 @@ def sample_counter_diff(s, d):
     return N.sample_counter_diff(summarised(s, d), A.snapshots(s), 0, 1)
 
 
+@query("sample_detail_diff", f"""WITH {_SAMPLES}, s AS (SELECT snapshot_id, hostname_port, name, labels, value FROM samples WHERE exporter_type = 'counter'
+ UNION ALL SELECT snapshot_id, hostname_port, name, CASE WHEN state IS NULL THEN '' ELSE '_' || state END, sum(value) FROM samples WHERE exporter_type = 'counter' GROUP BY ALL),
+two AS (SELECT hostname_port, name, labels, coalesce(sum(value) FILTER (snapshot_id = 1), 0) - coalesce(sum(value) FILTER (snapshot_id = 0), 0) AS delta FROM s GROUP BY ALL)
+SELECT *, delta / CAST(864000 AS DOUBLE) AS rate FROM two WHERE delta <> 0""")
+def sample_detail_diff(s, d):
+    """Sums and each CPU."""
+    return N.sample_counter_diff(summarised(s, d), A.snapshots(s), 0, 1, details=True)
+
+
 @query("sample_gauge_diff", f"WITH {_SAMPLES} SELECT hostname_port, name, labels, coalesce(sum(value) FILTER (snapshot_id = 1), 0) AS value, coalesce(sum(value) FILTER (snapshot_id = 1), 0) - coalesce(sum(value) FILTER (snapshot_id = 0), 0) AS delta FROM samples WHERE exporter_type = 'gauge' GROUP BY ALL")
 def sample_gauge_diff(s, d):
     return N.sample_gauge_diff(mark_category(A.samples(s, d)), A.snapshots(s), 0, 1)

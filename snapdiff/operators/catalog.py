@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CATALOG = "name string, unit string, suffix string, kind string, divisor long"
-BROADCAST_ROWS = 100_000
 
 
 def checked(catalog: DataFrame) -> DataFrame:
     """Equal rows once; an error where one name has different rows."""
-    one = catalog.distinct()
-    clash = one.groupBy("name").agg(F.count("*").alias("n"))
-    ok = F.assert_true(F.col("n") == 1, F.concat(F.lit("catalog rows differ for "), F.col("name")))
-    return one.join(clash, "name").where(ok.isNull()).drop("n")
+    row = F.struct(*[c for c in catalog.columns if c != "name"])
+    one = catalog.groupBy("name").agg(F.min(row).alias("low"), F.max(row).alias("high"))
+    differ = F.raise_error(F.concat(F.lit("catalog rows differ for "), F.col("name")))
+    return one.select("name", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(differ).alias("row")).select("name", "row.*")
 
 
 def inferred_unit(name: Column) -> Column:
@@ -26,11 +25,12 @@ def inferred_unit(name: Column) -> Column:
     return unit
 
 
-def with_catalog(df: DataFrame, catalog: DataFrame, rows: int | None = None) -> DataFrame:
-    """Left join; what the catalog lacks has unit, suffix and kind ``?`` and divisor 1. Broadcast only if it is small."""
-    n = catalog.count() if rows is None else rows
-    side = F.broadcast(catalog) if n <= BROADCAST_ROWS else catalog
-    out = df.join(side, "name", "left")
+def with_catalog(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Left join with the checked catalog; what it lacks has unit, suffix and kind ``?`` and divisor 1.
+
+    The join has no hint: Spark broadcasts the catalog where its size is known to be small.
+    """
+    out = df.join(checked(catalog), "name", "left")
     for c in ("unit", "suffix", "kind"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit("?")))
     return out.withColumn("divisor", F.coalesce("divisor", F.lit(1)).cast("long"))

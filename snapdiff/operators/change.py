@@ -31,11 +31,24 @@ def leader_of(leaders: DataFrame) -> DataFrame:
     return leaders.where("status = 'OK'").groupBy("snapshot_id").agg(first.alias("hostname_port"))
 
 
-def leader_view(df: DataFrame, leaders: DataFrame | None, begin: int, end: int) -> DataFrame:
-    """Rows of both snapshots as the leader of each reported them; none if a side has no leader."""
+def leaders_of_pair(leaders: DataFrame, begin: int, end: int) -> dict[int, str]:
+    """The leader's host of each of the two snapshots; looked up once for a report (two rows at most come to the driver)."""
+    return {r.snapshot_id: r.hostname_port for r in leader_of(pair(leaders, begin, end)).collect()}
+
+
+def leader_view(df: DataFrame, leaders: DataFrame | dict[int, str] | None, begin: int, end: int) -> DataFrame:
+    """Rows of both snapshots as the leader of each reported them; none if a side has no leader.
+
+    With leaders that were looked up the view is a filter by values, which reaches the scan.
+    """
     rows = pair(df, begin, end)
     if leaders is None or "hostname_port" not in df.columns:
         return rows
+    if isinstance(leaders, dict):
+        here = F.lit(False)
+        for n in {begin, end} if {begin, end} <= leaders.keys() else ():
+            here = here | ((F.col("snapshot_id") == n) & (F.col("hostname_port") == leaders[n]))
+        return rows.where(here)
     both = leader_of(pair(leaders, begin, end)).groupBy().agg(F.collect_list(F.struct("snapshot_id", "hostname_port")).alias("l"))  # two rows at most
     both = both.where(F.size("l") == len({begin, end})).select(F.inline("l"))
     return rows.join(both, ["snapshot_id", "hostname_port"], "left_semi")
@@ -87,8 +100,9 @@ def vars_diff(vars_: DataFrame, begin: int, end: int, include_empty: bool = Fals
     return a.where(both & ~F.col("b").eqNullSafe(F.col("e"))).select("hostname_port", "name", F.col("b.value").alias("before"), F.col("e.value").alias("after"), F.col("b.var_type").alias("type_before"), F.col("e.var_type").alias("type_after"))
 
 
-def tserver_diff(servers: DataFrame, begin: int, end: int) -> DataFrame:
-    """Tablet servers whose status changed, or whose uptime went down (a restart)."""
+def tserver_diff(servers: DataFrame, begin: int, end: int, leaders: DataFrame | None = None) -> DataFrame:
+    """Tablet servers whose status changed, or whose uptime went down (a restart), as the leader of each side sees them."""
+    servers = leader_view(servers, leaders, begin, end)
     a = sides(servers, ["server"], ["status", "uptime_seconds"], begin, end)
     restart = F.coalesce(F.col("e.uptime_seconds") < F.col("b.uptime_seconds"), F.lit(False))
     change = kind_of(F.col("b"), F.col("e"), (F.col("b.status").eqNullSafe(F.col("e.status"))) & ~restart)
@@ -96,16 +110,17 @@ def tserver_diff(servers: DataFrame, begin: int, end: int) -> DataFrame:
 
 
 def health_diff(health: DataFrame, begin: int, end: int, leaders: DataFrame | None = None) -> DataFrame:
-    """(change, item, value): list members that came (+) and went (-) in the leaders' reports; nothing if a side has no report."""
+    """(change, item, value): list members that came (+) and went (-) in the leaders' reports; nothing if a side has no report.
+
+    A side's lists may come in several rows; members are compared by one aggregate, never gathered.
+    """
     health = leader_view(health, leaders, begin, end)
-    side = lambda n, c: F.max(F.when(F.col("snapshot_id") == n, F.col(c)))
-    both = (F.max(F.col("snapshot_id") == begin)) & (F.max(F.col("snapshot_id") == end))
-    lists = ("dead_nodes", "under_replicated_tablets")
-    one = health.where(F.col("snapshot_id").isin(begin, end)).agg(both.alias("both"), *[side(n, c).alias(f"{s}_{c}") for c in lists for s, n in (("b", begin), ("e", end))]).where("both")
-    empty = F.array().cast("array<string>")
+    both = health.agg(F.coalesce(F.max(F.col("snapshot_id") == begin) & F.max(F.col("snapshot_id") == end), F.lit(False))).scalar()
+    none = F.array().cast("array<struct<item:string,value:string>>")
 
-    def members(sign: str, column: str, here: str, there: str) -> Column:
-        only = F.array_except(F.coalesce(F.col(f"{here}_{column}"), empty), F.coalesce(F.col(f"{there}_{column}"), empty))
-        return F.transform(only, lambda v: F.struct(F.lit(sign).alias("change"), F.lit(column).alias("item"), v.alias("value")))
+    def members(item: str) -> Column:
+        return F.coalesce(F.transform(F.col(item), lambda v: F.struct(F.lit(item).alias("item"), v.alias("value"))), none)
 
-    return one.select(F.inline(F.concat(*[members(sign, c, x, y) for c in lists for sign, x, y in (("+", "e", "b"), ("-", "b", "e"))])))
+    each = health.select("snapshot_id", F.inline(F.concat(members("dead_nodes"), members("under_replicated_tablets"))))
+    a = each.groupBy("item", "value").agg(F.max(F.col("snapshot_id") == begin).alias("b"), F.max(F.col("snapshot_id") == end).alias("e"))
+    return a.where((F.col("b") != F.col("e")) & both).select(F.when(F.col("e"), "+").otherwise("-").alias("change"), "item", "value")

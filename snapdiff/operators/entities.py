@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_catalog_object, is_colocation_parent, is_system_keyspace
+from ..sources.store import settled
 from .change import changed_fields, kind_of, leader_of, pair, sides
 
 
@@ -137,30 +138,38 @@ def entities_report(keyspaces: DataFrame, tables: DataFrame, tablets: DataFrame,
     return r.select("snapshot_id", "keyspace_name", "table_name", "tablet_id", "tablet_state", "server_uuid", "type", "addr", marks.alias("marks"))
 
 
+def visible_keyspaces(keyspaces: DataFrame, tables: DataFrame, system: bool = True) -> DataFrame:
+    """(snapshot_id, keyspace_id, keyspace_name, ks_marks) of keyspaces that show: no dropped YSQL ones, no system ones unless ``system``."""
+    ks = keyspaces.join(tables_per_keyspace(tables), ["snapshot_id", "keyspace_id"], "left").where("keyspace_type <> 'ysql' OR n_tables > 0")
+    own = is_system_keyspace(F.col("keyspace_id"))
+    ks = ks if system else ks.where(~own)
+    return ks.select("snapshot_id", "keyspace_id", "keyspace_name", F.when(own, "SYSTEM").otherwise("").alias("ks_marks"))
+
+
 def entities_tree(keyspaces: DataFrame, tables: DataFrame, tablets: DataFrame, replicas: DataFrame, health: DataFrame, system: bool = True) -> DataFrame:
     """(snapshot_id, kind, keyspace_name, table_name, tablet_id, server_uuid, marks): each level on its own rows.
 
     A keyspace without tables, a table without tablets and a tablet without replicas have their row;
     YSQL keyspaces that were dropped (no tables) do not show, nor do system keyspaces unless
     ``system``. Marks: of keyspaces SYSTEM; of tables COLOCATED; of tablets their state and UNDER
-    REPLICATED; of replicas their type, LEADER and DEAD.
+    REPLICATED; of replicas their type, LEADER and DEAD. Names go down level by level: those of tables and
+    of tablets are joined once and written to the shared folder, where the level below reads them.
     """
-    n = tables_per_keyspace(tables)
-    ks = keyspaces.join(n, ["snapshot_id", "keyspace_id"], "left").where("keyspace_type <> 'ysql' OR n_tables > 0")
-    own = is_system_keyspace(F.col("keyspace_id"))
-    ks = ks if system else ks.where(~own)
-    ks = ks.select("snapshot_id", "keyspace_id", "keyspace_name", F.when(own, "SYSTEM").otherwise("").alias("ks_marks"))
+    ks = visible_keyspaces(keyspaces, tables, system)
     coloc = colocated_tables(tables, keyspaces, tablets).select("snapshot_id", "table_id", F.lit("COLOCATED").alias("t_marks"))
     tb = tables.join(ks.drop("ks_marks"), ["snapshot_id", "keyspace_id"]).join(coloc, ["snapshot_id", "table_id"], "left").select("snapshot_id", "table_id", "keyspace_name", "table_name", F.coalesce("t_marks", F.lit("")).alias("t_marks"))
+    tb = settled(tb, "tables")
     few = health.select("snapshot_id", F.explode("under_replicated_tablets").alias("tablet_id"), F.lit("UNDER REPLICATED").alias("few")).distinct()
     tl = tablets.select("snapshot_id", "tablet_id", "table_id", "state", "leader").join(tb.drop("t_marks"), ["snapshot_id", "table_id"]).join(few, ["snapshot_id", "tablet_id"], "left")
-    re = mark_liveness(replicas, health).join(tl.select("snapshot_id", "tablet_id", "keyspace_name", "table_name", "leader"), ["snapshot_id", "tablet_id"])
+    tl = settled(tl, "tablets")
+    dead = health.select("snapshot_id", F.explode("dead_nodes").alias("addr"), F.lit("DEAD").alias("dead")).distinct()
+    re = replicas.join(tl.select("snapshot_id", "tablet_id", "keyspace_name", "table_name", "leader"), ["snapshot_id", "tablet_id"]).join(dead, ["snapshot_id", "addr"], "left")
     none = F.lit("")
     row = lambda df, kind, table, tablet, server, marks: df.select("snapshot_id", F.lit(kind).alias("kind"), "keyspace_name", table.alias("table_name"), tablet.alias("tablet_id"), server.alias("server_uuid"), marks.alias("marks"))
     parts = [
         row(ks, "keyspace", none, none, none, F.col("ks_marks")),
         row(tb, "table", F.col("table_name"), none, none, F.col("t_marks")),
         row(tl, "tablet", F.col("table_name"), F.col("tablet_id"), none, F.concat_ws(" ", "state", "few")),
-        row(re, "replica", F.col("table_name"), F.col("tablet_id"), F.col("server_uuid"), F.concat_ws(" ", "type", F.when(F.col("server_uuid") == F.col("leader"), "LEADER"), F.when(F.col("dead"), "DEAD"))),
+        row(re, "replica", F.col("table_name"), F.col("tablet_id"), F.col("server_uuid"), F.concat_ws(" ", "type", F.when(F.col("server_uuid") == F.col("leader"), "LEADER"), "dead")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import table_label
 from ..functions.filters import match_filters
 from .catalog import with_catalog
 
@@ -17,9 +18,8 @@ SERIES = ("hostname_port", "metric_type", "metric_id", "name")
 
 
 def begin_time(snapshots: DataFrame, begin: int) -> Column:
-    """The begin snapshot's time, for keys that only the end has; the catalog is looked up once."""
-    row = snapshots.where(F.col("snapshot_id") == begin).select("ts").first()
-    return F.lit(row[0]) if row else F.lit(None).cast("timestamp_ntz")
+    """The begin snapshot's time, for keys that only the end has; a scalar subquery, so that no job runs while a plan is made."""
+    return snapshots.where(F.col("snapshot_id") == begin).agg(F.min("ts")).scalar()
 
 
 def roll_up_scope(metrics: DataFrame, details: bool = False) -> DataFrame:
@@ -63,46 +63,104 @@ def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0)).cast("long")
 
 
-def _aligned(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, kind: str, values: list[str], details: bool, filters: dict) -> DataFrame:
-    rows = roll_up_scope(match_filters(metrics.where(F.col("kind") == kind), **filters), details)
-    extra = ["namespace", "table_name"]
-    out = align(rows.drop("kind"), list(SERIES), values, begin, end, keep=extra)
+#: What is compared of each kind of metric.
+VALUES = {"value": ("value",), "countsum": ("total_count", "total_sum"), "countsumrows": ("total_count", "total_sum", "rows_")}
+
+
+def metric_pairs(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, kinds: tuple[str, ...] = tuple(VALUES), details: bool = False, host: str | None = None, stat: str | None = None, table: str | None = None) -> DataFrame:
+    """One row per kind (``shape``) and series with ``b_`` and ``e_`` of its values, and ``ms`` between: one scan and one aggregate for all kinds.
+
+    Of rows that share a key the begin side keeps the first (by ``pos``) unless their type is rolled up, the end side
+    sums; statement statistics (``countsumrows``) are never rolled up nor filtered by table, and their end side keeps the last.
+    """
+    rows = match_filters(metrics.where(F.col("snapshot_id").isin(begin, end) & F.col("kind").isin(*kinds)), host, stat).withColumnRenamed("kind", "shape")
+    plain = F.col("shape") == "countsumrows"
+    if table is not None:
+        rows = rows.where(plain | table_label(F.col("namespace"), F.col("table_name")).rlike(table))
+    gone = ~plain & F.col("metric_type").isin(*(() if details else ROLLED))
+    rows = rows.withColumns({c: F.when(gone, F.lit("-")).otherwise(F.col(c)) for c in ("metric_id", "namespace", "table_name")})
+    at_b, at_e = F.col("snapshot_id") == begin, F.col("snapshot_id") == end
+    summed = F.first("metric_type").isin(*ROLLED) & (F.first("shape") != "countsumrows")
+    aggs = []
+    for v in dict.fromkeys(v for k in kinds for v in VALUES[k]):
+        here, there = F.when(at_b, F.col(v)), F.when(at_e, F.col(v))
+        aggs += [F.when(summed, F.sum(here)).otherwise(F.min_by(here, F.when(at_b, F.col("pos")))).alias(f"b_{v}")]
+        aggs += [F.when(F.first("shape") == "countsumrows", F.max_by(there, F.when(at_e, F.col("pos")))).otherwise(F.sum(there)).alias(f"e_{v}")]
+    aggs += [F.min(F.when(at_b, F.col("captured_at"))).alias("b_at"), F.min(F.when(at_e, F.col("captured_at"))).alias("e_at"), F.max("namespace").alias("namespace"), F.max("table_name").alias("table_name")]
+    out = rows.groupBy("shape", *SERIES).agg(*aggs)
     return out.withColumn("ms", millis(F.coalesce("b_at", begin_time(snapshots, begin)), F.col("e_at")))
 
 
+Rule = tuple[Column, dict[str, Column]]
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _counter() -> Rule:
+    """What shows of a pair, and as what; so for the other rules."""
+    delta = _zero("e_value") - _zero("b_value")
+    return (_zero("e_value") > 0) & (F.col("kind") != "gauge") & (delta != 0), {"namespace": F.col("namespace"), "table_name": F.col("table_name"), "delta": delta, "unit": F.col("unit"), "rate": per_second(delta, F.col("ms"))}
+
+
+def _gauge() -> Rule:
+    return (_zero("e_value") > 0) & (F.col("kind") == "gauge"), {"value": _zero("e_value"), "delta": _zero("e_value") - _zero("b_value"), "unit": F.col("unit")}
+
+
+def _latency() -> Rule:
+    count = F.greatest(_zero("e_total_count") - _zero("b_total_count"), F.lit(0))
+    total = _zero("e_total_sum") - _zero("b_total_sum")
+    return (_zero("e_total_count") > 0) & (count != 0), {"count": count, "rate": per_second(count, F.col("ms")), "sum": total, "reset": total < 0, "avg": F.when((total >= 0) & (count != 0), _div(total, F.nullif(count, F.lit(0))))}
+
+
+def _statement() -> Rule:
+    count, total, rows = (_zero(f"e_{v}") - _zero(f"b_{v}") for v in VALUES["countsumrows"])
+    ms = total / F.lit(1000.0)
+    return count > 0, {"count": count, "avg_ms": F.try_divide(ms, count), "total_ms": ms, "avg_rows": _div(rows, F.nullif(count, F.lit(0))), "rows": rows}
+
+
+def _shown(pairs: DataFrame, rule: Rule) -> DataFrame:
+    return pairs.where(rule[0]).select(*SERIES, *[c.alias(n) for n, c in rule[1].items()])
+
+
 def value_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, **filters) -> DataFrame:
     """Counters: what was added, and per second."""
-    a = with_catalog(_aligned(metrics, snapshots, begin, end, "value", ["value"], details, filters), catalog)
-    delta = _zero("e_value") - _zero("b_value")
-    return a.where((_zero("e_value") > 0) & (F.col("kind") != "gauge") & (delta != 0)).select(*SERIES, "namespace", "table_name", delta.alias("delta"), "unit", per_second(delta, F.col("ms")).alias("rate"))
+    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog), _counter())
 
 
 def gauge_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, **filters) -> DataFrame:
     """Gauges: the value at the end, and its signed change, also if 0."""
-    a = with_catalog(_aligned(metrics, snapshots, begin, end, "value", ["value"], details, filters), catalog)
-    return a.where((_zero("e_value") > 0) & (F.col("kind") == "gauge")).select(*SERIES, _zero("e_value").alias("value"), (_zero("e_value") - _zero("b_value")).alias("delta"), "unit")
+    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog), _gauge())
 
 
 def countsum_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, details: bool = False, **filters) -> DataFrame:
     """Latencies: added count, per second, whole average and added sum; a fallen sum is a reset."""
-    a = _aligned(metrics, snapshots, begin, end, "countsum", ["total_count", "total_sum"], details, filters)
-    count = F.greatest(_zero("e_total_count") - _zero("b_total_count"), F.lit(0))
-    total = _zero("e_total_sum") - _zero("b_total_sum")
-    d = a.where((_zero("e_total_count") > 0) & (count != 0)).select(*SERIES, count.alias("count"), per_second(count, F.col("ms")).alias("rate"), total.alias("sum"), (total < 0).alias("reset"))
-    return d.withColumn("avg", F.when(~F.col("reset"), F.expr("sum div count")))
+    return _shown(metric_pairs(metrics, snapshots, begin, end, ("countsum",), details, **filters), _latency())
 
 
 def countsumrows_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, host: str | None = None, stat: str | None = None) -> DataFrame:
     """Statement statistics: never rolled up; of end rows that share a key the last (by ``pos``) counts."""
-    rows = match_filters(metrics.where("kind = 'countsumrows'"), host, stat)
-    at_b, at_e = F.col("snapshot_id") == begin, F.col("snapshot_id") == end
-    aggs = []
-    for v in ("total_count", "total_sum", "rows_"):
-        aggs += [F.coalesce(F.min_by(F.when(at_b, F.col(v)), F.when(at_b, F.col("pos"))), F.lit(0)).cast("long").alias(f"b_{v}"), F.coalesce(F.max_by(F.when(at_e, F.col(v)), F.when(at_e, F.col("pos"))), F.lit(0)).cast("long").alias(f"e_{v}")]
-    a = rows.where(at_b | at_e).groupBy(*SERIES).agg(*aggs)
-    d = a.select(*SERIES, *[(F.col(f"e_{v}") - F.col(f"b_{v}")).alias(n) for v, n in (("total_count", "count"), ("total_sum", "sum"), ("rows_", "rows"))]).where("count > 0")
-    ms = F.col("sum") / F.lit(1000.0)
-    return d.select(*SERIES, "count", (ms / F.col("count")).alias("avg_ms"), ms.alias("total_ms"), F.expr("rows div count").alias("avg_rows"), "rows")
+    return _shown(metric_pairs(metrics, snapshots, begin, end, ("countsumrows",), host=host, stat=stat), _statement())
+
+
+#: Sections of a report that metrics make: the kind of metric, and the rule.
+SECTIONS = {"values": ("value", _counter), "gauges": ("value", _gauge), "countsums": ("countsum", _latency), "countsumrows": ("countsumrows", _statement)}
+
+
+def metric_sections(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, sections: tuple[str, ...] = tuple(SECTIONS), catalog: DataFrame | None = None, details: bool = False, **filters) -> DataFrame:
+    """(section, series, detail): all metric diffs from one scan and one aggregate; ``detail`` is JSON of what the section's own diff has."""
+    pairs = metric_pairs(metrics, snapshots, begin, end, tuple(dict.fromkeys(SECTIONS[s][0] for s in sections)), details, **filters)
+    if any(SECTIONS[s][0] == "value" for s in sections):
+        pairs = with_catalog(pairs, catalog)
+    section, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for s in sections:
+        kind, rule = SECTIONS[s]
+        shown, fields = rule()
+        own = (F.col("shape") == kind) & shown
+        section = F.when(own, s).otherwise(section)
+        detail = F.when(own, F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))).otherwise(detail)
+    return pairs.select(section.alias("section"), *SERIES, detail.alias("detail")).where("section IS NOT NULL")
 
 
 def statement_totals(statements: DataFrame, use_query_id: bool = False) -> DataFrame:

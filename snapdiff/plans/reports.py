@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import apply_visibility, backend_label, call_label, severity_filter, text_filter
+from ..functions.columns import cut_text
+from ..functions.filters import apply_visibility, backend_label, call_label, match_filters, severity_filter, text_filter
 from ..operators import change as G
 from ..operators import entities as E
 from ..operators import numeric as N
+from ..sources.payloads import stamp_of
+from ..sources.store import settled_all
 
 #: Sections of the full report, in order.
 SECTIONS = ("values", "countsums", "countsumrows", "statements", "samples", "keyspaces", "tables", "tablets", "replicas", "masters", "tablet_servers", "vars", "versions", "health")
@@ -30,8 +33,19 @@ def tservers_report(servers: DataFrame, leaders: DataFrame, details: bool = Fals
     return servers if details else E.leader_rows(servers, leaders)
 
 
-def vars_report(vars_: DataFrame, details: bool = False) -> DataFrame:
-    return apply_visibility(vars_, details=details)
+def vars_report(vars_: DataFrame, details: bool = False, host: str | None = None, stat: str | None = None) -> DataFrame:
+    return match_filters(apply_visibility(vars_, details=details), host, stat)
+
+
+def gflags_report(flags: DataFrame, host: str | None = None, stat: str | None = None) -> DataFrame:
+    """Settings of the flag text, by host and name."""
+    return match_filters(flags, host, stat)
+
+
+def versions_report(versions: DataFrame, host: str | None = None) -> DataFrame:
+    """What is installed where: the build of each host."""
+    rows = match_filters(versions, host)
+    return rows.select(*stamp_of(rows), "version_number", "build_number", "build_type", "build_timestamp", "git_hash")
 
 
 def rpc_report(connections: DataFrame, calls: DataFrame, details: bool = False) -> DataFrame:
@@ -55,51 +69,84 @@ def config_report(configs: DataFrame, leaders: DataFrame) -> DataFrame:
     return E.leader_rows(configs, leaders).withColumn("doc", F.to_json("doc"))
 
 
-def _long(section: str, df: DataFrame, key: list[str]) -> DataFrame:
-    """A section as (section, change, key, detail): detail is the other columns as JSON."""
+#: A section's key columns; detail is the rest.
+KEYS = {
+    **dict.fromkeys(N.SECTIONS, list(N.SERIES)), "statements": ["hostname_port", "query"], **dict.fromkeys(("samples", "sample_gauges"), ["hostname_port", "name", "labels"]), "keyspaces": ["keyspace_id"], "tables": ["table_id"], "tablets": ["tablet_id"],
+    "replicas": ["tablet_id", "server_uuid"], "masters": ["permanent_uuid"], "tablet_servers": ["server"], "vars": ["hostname_port", "name"], "versions": ["hostname_port"], "health": ["item", "value"],
+}
+#: The tables that a section reads.
+NEEDS = {
+    **dict.fromkeys(("values", "gauges"), ("metrics", "catalog")), **dict.fromkeys(("countsums", "countsumrows"), ("metrics",)), "statements": ("statements",), **dict.fromkeys(("samples", "sample_gauges"), ("samples",)), "keyspaces": ("keyspaces", "tables"),
+    "tables": ("tables", "keyspaces", "tablets"), **dict.fromkeys(("tablets", "replicas"), ("tablets", "replicas", "tables", "keyspaces")), **{k: (k,) for k in ("masters", "tablet_servers", "vars", "versions", "health")},
+}
+HIERARCHY = ("keyspaces", "tables", "tablets", "replicas")
+
+
+def _long(section: str, df: DataFrame) -> DataFrame:
+    """A section as (n, section, change, key, detail): detail is the other columns as JSON, nulls left out."""
+    key = KEYS[section]
     change = F.col("change") if "change" in df.columns else F.lit("=")
     rest = [c for c in df.columns if c not in ("change", *key)]
     return df.select(F.lit(ALL_SECTIONS.index(section)).alias("n"), F.lit(section).alias("section"), change.alias("change"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"), F.to_json(F.struct(*rest) if rest else F.struct(F.lit("").alias("x"))).alias("detail"))
 
 
-def diff_report(tables: dict[str, DataFrame], begin: int, end: int, sections: tuple[str, ...] = SECTIONS, details: bool = False, gauges: bool = False, host: str | None = None, stat: str | None = None, table: str | None = None) -> DataFrame:
+def _metrics_long(df: DataFrame) -> DataFrame:
+    n = F.lit(-1)
+    for s in N.SECTIONS:
+        n = F.when(F.col("section") == s, ALL_SECTIONS.index(s)).otherwise(n)
+    return df.select(n.alias("n"), "section", F.lit("=").alias("change"), F.concat_ws("|", *[F.col(k).cast("string") for k in N.SERIES]).alias("key"), "detail")
+
+
+def diff_report(tables: dict[str, DataFrame], begin: int, end: int, sections: tuple[str, ...] = SECTIONS, details: bool = False, gauges: bool = False, host: str | None = None, stat: str | None = None, table: str | None = None, statement_length: int | None = None) -> DataFrame:
     """The sections whose tables are given, as one long table; tables of other sections are not read.
 
-    Each table is cut to the two snapshots first. With ``leaders`` the hierarchy, masters and health
-    are as the leader of each side saw them. ``host`` and ``stat`` are patterns for metrics and
-    samples, ``table`` for metrics of tables and for the names of tables, tablets and replicas;
-    ``gauges`` adds the sections of gauges, ``details`` rows of each object and CPU.
+    Each table is cut to the two snapshots first and read once: all sections of metrics come from one scan and one
+    aggregate, and tables of the hierarchy that several sections use are written, cut, to the shared folder. With ``leaders``
+    (looked up once) the hierarchy, masters, tablet servers and health are as the leader of each side saw them. ``host`` is a
+    pattern for metrics, samples, statements and versions, ``stat`` for metrics and samples, ``table`` for metrics of tables and
+    for the names of tables, tablets and replicas; ``gauges`` adds the sections of gauges, ``details`` rows of
+    each object and CPU; ``statement_length`` cuts statements in the key.
     """
-    snaps, parts, leaders = tables.get("snapshots"), [], tables.get("leaders")
-    t = {k: G.pair(v, begin, end) if "snapshot_id" in v.columns else v for k, v in tables.items()}
-    t |= {k: G.leader_view(t[k], leaders, begin, end) for k in ("keyspaces", "tables", "tablets", "replicas", "masters", "health") if k in t}
+    snaps, leaders = tables.get("snapshots"), tables.get("leaders")
+    wanted = [s for s in ALL_SECTIONS if (s in sections or gauges and s in GAUGES) and all(n in tables for n in NEEDS[s])]
+    if not wanted:
+        raise ValueError("no section has its tables")
+    used = [n for s in wanted for n in NEEDS[s]]
+    t = {k: G.pair(v, begin, end) if "snapshot_id" in v.columns else v for k, v in tables.items() if k in used}
+    led = [k for k in (*HIERARCHY, "masters", "tablet_servers", "health") if k in t and "hostname_port" in t[k].columns]
+    if leaders is not None and led:
+        found = G.leaders_of_pair(leaders, begin, end)
+        t |= {k: G.leader_view(t[k], found, begin, end) for k in led}
+    shared = {k: t[k] for k in HIERARCHY if used.count(k) > 1}
+    if shared:
+        t |= settled_all(shared)
+    for k in ("statements", "versions"):
+        if k in t:
+            t[k] = match_filters(t[k], host)
     own = {"host": host, "stat": stat}
     named = lambda df, *cols: df if table is None else df.where(F.concat_ws(".", *cols).rlike(table))
-    have = lambda *names: all(n in t for n in names)
+
+    def statements() -> DataFrame:
+        d = N.statements_diff(t["statements"], snaps, begin, end)
+        return d if statement_length is None else d.withColumn("query", cut_text(F.col("query"), statement_length))
+
     makers = {
-        "values": (("metrics", "catalog"), lambda: N.value_diff(t["metrics"], snaps, begin, end, t["catalog"], details, **own, table=table), list(N.SERIES)),
-        "gauges": (("metrics", "catalog"), lambda: N.gauge_diff(t["metrics"], snaps, begin, end, t["catalog"], details, **own, table=table), list(N.SERIES)),
-        "countsums": (("metrics",), lambda: N.countsum_diff(t["metrics"], snaps, begin, end, details, **own, table=table), list(N.SERIES)),
-        "countsumrows": (("metrics",), lambda: N.countsumrows_diff(t["metrics"], snaps, begin, end, **own), list(N.SERIES)),
-        "statements": (("statements",), lambda: N.statements_diff(t["statements"], snaps, begin, end), ["hostname_port", "query"]),
-        "samples": (("samples",), lambda: N.sample_counter_diff(t["samples"], snaps, begin, end, details, **own), ["hostname_port", "name", "labels"]),
-        "sample_gauges": (("samples",), lambda: N.sample_gauge_diff(t["samples"], snaps, begin, end, **own), ["hostname_port", "name", "labels"]),
-        "keyspaces": (("keyspaces", "tables"), lambda: E.keyspace_diff(t["keyspaces"], t["tables"], begin, end), ["keyspace_id"]),
-        "tables": (("tables", "keyspaces", "tablets"), lambda: named(E.table_diff(t["tables"], t["keyspaces"], t["tablets"], begin, end), "keyspace_name", F.coalesce("table_name_after", "table_name_before")), ["table_id"]),
-        "tablets": (("tablets", "replicas", "tables", "keyspaces"), lambda: named(E.tablet_diff(t["tablets"], t["replicas"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"), ["tablet_id"]),
-        "replicas": (("replicas", "tablets", "tables", "keyspaces"), lambda: named(E.replica_diff(t["replicas"], t["tablets"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"), ["tablet_id", "server_uuid"]),
-        "masters": (("masters",), lambda: G.masters_diff(t["masters"], begin, end), ["permanent_uuid"]),
-        "tablet_servers": (("tablet_servers",), lambda: G.tserver_diff(t["tablet_servers"], begin, end), ["server"]),
-        "vars": (("vars",), lambda: G.vars_diff(t["vars"], begin, end), ["hostname_port", "name"]),
-        "versions": (("versions",), lambda: G.versions_diff(t["versions"], begin, end), ["hostname_port"]),
-        "health": (("health",), lambda: G.health_diff(t["health"], begin, end), ["item", "value"]),
+        "statements": statements,
+        "samples": lambda: N.sample_counter_diff(t["samples"], snaps, begin, end, details, **own),
+        "sample_gauges": lambda: N.sample_gauge_diff(t["samples"], snaps, begin, end, **own),
+        "keyspaces": lambda: E.keyspace_diff(t["keyspaces"], t["tables"], begin, end),
+        "tables": lambda: named(E.table_diff(t["tables"], t["keyspaces"], t["tablets"], begin, end), "keyspace_name", F.coalesce("table_name_after", "table_name_before")),
+        "tablets": lambda: named(E.tablet_diff(t["tablets"], t["replicas"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"),
+        "replicas": lambda: named(E.replica_diff(t["replicas"], t["tablets"], t["tables"], t["keyspaces"], begin, end), "keyspace_name", "table_name"),
+        "masters": lambda: G.masters_diff(t["masters"], begin, end),
+        "tablet_servers": lambda: G.tserver_diff(t["tablet_servers"], begin, end),
+        "vars": lambda: G.vars_diff(t["vars"], begin, end),
+        "versions": lambda: G.versions_diff(t["versions"], begin, end),
+        "health": lambda: G.health_diff(t["health"], begin, end),
     }
-    for name in ALL_SECTIONS:
-        needs, make, key = makers[name]
-        if (name in sections or gauges and name in GAUGES) and have(*needs):
-            parts.append(_long(name, make(), key))
-    if not parts:
-        raise ValueError("no section has its tables")
+    numeric = tuple(s for s in wanted if s in N.SECTIONS)
+    parts = [_metrics_long(N.metric_sections(t["metrics"], snaps, begin, end, numeric, t.get("catalog"), details, **own, table=table))] if numeric else []
+    parts += [_long(s, makers[s]()) for s in wanted if s in makers]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
