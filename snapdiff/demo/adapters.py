@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
+
 CUTS = ("2024-01-10", "2024-01-20")
 DAILY = tuple(f"2024-01-{d:02d}" for d in (5, 9, 13, 17, 21, 25))
 CATALOG_ROWS = [("click", "requests", "reqs", "counter", 1), ("view", "requests", "reqs", "counter", 1), ("purchase", "bytes", "B", "counter", 1024), ("signup", "milliseconds", "ms", "gauge", 1000)]
@@ -54,16 +56,16 @@ def doubled(metrics: DataFrame) -> DataFrame:
     return metrics.unionByName(again)
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = counters(spark, sf_dir).where("kind = 'countsumrows'")
+def statements(spark: SparkSession, sf_dir: str, metrics: DataFrame | None = None) -> DataFrame:
+    m = (metrics or counters(spark, sf_dir)).where("kind = 'countsumrows'")
     return m.select("snapshot_id", "captured_at", "hostname_port", F.col("metric_id").cast("long").alias("query_id"), F.concat(F.lit("select '"), "name", F.lit("'")).alias("query"), F.col("total_count").alias("calls"), F.col("total_sum").alias("total_time"), "rows_")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, metrics: DataFrame | None = None) -> DataFrame:
     """Events as exporter samples: one per user (a CPU) and event type (a CPU state)."""
     names = {"view": "idle", "click": "user", "purchase": "system", "signup": "iowait", "error": "steal"}
     state = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("name"))
-    m = counters(spark, sf_dir).where("kind = 'value'")
+    m = (metrics or counters(spark, sf_dir)).where("kind = 'value'")
     base = m.select("snapshot_id", "captured_at", "hostname_port", "metric_id", state.alias("state"), F.col("value").cast("double").alias("value"), F.lit(0).alias("pos"), F.col("captured_at").alias("exporter_ts"))
     cpu = base.select("*", F.lit("node_cpu_seconds_total").alias("name"), F.concat(F.lit("_"), "metric_id", F.lit("_"), "state").alias("labels"), F.lit("counter").alias("exporter_type"))
     other = F.when(F.col("state") == "idle", "node_softnet_processed_total").when(F.col("state") == "user", "node_softnet_dropped_total").when(F.col("state") == "system", "node_schedstat_running_seconds_total").when(F.col("state") == "iowait", "node_schedstat_timeslices_total").otherwise("go_threads")
@@ -83,11 +85,11 @@ def last_events(spark: SparkSession, sf_dir: str, cuts: tuple[str, ...] = CUTS)
 DATES = ("1997-01-01", "1998-01-01")
 
 
-def _last_lines(spark: SparkSession, sf_dir: str, *keys: str | Column) -> DataFrame:
-    """(snapshot_id, keys, z): the newest of all order lines before each date; z orders lines and holds what is read of one."""
+def _last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshot_id, l_partkey, l_suppkey, z): the newest of all order lines before each date; z orders lines and holds what is read of one."""
     each = F.array(*[F.struct(F.lit(i).alias("i"), stamp(d).alias("t")) for i, d in enumerate(DATES)])
     lines = table(spark, sf_dir, "lineitem").withColumn("i", F.explode(F.transform(F.filter(each, lambda c: F.col("l_shipdate") < c["t"]), lambda c: c["i"])))
-    return lines.groupBy(F.col("i").alias("snapshot_id"), *keys).agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")).alias("z"))
+    return lines.groupBy(F.col("i").alias("snapshot_id"), "l_partkey", "l_suppkey").agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")).alias("z"))
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,29 +102,32 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All order lines before two dates as keyspaces, tables, tablets and replicas.
 
     A part is a tablet, and its suppliers are replicas, unless the last line of the part, or of part and supplier, was returned.
+    The newest lines and the tablets are made once, for all tables.
     """
-    lines = _last_lines(spark, sf_dir, "l_partkey", "l_suppkey")
+    lines = settled(_last_lines(spark, sf_dir), "lines")
     kept = F.col("z.l_returnflag") != "R"
     state = F.when(F.col("z.l_linestatus") == "O", "RUNNING").otherwise("CREATING")
     names = part_names(spark, sf_dir)
     tablets = lines.groupBy("snapshot_id", "l_partkey").agg(F.max("z").alias("z")).where(kept).join(names, "l_partkey").select("snapshot_id", F.col("l_partkey").cast("string").alias("tablet_id"), "table_id", "table_name", "keyspace_id", state.alias("state"), F.col("z.l_suppkey").cast("string").alias("leader"))
+    tablets = settled(tablets, "tablets")
     tables = tablets.groupBy("snapshot_id", "table_id", "keyspace_id", "table_name").agg(F.max("state").alias("state"))
     replicas = lines.where(kept).select("snapshot_id", F.col("l_partkey").cast("string").alias("tablet_id"), F.col("l_suppkey").cast("string").alias("server_uuid"), F.when(F.col("z.l_linestatus") == "F", "VOTER").otherwise("OBSERVER").alias("type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(":9100")).alias("addr"))
     brands = names.select("keyspace_id").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("snapshot_id"), "keyspace_id", F.col("keyspace_id").alias("keyspace_name"), F.lit("ysql").alias("keyspace_type"))
-    return {"keyspaces": brands, "tables": tables, "tablets": tablets.drop("table_name", "keyspace_id"), "replicas": replicas.join(tablets.select("snapshot_id", "tablet_id"), ["snapshot_id", "tablet_id"], "left_semi")}
+    live = replicas.join(tablets.select("snapshot_id", "tablet_id"), ["snapshot_id", "tablet_id"], "left_semi")
+    return {"keyspaces": brands, "tables": tables, "tablets": tablets.drop("table_name", "keyspace_id"), "replicas": live, "lines": lines}
 
 
 BLOCK = 1000  # keys that one health row lists
 
 
-def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+def health(spark: SparkSession, sf_dir: str, h: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per snapshot: suppliers whose last line was returned are dead; tablets with fewer than two replicas are under-replicated.
 
     A leader's lists come in rows of at most ``BLOCK`` keys each.
     """
-    h = hierarchy(spark, sf_dir)
+    h = h or hierarchy(spark, sf_dir)
     empty = F.array().cast("array<string>")
-    suppliers = _last_lines(spark, sf_dir, F.col("l_suppkey").alias("k")).where("z.l_returnflag = 'R'").groupBy("snapshot_id", F.floor(F.col("k") / BLOCK).alias("block"))
+    suppliers = h["lines"].groupBy("snapshot_id", F.col("l_suppkey").alias("k")).agg(F.max("z").alias("z")).where("z.l_returnflag = 'R'").groupBy("snapshot_id", F.floor(F.col("k") / BLOCK).alias("block"))
     dead = suppliers.agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(":9100")))).alias("dead_nodes")).withColumn("under_replicated_tablets", empty)
     n = h["replicas"].groupBy("snapshot_id", "tablet_id").agg(F.count("*").alias("n")).where("n > 1")
     few = h["tablets"].join(n, ["snapshot_id", "tablet_id"], "left_anti").groupBy("snapshot_id", F.floor(F.col("tablet_id").cast("long") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list("tablet_id")).alias("under_replicated_tablets")).withColumn("dead_nodes", empty)

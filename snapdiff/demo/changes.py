@@ -33,8 +33,8 @@ def spelled_sql(*fields: str) -> str:
     return f"concat_ws(';', {each})"
 
 
-def masters(s, d):
-    le = A.last_events(s, d)
+def masters(s, d, le=None):
+    le = le or A.last_events(s, d)
     return le.select("snapshot_id", F.col("hostname_port").alias("permanent_uuid"), F.when(F.col("status") == "error", 0).otherwise(F.length("status")).cast("long").alias("instance_seqno"), F.lit(1).cast("long").alias("start_time_us"), F.lit("c1").alias("cloud"), F.lit("r1").alias("region"), "zone", F.col("status").alias("role"), F.concat("hostname_port", F.lit(":7100,")).alias("rpc_addresses"), F.lit("").alias("http_addresses"))
 
 
@@ -59,8 +59,8 @@ def versions_diff(s, d):
     return G.versions_diff(v, 0, 1).withColumn("changes", G.spelled(F.col("changes")))
 
 
-def vars_(s, d):
-    return A.last_events(s, d).select("snapshot_id", "hostname_port", F.col("zone").alias("name"), F.when(F.col("status") == "signup", "").otherwise(F.col("value")).alias("value"), F.when(F.col("status") == "view", "Default").otherwise("Custom").alias("var_type"))
+def vars_(s, d, le=None):
+    return (le or A.last_events(s, d)).select("snapshot_id", "hostname_port", F.col("zone").alias("name"), F.when(F.col("status") == "signup", "").otherwise(F.col("value")).alias("value"), F.when(F.col("status") == "view", "Default").otherwise("Custom").alias("var_type"))
 
 
 _V = LAST + ", v AS (SELECT snapshot_id, hostname_port, zone AS name, CASE WHEN status = 'signup' THEN '' ELSE value END AS value, CASE WHEN status = 'view' THEN 'Default' ELSE 'Custom' END AS var_type FROM le)"
@@ -172,7 +172,7 @@ mk AS (SELECT rp.*, dead.addr IS NOT NULL AS is_dead, few.tablet_id IS NOT NULL
 
 @query("replica_liveness", f"WITH {_MARKED} SELECT snapshot_id, tablet_id, server_uuid, is_dead AS dead, is_few AS under_replicated FROM mk")
 def replica_liveness(s, d):
-    return E.mark_liveness(A.hierarchy(s, d)["replicas"], A.health(s, d)).select("snapshot_id", "tablet_id", "server_uuid", "dead", "under_replicated")
+    return E.mark_liveness((h := A.hierarchy(s, d))["replicas"], A.health(s, d, h)).select("snapshot_id", "tablet_id", "server_uuid", "dead", "under_replicated")
 
 
 @query("entities_report", f"""WITH {_MARKED} SELECT mk.snapshot_id, keyspace_id AS keyspace_name, table_name, mk.tablet_id, tl.state AS tablet_state, server_uuid, type, addr,
@@ -180,7 +180,7 @@ def replica_liveness(s, d):
  FROM mk JOIN tl ON tl.snapshot_id = mk.snapshot_id AND tl.tablet_id = mk.tablet_id""")
 def entities_report(s, d):
     h = A.hierarchy(s, d)
-    return E.entities_report(h["keyspaces"], h["tables"], h["tablets"], h["replicas"], A.health(s, d))
+    return E.entities_report(h["keyspaces"], h["tables"], h["tablets"], h["replicas"], A.health(s, d, h))
 
 
 def all_tables(s, d):
@@ -272,7 +272,7 @@ UNION ALL SELECT rp.snapshot_id, 'replica', tl.keyspace_id, tl.table_name, rp.ta
 def entities_tree(s, d):
     """All tables that parts name; those whose parts were all returned have no tablets."""
     h = A.hierarchy(s, d)
-    return E.entities_tree(h["keyspaces"], all_tables(s, d), h["tablets"], h["replicas"], A.health(s, d))
+    return E.entities_tree(h["keyspaces"], all_tables(s, d), h["tablets"], h["replicas"], A.health(s, d, h))
 
 
 @query("system_keyspaces", "SELECT r_name AS keyspace_name, r_regionkey < 3 AS system FROM region")

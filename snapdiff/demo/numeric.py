@@ -141,8 +141,8 @@ def sample_categories(s, d):
     return mark_category(A.samples(s, d)).groupBy("snapshot_id", "name", "category").agg(F.count("*").alias("n"))
 
 
-def summarised(s, d):
-    return add_summaries(mark_category(A.samples(s, d)))
+def summarised(s, d, metrics=None):
+    return add_summaries(mark_category(A.samples(s, d, metrics)))
 
 
 def _summary(prefix: str):

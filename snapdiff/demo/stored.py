@@ -48,9 +48,10 @@ def payload_scan(s, d):
 
 
 def tables(s, d) -> dict:
-    servers = A.last_events(s, d).withColumnRenamed("hostname_port", "server")
-    versions = A.last_events(s, d).select("snapshot_id", "hostname_port", F.when(F.col("status") == "view", "").otherwise(F.col("status")).alias("git_hash"), F.col("zone").alias("build_number"))
-    return {"snapshots": A.snapshots(s), "metrics": A.counters(s, d), "catalog": A.catalog(s), "statements": A.statements(s, d), "samples": summarised(s, d), **A.hierarchy(s, d), "masters": C.masters(s, d), "tablet_servers": servers, "vars": C.vars_(s, d), "versions": versions, "health": A.health(s, d)}
+    last, h, m = A.last_events(s, d), A.hierarchy(s, d), A.counters(s, d)
+    versions = last.select("snapshot_id", "hostname_port", F.when(F.col("status") == "view", "").otherwise(F.col("status")).alias("git_hash"), F.col("zone").alias("build_number"))
+    own = {"snapshots": A.snapshots(s), "metrics": m, "catalog": A.catalog(s), "statements": A.statements(s, d, m), "samples": summarised(s, d, m), **{k: h[k] for k in R.HIERARCHY}}
+    return own | {"masters": C.masters(s, d, last), "tablet_servers": last.withColumnRenamed("hostname_port", "server"), "vars": C.vars_(s, d, last), "versions": versions, "health": A.health(s, d, h)}
 
 
 OWN = {"values": "value_diff", "countsums": "countsum_diff", "countsumrows": "countsumrows_diff", "statements": "statements_diff", "samples": "sample_counter_diff", "keyspaces": "keyspace_diff", "tables": "table_diff", "tablets": "tablet_diff", "replicas": "replica_diff", "masters": "masters_diff", "tablet_servers": "tserver_restarts", "vars": "vars_diff", "versions": "versions_diff", "health": "health_diff", "gauges": "gauge_diff", "sample_gauges": "sample_gauge_diff"}

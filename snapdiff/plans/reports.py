@@ -147,7 +147,6 @@ def diff_report(tables: dict[str, DataFrame], begin: int, end: int, sections: tu
     numeric = tuple(s for s in wanted if s in N.SECTIONS)
     parts = [_metrics_long(N.metric_sections(t["metrics"], snaps, begin, end, numeric, t.get("catalog"), details, **own, table=table))] if numeric else []
     parts += [_long(s, makers[s]()) for s in wanted if s in makers]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    while len(parts) > 1:  # pairs first, as each union looks at its whole plan again
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) & ~1 :]
+    return parts[0]

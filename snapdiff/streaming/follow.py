@@ -36,6 +36,10 @@ class _Deltas(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at timestamp, " + ", ".join(f"{v} double" for v in self.values), ttlDurationMs=self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.sort_values("at").iloc[-1]
+        self.last.update((row["at"], *[float(row[v]) for v in self.values]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows)).drop_duplicates("at").sort_values("at")
         before = tuple(self.last.get()) if self.last.exists() else None
@@ -44,9 +48,9 @@ class _Deltas(StatefulProcessor):
             if before is not None:
                 if at <= before[0]:
                     continue
-                resets = [x < y for x, y in zip(now, before[1:], strict=True)]
-                deltas = [x if r else x - y for x, y, r in zip(now, before[1:], resets, strict=True)]
-                out.append((*key, at, *deltas, (at - before[0]).total_seconds(), any(resets)))
+                fell = any(x < y for x, y in zip(now, before[1:], strict=True))
+                deltas = now if fell else [x - y for x, y in zip(now, before[1:], strict=True)]
+                out.append((*key, at, *deltas, (at - before[0]).total_seconds(), fell))
             before = (at, *now)
         if before is not None:
             self.last.update(before)
@@ -56,34 +60,38 @@ class _Deltas(StatefulProcessor):
         pass
 
 
-def live_deltas(facts: DataFrame, keys: list[str], values: list[str], ttl: str | None = "1 hour") -> DataFrame:
+def live_deltas(facts: DataFrame, keys: list[str], values: list[str], ttl: str | None = "1 hour", initial: DataFrame | None = None) -> DataFrame:
     """Per key and capture what was added to each value since the capture before it, and the seconds between.
 
-    A value that fell counts from 0 and marks a reset. Keys that are not seen for ``ttl`` leave the
-    state; late captures (not newer than the state) are ignored. Needs the RocksDB state store.
+    If any value of a series fell, it was restarted: all its values count from 0, and ``reset`` says so. ``initial`` holds facts of a
+    stored snapshot, which a new stream starts from, so that the first poll has differences already; a stream that goes on from a
+    checkpoint has its own state. Keys that are not seen for ``ttl`` leave the state; late captures (not newer than the state)
+    are ignored. Needs the RocksDB state store.
     """
-    rows = facts.select(*keys, F.col("captured_at").cast("timestamp").alias("at"), *[F.col(v).cast("double").alias(v) for v in values]).dropna(subset=values)
+    shaped = lambda df: df.select(*keys, F.col("captured_at").cast("timestamp").alias("at"), *[F.col(v).cast("double").alias(v) for v in values]).dropna(subset=values)
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
     schema = ", ".join([*[f"{k} string" for k in keys], "captured_at timestamp", *[f"{v} double" for v in values], "seconds double, reset boolean"])
-    return rows.groupBy(*keys).transformWithStateInPandas(_Deltas(keys, values, ttl_ms), schema, "Append", "ProcessingTime" if ttl else "None")
+    begun = None if initial is None else shaped(initial).groupBy(*keys)
+    return shaped(facts).groupBy(*keys).transformWithStateInPandas(_Deltas(keys, values, ttl_ms), schema, "Append", "ProcessingTime" if ttl else "None", initialState=begun)
 
 
-def live_diff(metrics: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
+def live_diff(metrics: DataFrame, ttl: str | None = "1 hour", initial: DataFrame | None = None) -> DataFrame:
     """Counters: delta and rate of each series at each capture."""
-    return live_deltas(metrics, SERIES, ["value"], ttl).select(*SERIES, "captured_at", F.col("value").alias("delta"), (F.col("value") / F.col("seconds")).alias("rate"), "reset")
+    return live_deltas(metrics, SERIES, ["value"], ttl, initial).select(*SERIES, "captured_at", F.col("value").alias("delta"), (F.col("value") / F.col("seconds")).alias("rate"), "reset")
 
 
-def live_countsum(metrics: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
-    """Latencies: added count, per second, added sum, and the average unless there was a reset."""
-    d = live_deltas(metrics, SERIES, ["total_count", "total_sum"], ttl).where("total_count <> 0")
-    average = F.when(~F.col("reset"), F.floor(F.col("total_sum") / F.col("total_count")).cast("long"))
+def live_countsum(metrics: DataFrame, ttl: str | None = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """Latencies: added count, per second, added sum, and the average, also after a restart, where both count from 0."""
+    d = live_deltas(metrics, SERIES, ["total_count", "total_sum"], ttl, initial).where("total_count <> 0")
+    average = F.floor(F.col("total_sum") / F.col("total_count")).cast("long")
     return d.select(*SERIES, "captured_at", F.col("total_count").alias("count"), (F.col("total_count") / F.col("seconds")).alias("rate"), F.col("total_sum").alias("sum"), average.alias("avg"), "reset")
 
 
-def live_samples(samples: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
+def live_samples(samples: DataFrame, ttl: str | None = "1 hour", initial: DataFrame | None = None) -> DataFrame:
     """Exporter counters: change of each sample, and per second."""
     keys = ["hostname_port", "name", "labels"]
-    d = live_deltas(samples.where("exporter_type = 'counter'"), keys, ["value"], ttl).where("value <> 0")
+    counters = lambda df: df.where("exporter_type = 'counter'")
+    d = live_deltas(counters(samples), keys, ["value"], ttl, None if initial is None else counters(initial)).where("value <> 0")
     return d.select(*keys, "captured_at", F.col("value").alias("delta"), (F.col("value") / F.col("seconds")).alias("rate"), "reset")
 
 
