@@ -110,7 +110,7 @@ def masters_ingest(s, d):
 
 
 def server_payloads(s, d) -> DataFrame:
-    path = F.struct(F.concat(F.lit("/d"), F.col("c_nationkey").cast("string")).alias("path"), (F.col("c_custkey") + 1).alias("space_used"), ((F.col("c_custkey") + 1) * 3).alias("total_space_size"))
+    path = F.struct(F.concat(F.lit("/d"), F.col("c_nationkey").cast("string")).alias("path"), (F.col("c_custkey") + 1).alias("space_used"), ((F.col("c_custkey") % 4) * (F.col("c_custkey") + F.col("c_nationkey") + 1)).alias("total_space_size"))
     row = F.struct(F.col("c_name").alias("k"), F.struct(F.col("c_mktsegment").alias("status"), F.col("c_custkey").alias("uptime_seconds"), F.array(path).alias("path_metrics")).alias("v"))
     wrap = lambda r: F.concat(F.lit('{"":'), as_json(F.map_from_arrays(F.transform(r, lambda x: x["k"]), F.transform(r, lambda x: x["v"]))), F.lit("}"))
     return bodies(A.table(s, d, "customer"), captured("c_custkey"), row, wrap)
@@ -121,7 +121,7 @@ def tserver_ingest(s, d):
     return J.tablet_servers(server_payloads(s, d)).select("hostname_port", "server", "status", "uptime_seconds")
 
 
-@query("path_usage", f"SELECT {host_sql('c_custkey')}, c_name AS server, '/d' || CAST(c_nationkey AS VARCHAR) AS path, 33.33::DOUBLE AS pct FROM customer")
+@query("path_usage", f"SELECT {host_sql('c_custkey')}, c_name AS server, '/d' || CAST(c_nationkey AS VARCHAR) AS path, round(100 * (c_custkey + 1)::DOUBLE / total, 2) AS pct FROM (SELECT *, nullif((c_custkey % 4) * (c_custkey + c_nationkey + 1), 0)::DOUBLE AS total FROM customer)")
 def path_usage(s, d):
     paths = J.tablet_server_paths(J.tablet_servers(server_payloads(s, d)))
     return paths.select("hostname_port", "server", "path", pct_used(F.col("space_used"), F.col("total_space_size")).alias("pct"))
@@ -270,11 +270,15 @@ def html(rows: Column, header: list[str], cells, tag: str = "td", title: str = "
     return F.concat(F.lit(f"<h3>{title}</h3><table><tr>{head}</tr>"), F.array_join(F.transform(rows, row), "\n"), F.lit("</table>"))
 
 
-def page_of(s, d, name: str, key: str, cells: dict[str, Column], kind: str, tag: str = "td", title: str = "", extra=None, drop: int = 0) -> DataFrame:
+def page_bodies(s, d, name: str, key: str, cells: dict[str, Column], kind: str, tag: str = "td", title: str = "", extra=None) -> DataFrame:
     header = P.SPECS[kind][0]
     row = F.struct(F.col(key).alias("_k"), *[c.alias(f"c{i}") for i, c in enumerate(cells.values())])
     body = lambda r: F.concat(F.lit("<html><body><table><tr><th>other</th></tr><tr><td>1</td></tr></table>"), html(r, header, lambda x: [x[f"c{i}"] for i in range(len(cells))], tag, title), extra(r) if extra else F.lit(""))
-    return H.html_tables(bodies(A.table(s, d, name), captured(key), row, body))
+    return bodies(A.table(s, d, name), captured(key), row, body)
+
+
+def page_of(*a, **k) -> DataFrame:
+    return H.html_tables(page_bodies(*a, **k))
 
 
 def text(c: str) -> Column:
@@ -394,11 +398,14 @@ def sst_files(s, d):
 # ---- parts of table and tablet pages, and reports
 
 
-def raft_pages(s, d) -> DataFrame:
+def raft_body() -> Column:
     """A consensus page per part: state, queue, one watermark and one message."""
     k = text("p_partkey")
-    body = F.concat(F.lit("<h1>Raft</h1><h2>State</h2><pre>term "), k, F.lit("</pre><h2>Queue overview</h2><pre>ops "), text("p_size"), F.lit("</pre><h3>Watermarks</h3><table><tr><th>Peer</th><th>Watermark</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>{ last: "), k, F.lit(" }</td></tr></table><h3>Messages:</h3><table><tr><th>Entry</th><th>OpId</th><th>Type</th><th>Size</th><th>Status</th></tr><tr><th>0</th><th>1."), k, F.lit("</th><td>WRITE</td><td>"), text("p_size"), F.lit("</td><td>"), F.col("p_type"), F.lit("</td></tr></table>"))
-    return H.html_tables(single(A.table(s, d, "part"), k, body))
+    return F.concat(F.lit("<h1>Raft</h1><h2>State</h2><pre>term "), k, F.lit("</pre><h2>Queue overview</h2><pre>ops "), text("p_size"), F.lit("</pre><h3>Watermarks</h3><table><tr><th>Peer</th><th>Watermark</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>{ last: "), k, F.lit(" }</td></tr></table><h3>Messages:</h3><table><tr><th>Entry</th><th>OpId</th><th>Type</th><th>Size</th><th>Status</th></tr><tr><th>0</th><th>1."), k, F.lit("</th><td>WRITE</td><td>"), text("p_size"), F.lit("</td><td>"), F.col("p_type"), F.lit("</td></tr></table>"))
+
+
+def raft_pages(s, d) -> DataFrame:
+    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), raft_body()))
 
 
 @query("tablet_consensus", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, i.item, CASE i.item WHEN 'state' THEN 'term ' || p_partkey ELSE 'ops ' || p_size END AS text FROM part, (VALUES ('state'), ('queue_overview')) i(item)")
@@ -422,12 +429,15 @@ def tablet_log_anchors(s, d):
     return P.pre_lines(H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), body))).select(F.col("hostname_port").alias("tablet_id"), "line", "text")
 
 
-def table_parts(s, d) -> DataFrame:
+def table_body() -> Column:
     """A table's page per part: properties, columns, one tablet and one task."""
     head = lambda kind: F.lit("<table><tr>" + "".join(f"<th>{h}</th>" for h in P.SPECS[kind][0]) + "</tr><tr>")
     cells = lambda *c: F.concat(*[x for v in c for x in (F.lit("<td>"), v, F.lit("</td>"))], F.lit("</tr></table>"))
-    body = F.concat(F.lit("<table><tr><td>Version:</td><td>1</td></tr></table>"), head("columns"), F.lit("<th>k</th>"), cells(F.lit("0"), F.lit("int")), head("tablets_of_table"), cells(F.lit("x"), F.lit("hash"), text("p_size"), F.lit("Running"), F.lit("false"), F.lit(""), F.lit("LEADER: a")), head("tasks_of_table"), cells(F.lit("Alter"), F.lit("kComplete"), F.lit("1 s ago"), F.lit("2 ms"), F.col("p_type")))
-    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), body))
+    return F.concat(F.lit("<table><tr><td>Version:</td><td>1</td></tr></table>"), head("columns"), F.lit("<th>k</th>"), cells(F.lit("0"), F.lit("int")), head("tablets_of_table"), cells(F.lit("x"), F.lit("hash"), text("p_size"), F.lit("Running"), F.lit("false"), F.lit(""), F.lit("LEADER: a")), head("tasks_of_table"), cells(F.lit("Alter"), F.lit("kComplete"), F.lit("1 s ago"), F.lit("2 ms"), F.col("p_type")))
+
+
+def table_parts(s, d) -> DataFrame:
+    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), table_body()))
 
 
 @query("table_tablets", "SELECT CAST(p_partkey AS VARCHAR) AS table_id, 'x' AS tablet_id, CAST(p_size AS VARCHAR) AS split_depth, 'LEADER: a' AS raft_config FROM part")

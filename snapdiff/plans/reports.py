@@ -10,6 +10,7 @@ from ..functions.filters import apply_visibility, backend_label, call_label, mat
 from ..operators import change as G
 from ..operators import entities as E
 from ..operators import numeric as N
+from ..sources import page_specs as P
 from ..sources.payloads import stamp_of
 from ..sources.store import settled_all
 
@@ -69,6 +70,49 @@ def config_report(configs: DataFrame, leaders: DataFrame) -> DataFrame:
     return E.leader_rows(configs, leaders).withColumn("doc", F.to_json("doc"))
 
 
+def _part(name: str, df: DataFrame, key: str) -> DataFrame:
+    """A part of an object's page as (snapshot_id, key, part, detail): detail is the part's own columns as JSON."""
+    own = [c for c in df.columns if c not in ("cluster_id", "snapshot_id", "hostname_port", "captured_at", "table", "heading", "depth", "object_id", key)]
+    return df.select("snapshot_id", F.col("object_id" if "object_id" in df.columns else key).alias(key), F.lit(name).alias("part"), F.to_json(F.struct(*own)).alias("detail"))
+
+
+def _object_report(basic: DataFrame, shown: DataFrame, parts: dict[str, DataFrame], key: str, uuid: str | None) -> DataFrame:
+    """The list's row of each object and, for objects of ``shown``, the parts of their own pages; of one object or of all."""
+    one = lambda df: df if uuid is None else df.where(F.col(key) == uuid)
+    out, known = one(_part("general", basic, key)), one(shown.select("snapshot_id", key).distinct())
+    for name, df in parts.items():
+        out = out.unionByName(one(_part(name, df, key)).join(known, ["snapshot_id", key], "left_semi"))
+    return out
+
+
+def table_report(tables: DataFrame, pages: DataFrame, uuid: str | None = None, leaders: DataFrame | None = None) -> DataFrame:
+    """(snapshot_id, table_id, part, detail) of a table: its row in the leader's list, and properties, columns, tablets and tasks of its page.
+
+    ``tables`` are rows of the list of tables, ``pages`` parsed pages of tables, which name theirs in ``object_id``.
+    """
+    rows = tables if leaders is None else E.leader_rows(tables, leaders)
+    parts = {"property": P.keyed_values(pages), "column": P.page(pages, "columns"), "tablet": P.page(pages, "tablets_of_table"), "task": P.page(pages, "tasks_of_table")}
+    return _object_report(rows, rows, parts, "table_id", uuid)
+
+
+def tablet_report(tablets: DataFrame, pages: dict[str, DataFrame], uuid: str | None = None) -> DataFrame:
+    """(snapshot_id, tablet_id, part, detail) of a tablet: its row in each server's list and, if it runs, consensus, log anchors, transactions and stores.
+
+    ``pages`` has any of the parsed pages ``consensus``, ``log_anchors``, ``transactions`` and ``stores``, which name their tablet in ``object_id``.
+    """
+    parts = {}
+    if "consensus" in pages:
+        parts |= {"consensus": P.consensus_state(pages["consensus"]), "watermark": P.page(pages["consensus"], "watermarks"), "message": P.page(pages["consensus"], "messages")}
+    if "log_anchors" in pages:
+        parts["log_anchor"] = P.pre_lines(pages["log_anchors"])
+    if "transactions" in pages:
+        parts["transaction"] = P.transactions(pages["transactions"])
+    if "stores" in pages:
+        blocks = P.pre_blocks(pages["stores"])
+        parts |= {"file": P.sst_files(blocks), "store": P.store_parts(blocks)}
+    return _object_report(tablets, tablets.where("upper(state) = 'RUNNING'"), parts, "tablet_id", uuid)
+
+
 #: A section's key columns; detail is the rest.
 KEYS = {
     **dict.fromkeys(N.SECTIONS, list(N.SERIES)), "statements": ["hostname_port", "query"], **dict.fromkeys(("samples", "sample_gauges"), ["hostname_port", "name", "labels"]), "keyspaces": ["keyspace_id"], "tables": ["table_id"], "tablets": ["tablet_id"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,3 +165,22 @@ def cluster_config(payloads: DataFrame) -> DataFrame:
 def connection_activity(connections_: DataFrame) -> DataFrame:
     """Active and total connections per endpoint."""
     return connections_.groupBy(*stamp_of(connections_)[:-1]).agg(F.count_if("active").alias("active"), F.count("*").alias("total"))
+
+
+def config_paths(configs: DataFrame, doc: str = "doc") -> DataFrame:
+    """(stamp, path, kind, value): every scalar of the documents with its path, ``$.a.b[0].c``; empty objects and arrays are left out.
+
+    A recursive query takes documents apart one level a step, so any depth is read; its limit of rows is lifted for the session.
+    """
+    spark, stamp = configs.sparkSession, stamp_of(configs)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    name, own = f"configs_{uuid.uuid4().hex}", ", ".join(stamp)
+    configs.select(*stamp, F.col(doc).alias("doc")).createOrReplaceTempView(name)
+    walked = spark.sql(f"""WITH RECURSIVE walk AS (
+      SELECT {own}, '$' AS path, doc AS v FROM {name}
+      UNION ALL
+      SELECT {own}, concat(path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END), e.value
+      FROM walk, LATERAL variant_explode(v) e)
+    SELECT {own}, path, schema_of_variant(v) AS kind, v FROM walk""")
+    leaf = ~F.startswith("kind", F.lit("OBJECT")) & ~F.startswith("kind", F.lit("ARRAY"))
+    return walked.where(leaf).select(*stamp, "path", "kind", F.try_variant_get("v", "$", "string").alias("value"))

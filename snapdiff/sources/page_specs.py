@@ -123,3 +123,16 @@ def pre_lines(pages: DataFrame) -> DataFrame:
     each = pages.select(*stamp_of(pages), F.explode(F.filter("tables", lambda t: t["header"] == F.array(F.lit("pre")))).alias("t"))
     text = F.regexp_replace(F.col("t.rows")[0][0], r"\n\z", "")
     return each.select(*stamp_of(pages), F.col("t.pos").alias("block"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
+
+
+def store_parts(blocks: DataFrame) -> DataFrame:
+    """(store, item, name, text): options of the regular and the intents store, and the details of their files."""
+    item = F.when(F.col("heading") == "Options", "options").when((F.col("heading") != "Files") & (F.col("part") > 0), "file")
+    name = F.when(item == "file", F.element_at(sst_fields(F.col("heading")), 1)).otherwise("")
+    store = F.when(F.col("part") <= 1, "regular").otherwise("intents")
+    return blocks.select(*stamp_of(blocks), store.alias("store"), item.alias("item"), name.alias("name"), "text").where("item IS NOT NULL")
+
+
+def transactions(pages: DataFrame) -> DataFrame:
+    """Lines of a tablet's page of transactions."""
+    return pre_lines(pages).where("trim(text) <> ''")
