@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CATALOG = "name string, unit string, suffix string, kind string, divisor long"
+BROADCAST_ROWS = 100_000
 
 
 def checked(catalog: DataFrame) -> DataFrame:
@@ -25,12 +26,17 @@ def inferred_unit(name: Column) -> Column:
     return unit
 
 
-def with_catalog(df: DataFrame, catalog: DataFrame) -> DataFrame:
+def with_catalog(df: DataFrame, catalog: DataFrame, small: bool = True) -> DataFrame:
     """Left join with the checked catalog; what it lacks has unit, suffix and kind ``?`` and divisor 1.
 
-    The join has no hint: Spark broadcasts the catalog where its size is known to be small.
+    A ``small`` catalog is broadcast; it is an error if it has over ``BROADCAST_ROWS`` rows, which the query itself counts. Larger
+    ones are joined by a shuffle.
     """
-    out = df.join(checked(catalog), "name", "left")
+    side = checked(catalog)
+    if small:
+        rows = catalog.limit(BROADCAST_ROWS + 1).agg(F.count("*")).scalar()
+        side = F.broadcast(side.where(F.assert_true(rows <= BROADCAST_ROWS, F.lit("the catalog is not small")).isNull()))
+    out = df.join(side, "name", "left")
     for c in ("unit", "suffix", "kind"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit("?")))
     return out.withColumn("divisor", F.coalesce("divisor", F.lit(1)).cast("long"))

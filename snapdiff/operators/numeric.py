@@ -124,14 +124,14 @@ def _shown(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(rule[0]).select(*SERIES, *[c.alias(n) for n, c in rule[1].items()])
 
 
-def value_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, **filters) -> DataFrame:
+def value_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, small_catalog: bool = True, **filters) -> DataFrame:
     """Counters: what was added, and per second."""
-    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog), _counter())
+    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog, small_catalog), _counter())
 
 
-def gauge_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, **filters) -> DataFrame:
+def gauge_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, catalog: DataFrame, details: bool = False, small_catalog: bool = True, **filters) -> DataFrame:
     """Gauges: the value at the end, and its signed change, also if 0."""
-    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog), _gauge())
+    return _shown(with_catalog(metric_pairs(metrics, snapshots, begin, end, ("value",), details, **filters), catalog, small_catalog), _gauge())
 
 
 def countsum_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, details: bool = False, **filters) -> DataFrame:
@@ -148,11 +148,11 @@ def countsumrows_diff(metrics: DataFrame, snapshots: DataFrame, begin: int, end:
 SECTIONS = {"values": ("value", _counter), "gauges": ("value", _gauge), "countsums": ("countsum", _latency), "countsumrows": ("countsumrows", _statement)}
 
 
-def metric_sections(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, sections: tuple[str, ...] = tuple(SECTIONS), catalog: DataFrame | None = None, details: bool = False, **filters) -> DataFrame:
+def metric_sections(metrics: DataFrame, snapshots: DataFrame, begin: int, end: int, sections: tuple[str, ...] = tuple(SECTIONS), catalog: DataFrame | None = None, details: bool = False, small_catalog: bool = True, **filters) -> DataFrame:
     """(section, series, detail): all metric diffs from one scan and one aggregate; ``detail`` is JSON of what the section's own diff has."""
     pairs = metric_pairs(metrics, snapshots, begin, end, tuple(dict.fromkeys(SECTIONS[s][0] for s in sections)), details, **filters)
     if any(SECTIONS[s][0] == "value" for s in sections):
-        pairs = with_catalog(pairs, catalog)
+        pairs = with_catalog(pairs, catalog, small_catalog)
     section, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s in sections:
         kind, rule = SECTIONS[s]

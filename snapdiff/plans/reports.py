@@ -77,20 +77,25 @@ def _part(name: str, df: DataFrame, key: str) -> DataFrame:
 
 
 def _object_report(basic: DataFrame, shown: DataFrame, parts: dict[str, DataFrame], key: str, uuid: str | None) -> DataFrame:
-    """The list's row of each object and, for objects of ``shown``, the parts of their own pages; of one object or of all."""
+    """The list's row of each object and, for objects of ``shown``, the parts of their own pages; of one object or of all.
+
+    Parts are put together first, so that one join picks those that show.
+    """
     one = lambda df: df if uuid is None else df.where(F.col(key) == uuid)
-    out, known = one(_part("general", basic, key)), one(shown.select("snapshot_id", key).distinct())
-    for name, df in parts.items():
-        out = out.unionByName(one(_part(name, df, key)).join(known, ["snapshot_id", key], "left_semi"))
-    return out
+    rows = [one(_part(name, df, key)) for name, df in parts.items()]
+    while len(rows) > 1:
+        rows = [a.union(b) for a, b in zip(rows[::2], rows[1::2], strict=False)] + rows[len(rows) & ~1 :]
+    known = one(shown.select("snapshot_id", key))
+    return one(_part("general", basic, key)).unionByName(rows[0].join(known, ["snapshot_id", key], "left_semi"))
 
 
 def table_report(tables: DataFrame, pages: DataFrame, uuid: str | None = None, leaders: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, table_id, part, detail) of a table: its row in the leader's list, and properties, columns, tablets and tasks of its page.
 
-    ``tables`` are rows of the list of tables, ``pages`` parsed pages of tables, which name theirs in ``object_id``.
+    ``tables`` are rows of the list of tables, ``pages`` parsed pages of tables, which name theirs in ``object_id``; they
+    are parsed once, for all parts.
     """
-    rows = tables if leaders is None else E.leader_rows(tables, leaders)
+    rows, pages = tables if leaders is None else E.leader_rows(tables, leaders), settled_all({"pages": pages})["pages"]
     parts = {"property": P.keyed_values(pages), "column": P.page(pages, "columns"), "tablet": P.page(pages, "tablets_of_table"), "task": P.page(pages, "tasks_of_table")}
     return _object_report(rows, rows, parts, "table_id", uuid)
 
@@ -100,7 +105,7 @@ def tablet_report(tablets: DataFrame, pages: dict[str, DataFrame], uuid: str | N
 
     ``pages`` has any of the parsed pages ``consensus``, ``log_anchors``, ``transactions`` and ``stores``, which name their tablet in ``object_id``.
     """
-    parts = {}
+    parts, pages = {}, settled_all(pages)
     if "consensus" in pages:
         parts |= {"consensus": P.consensus_state(pages["consensus"]), "watermark": P.page(pages["consensus"], "watermarks"), "message": P.page(pages["consensus"], "messages")}
     if "log_anchors" in pages:

@@ -137,6 +137,27 @@ def read_json_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+#: What the tables of a hierarchy are bucketed by: rows that are joined or compared lie in the same bucket.
+BUCKETED = {"tables": "table_id", "tablets": "tablet_id", "replicas": "tablet_id"}
+
+
+def write_bucketed(tables: dict[str, DataFrame], name: str, buckets: int = 64) -> dict[str, DataFrame]:
+    """The hierarchy as tables ``<name>_<dataset>`` of the session's catalog, each in ``buckets`` sorted buckets by tablet (or table).
+
+    Diffs of tablets and replicas over them join and compare without moving rows of tablets and replicas: set
+    ``spark.sql.requireAllClusterKeysForCoPartition`` to false, so that a join on snapshot and tablet is served by buckets of the tablet.
+    """
+    out = {}
+    for dataset, df in tables.items():
+        writer = df.write.mode("overwrite").format("parquet")
+        if dataset in BUCKETED:
+            key = BUCKETED[dataset]
+            writer = writer.bucketBy(buckets, key).sortBy(key)
+        writer.saveAsTable(f"{name}_{dataset}")
+        out[dataset] = df.sparkSession.table(f"{name}_{dataset}")
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local."""
     import tempfile

@@ -166,3 +166,28 @@ def test_health_rows_in_blocks_compare_as_one_list(spark):
     h = spark.createDataFrame([(0, ["a"], ["x"]), (0, ["b"], None), (1, ["b", "c"], []), (1, None, ["y"])], "snapshot_id int, dead_nodes array<string>, under_replicated_tablets array<string>")
     assert sorted(tuple(r) for r in G.health_diff(h, 0, 1).collect()) == [("+", "dead_nodes", "c"), ("+", "under_replicated_tablets", "y"), ("-", "dead_nodes", "a"), ("-", "under_replicated_tablets", "x")]
     assert G.health_diff(h.where("snapshot_id = 0"), 0, 1).count() == G.health_diff(h.where("false"), 0, 1).count() == 0
+
+
+def test_bucketed_hierarchies_are_compared_without_moving_rows(spark, sf):
+    from snapdiff.demo import adapters as A
+
+    h = {k: v for k, v in A.hierarchy(spark, sf).items() if k != "lines"}
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = S.write_bucketed(h, "own", 4)
+        led = E.with_leader_addr(G.pair(b["tablets"], 0, 1), G.pair(b["replicas"], 0, 1))
+        tablets = E._classified(led, ["tablet_id"], ["table_id"], ["state", "leader_addr"], 0, 1)
+        replicas = E._classified(G.pair(b["replicas"], 0, 1), ["tablet_id", "server_uuid"], [], ["type", "addr"], 0, 1)
+        tabled = replicas.join(b["tablets"].select(F.col("snapshot_id").alias("side"), "tablet_id", "table_id"), ["side", "tablet_id"], "left")
+        for df in (tablets, tabled):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        full = E.replica_diff(b["replicas"], b["tablets"], b["tables"], b["keyspaces"], 0, 1)
+        assert full._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(tablet_id") == 0
+        plain = E.replica_diff(h["replicas"], h["tablets"], h["tables"], h["keyspaces"], 0, 1)
+        assert sorted(map(tuple, full.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str) and full.count() > 0
+        moves = lambda t: sorted(map(tuple, E.tablet_diff(t["tablets"], t["replicas"], t["tables"], t["keyspaces"], 0, 1).collect()), key=str)
+        assert moves(b) == moves(h)
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
