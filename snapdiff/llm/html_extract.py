@@ -8,9 +8,11 @@ pages; those are merged per (host, salt), then per host, so a host with a third
 never in one task. A wrapper has a bounded size: beyond it, what the fewest pages have becomes a slot of
 its length in the item around it. From a wrapper comes a short rule: where the main text is. It is the article
 or main element, or else the part whose slots hold the most text that differs between pages and
-is no link. Pages are then read a second time with their host's rule. A form or an element whose
-names mark noise is read as main all the same if it holds most of the text: more than half, and
-at least ``LARGE`` times what the best part outside of noise has. A class or id marks noise only
+is no link. Of several articles it is the first that stands once a page; repeated ones, as of
+reader comments, count only where no article does. Pages are then read a second time with their host's rule. A form or
+an element whose names mark noise is read as main all the same if it holds most of the text: more
+than half, and at least ``LARGE`` times what the best part outside of noise has; never so what the names call comments or
+adverts, article elements among them. A class or id marks noise only
 if all of its words do, apart from words of structure (``comment-list``, ``site-footer``); beside
 other words (``share-analysis``) it is a hint, and cuts only what is mostly links.
 
@@ -18,7 +20,9 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, com
 markup and reader comments go; what the wrapper shows to be the same text on all of at least
 ``SAME_PAGES`` different pages goes too, where a host has no article or main element and at least
 as much text outside of noise differs between its pages; else they may be recrawls of one page,
-and the text is kept. Equal pages of a host count as one in its wrapper. Character references
+and the text is kept. In articles, too, a block (not a heading) goes if all of at least ``SAME_PAGES`` different pages have it, wherever it
+stands in them, and such blocks are less than half of a page; there, what only its name calls a menu or a notice stays, as
+its text is the page's own. Equal pages of a host count as one in its wrapper. Character references
 are decoded, white space in a block becomes one space, blocks are joined by one newline.
 
 Nulls, ties and repeats: null or empty html gives an empty text; a null url or one without a
@@ -34,8 +38,9 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -65,6 +70,8 @@ _PLAIN_WORDS = frozenset(
     "area bar block body bottom box btn button buttons col column container content element entry fixed group heading holder icon icons inner item items label layout left link links list main module outer page panel post posts right row section site slot text title toggle top unit user view wrap wrapper zone".split()
 )
 _MAIN_WORDS = frozenset({"articlebody"})
+_NEVER_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus respond reply replies".split())
+_SOFT_WORDS = frozenset("menu notice notices alert".split())
 LARGEST = 20_000  # of a wrapper: its items, and the texts they keep in units of 64 characters
 
 
@@ -89,13 +96,15 @@ def _read_tag(tag: str, rest: str) -> tuple[str, bool, bool]:
     if (tag, rest) not in _seen:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(rest)}
         names = [_words(name) for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
-        met = [ws for ws in names if _NOISE_WORDS.intersection(ws)] if tag not in ("html", "body", "main", "article") else []
-        named = any(all(w in _NOISE_WORDS or w in _PLAIN_WORDS or len(w) == 1 for w in ws) for ws in met)
+        met = [ws for ws in names if _NOISE_WORDS.intersection(ws)] if tag not in ("html", "body", "main") else []
+        sure = [ws for ws in met if all(w in _NOISE_WORDS or w in _PLAIN_WORDS or len(w) == 1 for w in ws)]
+        named, said = bool(sure), {w for ws in sure for w in ws if w in _NOISE_WORDS}
+        kind = ["*never"] if said & _NEVER_WORDS else ["*soft"] if said and said <= _SOFT_WORDS else []
         noise = named or tag in _NOISE_TAGS or found.get("role", "").lower() in _NOISE_ROLES
         main = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() in _MAIN_WORDS
         if len(_seen) > 50_000:
             _seen.clear()
-        label = " ".join([tag, *sorted({w for ws in names for w in ws}), *["*noise"] * named, *["*main"] * main])
+        label = " ".join([tag, *sorted({w for ws in names for w in ws}), *["*noise"] * named, *kind, *["*main"] * main])
         _seen[tag, rest] = (label, noise, bool(met) and not noise)
     return _seen[tag, rest]
 
@@ -160,6 +169,19 @@ def wrapper_of(node: Node, link: bool = False) -> list:
     return [node.label, False, False, 1, None, *own, kids]
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def page_wrapper(page: str) -> list:
+    """The wrapper of one page; its root keeps digest and length of each block, of which merging leaves what all pages have."""
+    root = parse(page)
+    w = wrapper_of(root)
+    blocks = {t for t, heading in _blocks([root], lambda item, region: item.noise and "*soft" not in item.label) if not heading}
+    w[TEXT] = tuple(sorted((digest(t), len(t)) for t in blocks)[:LARGEST])
+    return w
+
+
 def fold(kids: list[list]) -> list[list]:
     """Runs of like items, of one to three labels, become repeated groups."""
     for period in (1, 2, 3):
@@ -196,7 +218,9 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     a[LINKS] += b[LINKS]
     a[OPTIONAL] |= b[OPTIONAL]
     a[REPEATED] |= b[REPEATED]
-    if a[TEXT] != b[TEXT]:
+    if isinstance(a[TEXT], tuple) and isinstance(b[TEXT], tuple):
+        a[TEXT] = tuple(sorted(set(a[TEXT]) & set(b[TEXT])))
+    elif a[TEXT] != b[TEXT]:
         a[TEXT] = None
     x, y = [k[LABEL] for k in a[KIDS]], [k[LABEL] for k in b[KIDS]]
     if x == y:
@@ -273,17 +297,20 @@ def _is_main(label: str) -> bool:
 
 def rule_of(w: list) -> dict:
     """``region``: labels from the root to the main part; ``same``: texts of the template outside an article."""
-    mains: list[tuple[int, int, list[str]]] = []
+    mains: list[tuple[int, bool, int, int, list[str]]] = []
     loose: list[tuple[float, int, list[str]]] = []
     same: list[str] = []
 
     differs = [0, 0]  # text outside of noise: that of slots, that of the template
 
-    def walk(node: list, path: list[str], noise: bool, large: float, trust: bool) -> float:
+    def walk(node: list, path: list[str], noise: bool, large: float, trust: bool, repeated: bool = False) -> float:
+        repeated |= node[REPEATED]
+        place = len(places)
+        places.append(0)
         tag = node[LABEL].split(" ")[0]
         names = set(node[LABEL].split(" ")[1:])
         named = tag in _SOFT_TAGS or "*noise" in names
-        noise = noise or tag in _NOISE_TAGS - _SOFT_TAGS or tag == "header" or named and node[CHARS] - node[LINKS] <= large
+        noise = noise or tag in _NOISE_TAGS - _SOFT_TAGS or tag == "header" or named and ("*never" in names or node[CHARS] - node[LINKS] <= large)
         if node[LABEL] == "#":
             template = node[TEXT] is not None and node[PAGES] >= SAME_PAGES and not node[REPEATED]
             if not noise:
@@ -293,27 +320,34 @@ def rule_of(w: list) -> dict:
                 return 0
             return 0 if noise else node[CHARS] - 2 * node[LINKS]
         own = path + [node[LABEL]] if node[LABEL][:1] not in ("", "(") else path
-        worth = sum(walk(k, own, noise, large, trust) for k in node[KIDS])
+        worth = sum(walk(k, own, noise, large, trust, repeated) for k in node[KIDS])
         if not noise and node[LABEL][:1] not in ("", "("):
             if _is_main(node[LABEL]):
-                mains.append((node[CHARS], -len(own), own))
+                mains.append((place, repeated, node[PAGES], node[CHARS], own))
             elif tag in _BLOCK and tag != "p" and tag not in _HEADINGS:
                 loose.append((worth, len(own), own))
         return worth
 
+    places: list[int] = []
     walk(w, [], False, float("inf"), True)
-    best = max([m[0] for m in mains] + [x[0] for x in loose] + [0])
+    best = max([m[3] for m in mains] + [x[0] for x in loose] + [0])
     large = max((w[CHARS] - w[LINKS]) / 2, LARGE * best)
     for trust in (True, False):
-        for found in (mains, loose, same):
+        for found in (mains, loose, same, places):
             found.clear()
         differs[:] = 0, 0
         walk(w, [], False, large, trust)
         if differs[0] >= differs[1]:
             break
+    own = {}
+    if w[PAGES] >= SAME_PAGES and isinstance(w[TEXT], tuple) and 2 * sum(n for _, n in w[TEXT]) < (w[CHARS] - w[LINKS]) / w[PAGES]:
+        own = {"template": [d for d, _ in w[TEXT]]}  # of pages that differ in most of their text
     if mains:
-        inner = [m for m in mains if m[2][-1].startswith("article")] or mains
-        return {"region": max(inner)[2], "same": []}
+        inner = [m for m in mains if m[4][-1].startswith("article")] or mains
+        inner = [m for m in inner if not m[1]] or inner
+        inner = [m for m in inner if 2 * m[2] >= max(x[2] for x in inner)]
+        inner = [m for m in inner if 5 * m[3] >= max(x[3] for x in inner)]
+        return {"region": min(inner)[4], "same": [], **own}
     if loose:
         most = max(x[0] for x in loose)
         return {"region": max((x for x in loose if x[0] >= 0.85 * most), key=lambda x: x[1])[2], "same": sorted(set(same))}
@@ -374,7 +408,7 @@ def _large(root: Node, least: int) -> list[Node]:
     least, stack = max(least, _chars(root) // 2), [root]
     while stack:
         node = stack.pop()
-        if node.noise and node.tag not in _NOISE_TAGS - _SOFT_TAGS and _chars(node) > least:
+        if node.noise and node.tag not in _NOISE_TAGS - _SOFT_TAGS and "*never" not in node.label and _chars(node) > least:
             inner, found = list(reversed(node.kids)), []
             while inner:
                 kid = inner.pop()
@@ -400,45 +434,64 @@ def _large_in(node: Node, least: int) -> list[Node]:
     return [node]
 
 
-def main_text(page: str | None, rule: dict | None = None) -> str:
-    """The main text of a page under its host's rule."""
-    if not page:
-        return ""
-    same = set((rule or {}).get("same", ()))
-    blocks: list[str] = []
-    parts: list[str] = []
-
-    def close() -> None:
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text and text not in same:
-            blocks.append(text)
-
-    for region in _regions(parse(page), (rule or {}).get("region", [])):
+def _blocks(regions: list[Node], skips: Callable[[Node, Node], bool]) -> Iterator[tuple[str, bool]]:
+    """(text, whether it is a heading) of the blocks of the regions, without what ``skips(item, region)``."""
+    for region in regions:
         article = _is_main(region.label)
         stack: list = [region]
+        parts: list[str] = []
+        heads = 0
         while stack:
             item = stack.pop()
             if isinstance(item, str):
                 parts.append(_html.unescape(item))
-            elif item is None:
-                close()
-            else:
-                if item is not region and (item.noise or item.hint and _is_links(item)):
-                    continue
-                if item.tag == "header" and item is not region:
-                    if article:  # an article's own header gives its headings only
-                        stack += [k for k in reversed(item.kids) if not isinstance(k, str) and k.tag in _HEADINGS]
-                    continue
-                if item.tag == "br":
-                    parts.append(" ")
-                    continue
-                if item.tag in _BLOCK:
-                    close()
-                    stack.append(None)
-                stack += reversed(item.kids)
-        close()
-    return "\n".join(blocks)
+                continue
+            if isinstance(item, int):  # the end of a block
+                text = " ".join("".join(parts).split())
+                parts.clear()
+                if text:
+                    yield text, heads > 0
+                heads -= item
+                continue
+            if item is not region and skips(item, region):
+                continue
+            if item.tag == "header" and item is not region:
+                if article:  # an article's own header gives its headings only
+                    stack += [k for k in reversed(item.kids) if not isinstance(k, str) and k.tag in _HEADINGS]
+                continue
+            if item.tag == "br":
+                parts.append(" ")
+                continue
+            if item.tag in _BLOCK:
+                text = " ".join("".join(parts).split())
+                parts.clear()
+                if text:
+                    yield text, heads > 0
+                heads += item.tag in _HEADINGS
+                stack.append(int(item.tag in _HEADINGS))
+            stack += reversed(item.kids)
+        text = " ".join("".join(parts).split())
+        if text:
+            yield text, heads > 0
+
+
+def main_text(page: str | None, rule: dict | None = None) -> str:
+    """The main text of a page under its host's rule."""
+    if not page:
+        return ""
+    rule = rule or {}
+    same, template = set(rule.get("same", ())), set(rule.get("template", ()))
+
+    def skips(item: Node, region: Node) -> bool:
+        if item.noise and "template" in rule and "*soft" in item.label and item.tag not in _NOISE_TAGS and _is_main(region.label):
+            return _is_links(item)  # what all pages have of it is known
+        return item.noise or item.hint and _is_links(item)
+
+    out = []
+    for text, heading in _blocks(_regions(parse(page), rule.get("region", [])), skips):
+        if text not in same and (heading or not template or digest(text) not in template):
+            out.append(text)
+    return "\n".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -459,7 +512,7 @@ def infer_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    w = shrink(wrapper_of(parse(page)))
+                    w = shrink(page_wrapper(page))
                     own[host] = merge(own[host], w) if host in own else w
                     merged[host] += 1
                     if merged[host] % 8 == 0:
