@@ -9,8 +9,8 @@ their SHA-256, then whole digests are compared. Rules that are too many or too l
 repeated under ``salts``, since an expression such as ``com/`` is met by a large part of all
 places; rows without a host fit nothing and are spread over the closing join.
 
-Without a fitting rule the verdict is the method's: block if a word of the host (cut at dots
-and hyphens) is on the list of words, met by the same join, else allow.
+Without a fitting rule the verdict is allow, unless the caller gives ``words``: then a word of the host (cut at dots
+and hyphens) among them, met by the same join, makes it block.
 
 Nulls, ties and repeats: a null url, or one without "://", has an empty host and path and fits no
 rule; an empty path fits only rules with an empty path; equal rules count once; a null rule host
@@ -25,8 +25,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Host words that are blocked where no rule fits.
-BLOCKED_WORDS = ("adult", "bet", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "poker", "porn", "sex", "spam", "warez", "xxx")
 PREFIX = 8  # hex digits
 
 
@@ -48,7 +46,7 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
     return spark.createDataFrame([(r[1], r[2], r[0]) for r in rules], "host string, path string, action string")
 
 
-def judge(pages: DataFrame, rules: DataFrame, words: Sequence[str] = BLOCKED_WORDS, id_col: str = "page_id", url_col: str = "url", broadcast_rules: int = 100_000, broadcast_bytes: int = 32_000_000, max_lengths: int = 64, salts: int = 32) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, words: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url", broadcast_rules: int = 100_000, broadcast_bytes: int = 32_000_000, max_lengths: int = 64, salts: int = 32) -> DataFrame:
     """Per row: page_id, host, path, rule (host and path of the rule that decides, else null) and verdict."""
     usable = rules.where("host IS NOT NULL AND path IS NOT NULL AND action IN ('allow', 'block')").select("host", "path", "action").distinct()
     of_words = pages.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "word string").select(F.concat(F.lit("word:"), "word").alias("expr"), F.lit(-1).alias("weight"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("action"))
@@ -65,7 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, words: Sequence[str] = BLOCKED_WOR
         cuts = F.transform(fit, lambda i: F.substring("path", F.lit(1), i))
     as_rule = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(cuts, lambda p: F.concat(F.lit("rule:"), h, F.lit("\n"), p))))
     as_word = F.transform(F.array_distinct(F.split("host", r"[.\-]")), lambda w: F.concat(F.lit("word:"), w))
-    asked = places.where("host <> ''").select("host", "path", F.explode(F.concat(as_rule, as_word)).alias("expr"))
+    asked = places.where("host <> ''").select("host", "path", F.explode(F.concat(as_rule, as_word) if words else as_rule).alias("expr"))
     asked = asked.withColumn("full", F.sha2("expr", 256)).drop("expr").withColumn("short", F.substring("full", 1, PREFIX))
     if n <= broadcast_rules and size <= broadcast_bytes:
         met = asked.join(F.broadcast(listed), "short")
