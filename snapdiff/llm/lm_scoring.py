@@ -1,9 +1,10 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 *Training* counts words and word pairs of the training rows. Pair counts travel as sorted
-40-bit hashes in one packed row per task and hash range, and each range becomes one segment of
+hashes in one packed row per task and hash range, and each range becomes one segment of
 a Bloom filter: an n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c). A
-segment has ``bits_per_gram`` bits for each n-gram and level that was counted in its range, so
+segment has ``bits_per_gram`` bits for each n-gram and level that was counted in its range, and hashes are as wide as the
+tokens are many (at most one probe in 4,096 meets another n-gram's hash, up to 64 bits), so
 the error rate is the same at any size. Up to ``max_bytes`` in all, the segments are broadcast;
 past that bound each block's distinct n-grams are sent to their segments, and the levels found
 come back to the block, so no task holds more than a segment.
@@ -189,13 +190,18 @@ def block_grams(words: bytes, lengths: np.ndarray, tokens: np.ndarray) -> tuple[
     return mixed(h), ngrams(marked, 2)[place - 1]
 
 
-def _cut(h: np.ndarray, ranges: int) -> np.ndarray:
-    """Keeps 40 bits of a hash, of which the top ones name its range."""
-    return h >> np.uint64(24)
+def width_for(n_tokens: int) -> int:
+    """Bits of a hash: twelve more than the words and pairs of this many tokens could need, so that the chance to meet another does not grow with them."""
+    return min(64, max(40, 12 + (2 * n_tokens).bit_length()))
 
 
-def counted_ranges(docs: DataFrame, ranges: int, flush: int = 6_000_000) -> DataFrame:
-    """(part, grams): sorted 40-bit hashes with counts, packed, for each task and hash range."""
+def _cut(h: np.ndarray, width: int) -> np.ndarray:
+    """Keeps the top bits of a hash, of which the first name its range."""
+    return h >> np.uint64(64 - width)
+
+
+def counted_ranges(docs: DataFrame, ranges: int, width: int, flush: int = 6_000_000) -> DataFrame:
+    """(part, grams): sorted hashes of ``width`` bits with counts, packed, for each task and hash range."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -203,19 +209,19 @@ def counted_ranges(docs: DataFrame, ranges: int, flush: int = 6_000_000) -> Data
 
         def out() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, (np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 40) // ranges)))
+            cuts = np.searchsorted(values, (np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << width) // ranges)))
             parts, blobs = [], []
             for p, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts), strict=True)):
                 if len(v):
                     parts.append(p)
-                    blobs.append(packed(v, t))
+                    blobs.append(packed(v, t, width))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "grams"])
 
         for ids, raws in _texts(batches):
             for doc, raw in zip(ids, raws, strict=True):
                 if not is_held_out(doc):
                     one, two = grams(raw)
-                    held += [_cut(one, ranges), _cut(two, ranges)]
+                    held += [_cut(one, width), _cut(two, width)]
                     size += 2 * len(one)
             if size >= flush:
                 yield out()
@@ -226,19 +232,20 @@ def counted_ranges(docs: DataFrame, ranges: int, flush: int = 6_000_000) -> Data
     return docs.mapInArrow(make, "part int, grams binary")
 
 
-def packed(values: np.ndarray, times: np.ndarray) -> bytes:
+def packed(values: np.ndarray, times: np.ndarray, width: int = 64) -> bytes:
     """Sorted values and their counts in few bytes: gaps and counts, compressed."""
+    size = -(-width // 8)
     gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    raw = np.ascontiguousarray(gaps[:, :5].T).tobytes() + np.minimum(times, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(values).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+    raw = np.ascontiguousarray(gaps[:, :size].T).tobytes() + np.minimum(times, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(values).to_bytes(4, "little") + bytes([size]) + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    raw = np.frombuffer(pa.decompress(blob[4:], 9 * n, "zstd", asbytes=True), np.uint8).reshape(9, n)
+    n, size = int.from_bytes(blob[:4], "little"), blob[4]
+    raw = np.frombuffer(pa.decompress(blob[5:], (size + 4) * n, "zstd", asbytes=True), np.uint8).reshape(size + 4, n)
     gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :5] = raw[:5].T
-    return np.cumsum(gaps.view("<u8").reshape(-1)), np.ascontiguousarray(raw[5:].T).view("<u4").reshape(-1).astype(np.int64)
+    gaps[:, :size] = raw[:size].T
+    return np.cumsum(gaps.view("<u8").reshape(-1)), np.ascontiguousarray(raw[size:].T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def _spots(values: np.ndarray, level: int, hashes: int, bits: int | np.ndarray) -> list[np.ndarray]:
@@ -253,11 +260,11 @@ _MIDDLE = np.array([0.0, 1.0, *(1.5 * 2.0 ** (level - 1) - 0.5 for level in rang
 class Filter:
     """Segments of ``bits`` bits each, one for each hash range, that begin at the bytes ``starts`` of one array."""
 
-    def __init__(self, data: np.ndarray, ranges: int, starts: np.ndarray, bits: np.ndarray, hashes: int):
-        self.data, self.ranges, self.starts, self.bits, self.hashes = data, ranges, starts, bits, hashes
+    def __init__(self, data: np.ndarray, ranges: int, starts: np.ndarray, bits: np.ndarray, hashes: int, width: int):
+        self.data, self.ranges, self.starts, self.bits, self.hashes, self.width = data, ranges, starts, bits, hashes, width
 
     def has(self, values: np.ndarray, level: int) -> np.ndarray:
-        part = (values // np.uint64((1 << 40) // self.ranges)).astype(np.int64)
+        part = (values // np.uint64((1 << self.width) // self.ranges)).astype(np.int64)
         base, bits = self.starts[part] * np.uint64(8), self.bits[part]
         ok = np.ones(len(values), bool)
         for spot in _spots(values, level, self.hashes, bits):
@@ -280,7 +287,7 @@ class Filter:
         return _MIDDLE[self.levels(values)]
 
 
-def filter_of(segments: Iterable[tuple[int, bytes]], ranges: int, hashes: int) -> Filter:
+def filter_of(segments: Iterable[tuple[int, bytes]], ranges: int, hashes: int, width: int) -> Filter:
     """The filter with these segments; a range without one has eight bits that are off."""
     own = list(segments)
     sizes = np.array([len(segment) for _, segment in own], np.uint64)
@@ -288,12 +295,12 @@ def filter_of(segments: Iterable[tuple[int, bytes]], ranges: int, hashes: int) -
     parts = [part for part, _ in own]
     starts[parts] = np.cumsum(sizes) - sizes
     bits[parts] = sizes * np.uint64(8)
-    return Filter(np.frombuffer(b"".join([*(segment for _, segment in own), b"\0"]), np.uint8), ranges, starts, bits, hashes)
+    return Filter(np.frombuffer(b"".join([*(segment for _, segment in own), b"\0"]), np.uint8), ranges, starts, bits, hashes, width)
 
 
-def filter_segments(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> tuple[DataFrame, int]:
-    """(part, segment) of the filter over all training rows, and the number of ranges, from ``n_tokens``."""
-    ranges = 64
+def filter_segments(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> tuple[DataFrame, int, int]:
+    """(part, segment) of the filter over all training rows, the number of ranges and the bits of a hash, from ``n_tokens``."""
+    ranges, width = 64, width_for(n_tokens)
     while 2 * n_tokens > ranges * grams_per_range and ranges < 1 << 20:
         ranges *= 2
 
@@ -308,13 +315,13 @@ def filter_segments(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, has
                 on[spot.astype(np.int64)] = True
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "segment": [np.packbits(on, bitorder="little").tobytes()]})
 
-    return stored(counted_ranges(docs, ranges).groupBy("part").applyInPandas(build, "part int, segment binary"), "filter"), ranges
+    return stored(counted_ranges(docs, ranges, width).groupBy("part").applyInPandas(build, "part int, segment binary"), "filter"), ranges, width
 
 
 def build_filter(docs: DataFrame, n_tokens: int, hashes: int = 3, **options) -> Filter:
     """The whole filter, on the driver."""
-    segments, ranges = filter_segments(docs, n_tokens, hashes=hashes, **options)
-    return filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes)
+    segments, ranges, width = filter_segments(docs, n_tokens, hashes=hashes, **options)
+    return filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes, width)
 
 
 def _mix(single: np.ndarray, both: np.ndarray, lengths: np.ndarray, total: int, distinct: int, weight: float) -> np.ndarray:
@@ -332,7 +339,7 @@ def _scored(ids: list, raws: list[bytes], score: np.ndarray) -> pa.RecordBatch:
 
 def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
     """(doc_id, row_key, score): the log10 probability of each text, its end included."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.starts, model.bits, model.hashes))
+    shared = docs.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.starts, model.bits, model.hashes, model.width))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(*shared.value)
@@ -340,28 +347,28 @@ def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weig
             pairs = [grams(raw) for raw in raws]
             lengths = np.array([len(one) for one, _ in pairs])
             one, inverse = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
-            single = own.counts(_cut(one, own.ranges))[inverse]
-            both = own.counts(_cut(np.concatenate([x for _, x in pairs]), own.ranges))
+            single = own.counts(_cut(one, own.width))[inverse]
+            both = own.counts(_cut(np.concatenate([x for _, x in pairs]), own.width))
             yield _scored(ids, raws, _mix(single, both, lengths, total, distinct, weight))
 
     return docs.mapInArrow(make, "doc_id long, row_key long, score double")
 
 
-def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges: int, hashes: int, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
+def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges: int, width: int, hashes: int, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
     """What ``base_scores`` and ``model_scores`` give, for a filter that is too large to broadcast."""
-    step = (1 << 40) // ranges
+    step = (1 << width) // ranges
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 _, _, _, lengths, tokens = _documents(blob)
-                values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), ranges))
+                values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width))
                 parts, begins = np.unique((values // np.uint64(step)).astype(np.int32), return_index=True)
-                blobs = [packed(v, np.zeros(len(v), np.int64)) for v in np.split(values, begins[1:])]
+                blobs = [packed(v, np.zeros(len(v), np.int64), width) for v in np.split(values, begins[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(blobs, pa.binary())], ["block", "part", "grams"])
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes)
+        own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes, width)
         found = [_pressed(own.levels(unpacked(b)[0]).tobytes()) for b in asked["grams"].to_pylist()]
         return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
 
@@ -371,7 +378,7 @@ def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges
         out = _base(words["idx"].to_numpy(), words["c"].to_numpy(), blob, total, distinct)
         found = np.frombuffer(b"".join(_raw(b) for b in levels.sort_by("part")["levels"].to_pylist()), np.uint8)  # in the order of the values
         _, _, _, lengths, tokens = _documents(blob)
-        one, two = (_cut(x, ranges) for x in block_grams(_raw(block["words"][0].as_py()), lengths, tokens))
+        one, two = (_cut(x, width) for x in block_grams(_raw(block["words"][0].as_py()), lengths, tokens))
         values, inverse = np.unique(np.concatenate([one, two]), return_inverse=True)
         assert len(values) == len(found)
         at = _MIDDLE[found][inverse]
@@ -389,11 +396,11 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(tokenised_blocks(docs), "tokens")
     known, total, distinct = known_words(blocks)
-    segments, ranges = filter_segments(docs, total, hashes=hashes, **options)
+    segments, ranges, width = filter_segments(docs, total, hashes=hashes, **options)
     if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= max_bytes:
-        model = filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes)
+        model = filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes, width)
         scores = model_scores(docs, model, total, distinct).dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
         out = base_scores(known, blocks, total, distinct).join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
     else:
-        out = sent_scores(known, blocks, segments, ranges, hashes, total, distinct)
+        out = sent_scores(known, blocks, segments, ranges, width, hashes, total, distinct)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -302,7 +302,7 @@ def test_filter_counts_are_quantised_and_never_too_low(spark):
     model = LM.build_filter(docs(spark, rows).select("doc_id", "text"), 3000)
     one, two = zip(*[LM.grams(t.encode()) for i, t in rows if not LM.is_held_out(i)], strict=True)
     for part in (one, two):
-        values, times = np.unique(LM._cut(np.concatenate(part), model.ranges), return_counts=True)
+        values, times = np.unique(LM._cut(np.concatenate(part), model.width), return_counts=True)
         found = model.counts(values)
         level = np.floor(np.log2(times))
         assert (found >= np.where(level == 0, 1, 1.5 * 2**level - 0.5)).all()

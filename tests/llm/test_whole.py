@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -30,6 +33,44 @@ def test_scores_past_the_broadcast_bound_are_the_same(spark):
     assert max(unseen) < min(seen)  # random words: nearly no pair of an unseen text was counted
 
 
+def plain_score(text, pairs, singles, total, distinct, weight=0.7):
+    """The mix of relative frequencies from exact counts, at the middle of each count's level."""
+    middle = lambda c: 0.0 if not c else float(LM._MIDDLE[1 + int(c).bit_length() - 1])
+    tokens, score, before = [*text.split(), None], 0.0, None
+    for k, t in enumerate(tokens):
+        first = middle(singles[None] if k == 0 else singles[tokens[k - 1]])
+        both = middle(pairs["<", t] if k == 0 else pairs[before, t])
+        score += math.log10(weight * min(both, first) / max(first, 1) + (1 - weight) * min((middle(singles[t]) + 1) / (total + distinct + 1), 1))
+        before = t
+    return score
+
+
+@pytest.mark.parametrize(("n", "words", "most"), [(30, 40, 1 << 26), (400, 300, 1 << 26), (400, 300, 1000), (1500, 4000, 1000)])
+def test_scores_equal_exact_counts_at_several_sizes(spark, n, words, most):
+    rng = np.random.default_rng(n)
+    texts = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 40)) % words)) for i in range(n)]
+    singles, pairs = Counter(), Counter()
+    for i, t in texts:
+        if not LM.is_held_out(i):
+            tokens = [*t.split(), None]
+            singles.update(tokens)
+            pairs.update(zip(["<", *tokens], tokens))
+    total = sum(singles.values())
+    got = {r.doc_id: r for r in LM.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), max_bytes=most, bits_per_gram=64, hashes=6).collect()}
+    assert all(got[i].train_tokens == total for i, _ in texts)
+    off = [abs(got[i].score - plain_score(t, pairs, singles, total, len(singles))) for i, t in texts]
+    assert max(off) < 1e-6
+
+
+def test_hashes_widen_with_the_tokens():
+    assert [LM.width_for(n) for n in (0, 10**6, 10**9, 10**12, 10**20)] == [40, 40, 43, 53, 64]
+    for width in (40, 53, 64):
+        values = np.unique(LM._cut(np.random.default_rng(1).integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2), width))
+        times = np.arange(len(values))
+        again = LM.unpacked(LM.packed(values, times, width))
+        assert (again[0] == values).all() and (again[1] == times).all()
+
+
 def texts_of(spark, pages):
     return [r.text for r in HX.extract(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")).orderBy("page_id").collect()]
 
