@@ -84,8 +84,38 @@ def test_all_tokens_are_packed(stages):
     assert max(fill.values()) <= 2048
 
 
+CLASHING = ("row_key", "score", "predicted", "label", "quality", "n_hit", "contaminated", "shard", "cluster", "id", "component_id", "spans", "piece", "pid", "start", "h")
+
+
+def odd_documents(spark):
+    rows = [(1, None), (None, "A text without an id, of several words."), (2, ""), (3, "one two three four five six seven. " * 3000), (4, "The same row comes twice here, as it is."), (4, "The same row comes twice here, as it is."), (5, "Write to ann@example.com now or never, please do."), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", *[f"'x' AS {c}" for c in CLASHING])
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_odd_and_empty_tables(spark, sf, name, stage):
+    docs = odd_documents(spark)
+    rows = stage(spark, docs, sf).collect()
+    empty = stage(spark, docs.where("false"), sf)
+    assert empty.count() == 0
+    if name == "pack":
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, None} and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        return
+    assert empty.columns == docs.columns and all(r[c] == "x" for r in rows for c in CLASHING)
+    ids = sorted(str(r.doc_id) for r in rows)
+    if name == "near_copies":
+        assert ids == ["1", "2", "3", "4", "5", "None", "None"]  # one row of an id; rows without one stay
+    elif name == "personal_data":
+        assert ids == ["1", "2", "3", "4", "4", "5", "None", "None"] and not any("ann@" in (r.text or "") for r in rows)
+    elif name == "decontaminate":
+        assert ids == ["1", "2", "3", "4", "4", "5", "None", "None"]
+    else:
+        assert set(ids) <= {"1", "2", "3", "4", "5", "None"}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
+    assert {int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
