@@ -4,6 +4,11 @@ The classifier drops low quality, the n-gram Jaccard join leaves one document of
 copies (five words, 0.8), decontamination drops documents that hold a benchmark passage, personal
 data is replaced by its kind, and the rest is packed into sequences. A stage gets the documents
 that its predecessor kept and returns them with all their columns; the last returns pieces.
+
+Nulls, ties and repeats: null and empty texts have no words, so only the classifier can drop them, and the
+last stage packs their closing id; rows with a null id are judged as others are, and are no one's
+copies; of rows that share an id one stays after the near copies; rows that repeat are judged alike;
+an empty table stays empty; further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
