@@ -165,7 +165,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-store-")
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
