@@ -59,7 +59,7 @@ class Stems(dict):
     are one word of the model; everything else goes through the whole tokenizer.
     """
 
-    limit = 1_000_000
+    limit = 200_000
     word = re.compile(f"{_LETTERS}|{_MARKS}")
 
     def __init__(self, path: str):
@@ -95,7 +95,7 @@ class Chunks(dict):
     cuts there too: fewer different pieces, each encoded once.
     """
 
-    limit = 500_000
+    limit = 200_000
     parts = re.compile(f"({_LETTERS})({_MARKS})")
 
     def __init__(self, path: str):
@@ -146,7 +146,7 @@ def token_ids(texts: pa.StringArray, path: str) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts take about ``most_bytes``, one at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // most_bytes
