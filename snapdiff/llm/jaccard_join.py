@@ -8,7 +8,8 @@
 3. Sets with Jaccard >= t share an n-gram among the first ``n - ceil(t n) + 1`` of each, and are of
    like size. The sets of such an n-gram and size class are tied to the smallest of them (a star,
    not all pairs), or, where they are few, in pairs whose shared n-grams and remaining lengths can
-   reach the threshold. Connected components are *candidate clusters*: two linked sets are always
+   reach the threshold, and whose sketches (counts of n-grams by hash bucket, an upper bound of the
+   overlap) can too. Connected components are *candidate clusters*: two linked sets are always
    in one.
 4. Inside a cluster the sets are stored in a prefix tree under one order (shared n-grams first),
    and every set walks it: overlaps of a path are counted once for all sets below, and a subtree
@@ -74,8 +75,24 @@ def _levels(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def _sketch(s: np.ndarray) -> bytes | None:
+    """How many n-grams of a set fall in each of n/8 to n/4 hash buckets; None if a count passes a byte."""
+    buckets = 1 << max(3, (len(s) // 8).bit_length())
+    counts = np.bincount(((s >> np.uint64(24)) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _most_shared(a: bytes | None, b: bytes | None) -> int | None:
+    """The most n-grams that the sets of two sketches can share; None if one has no sketch."""
+    if a is None or b is None:
+        return None
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    few = min(len(x), len(y))  # bucket numbers are low bits: the larger sketch folds onto the smaller
+    return int(np.minimum(x.reshape(-1, few).sum(0), y.reshape(-1, few).sum(0)).sum())
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: id, n, digest of the set, its prefix under the global order, and the place of the prefix's end in it."""
+    """Per row: id, n, digest of the set, its prefix under the global order, the place of the prefix's end in it, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +111,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
             lengths = np.array([len(x) for x in sets], np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             values = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(lasts, pa.int64())], ["id", "n", "digest", "prefix", "last"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(lasts, pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())], ["id", "n", "digest", "prefix", "last", "sketch"])
 
-    return docs.mapInArrow(make, "id long, n long, digest binary, prefix array<long>, last long")
+    return docs.mapInArrow(make, "id long, n long, digest binary, prefix array<long>, last long, sketch binary")
 
 
 def _shared_grams(first: DataFrame, classes: DataFrame, per_range: int = 1_000_000) -> DataFrame:
@@ -121,12 +138,29 @@ def _shared_grams(first: DataFrame, classes: DataFrame, per_range: int = 1_000_0
     return first.select("prefix").mapInArrow(split, "part int, grams binary").groupBy("part").applyInPandas(twice, "gram long")
 
 
-def _candidates(common: DataFrame, percent: int, few: int = 16) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs (u, v, total)``, total being both sizes, those (u, v) whose sketches allow the threshold."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, a, b = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            most = [_most_shared(x, y) for x, y in zip(a, b, strict=True)]
+            keep = [m is None or (100 + percent) * m >= percent * t for m, t in zip(most, totals, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c, name: sketches.select(F.col("id").alias(c), F.col("sketch").alias(name))
+    both = pairs.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left")
+    return both.select("u", "v", "total", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def _candidates(common: DataFrame, sketches: DataFrame, percent: int, few: int = 16) -> DataFrame:
     """Edges (u, v) whose components hold all links.
 
     An n-gram of many sets (over ``few`` of a size class) ties them to the smallest, a star. One of
     few sets gives its pairs; a pair is an edge only if the n-grams it shares can be enough: all
-    others that the sets may share come after the end of the prefix that ends first.
+    others that the sets may share come after the end of the prefix that ends first, and the
+    sketches (``id, sketch``) bound the whole overlap. Star edges stay unchecked: they stand for
+    pairs of their n-gram that are not listed.
     """
     counts = common.groupBy("gram", "size").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1")
     held = stored(common.join(counts, ["gram", "size"]), "held")
@@ -143,7 +177,8 @@ def _candidates(common: DataFrame, percent: int, few: int = 16) -> DataFrame:
     after = lambda z: F.floor(F.lit(percent) * F.col(f"{z}.n") / 100.0 - 1e-9)  # noqa: E731  n-grams behind the prefix
     rest = F.when(F.col("x.last") < F.col("y.last"), after("x")).when(F.col("x.last") > F.col("y.last"), after("y")).otherwise(F.greatest(after("x"), after("y")))
     enough = (100 + percent) * (F.col("c") + F.least("x.g", "y.g") + rest) >= percent * (F.col("x.n") + F.col("y.n"))
-    return star.unionByName(sums.where(enough).select(F.col("y.id").alias("u"), F.col("x.id").alias("v"))).distinct()
+    likely = sums.where(enough).select(F.col("y.id").alias("u"), F.col("x.id").alias("v"), (F.col("x.n") + F.col("y.n")).alias("total"))
+    return star.unionByName(_alike(likely, sketches, percent)).distinct()
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -323,7 +358,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     shared = stored(_shared_grams(first, classes), "shared")
     met = grams.join(F.broadcast(shared) if shared.count() <= 4 * BROADCAST_ROWS else shared, "gram")
     common = stored(met.select("id", "n", "last", "own", "gram", F.explode(F.array("own", F.col("own") + 1)).alias("size")), "grams")
-    stars = _candidates(common, percent)
+    stars = _candidates(common, first.select("id", "sketch"), percent)
     near = components(stars)
 
     sized = near.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node")

@@ -118,6 +118,19 @@ def test_jaccard_components_equal_brute_force(spark, near_copies, n, percent, bl
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(near_copies, n, percent)
 
 
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n in [1, 7, 8, 63, 64, 500, 5000]:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for kept, more in [(n, 0), (n, n), (n - n // 10, n // 8), (0, 2 * n)]:
+            b = np.unique(np.concatenate([a[:kept], rng.integers(0, 2**64, more, np.uint64)]))
+            most = J._most_shared(J._sketch(a), J._sketch(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    crowd = np.arange(300, dtype=np.uint64)  # one bucket holds all, past a byte
+    assert J._sketch(crowd) is None and J._most_shared(None, J._sketch(crowd[:9])) is None
+    assert J._sketch(np.empty(0, np.uint64)) == bytes(8)
+
+
 def test_jaccard_edges(spark):
     same = "a b c d e f"
     got = sorted(((r.doc_id, r.component_id) for r in J.jaccard_components(docs(spark, [(5, same), (5, "x y z u v w"), (7, "x y z u v w"), (9, same), (None, same)]), order_buckets=1 << 12).collect()), key=str)
