@@ -389,11 +389,11 @@ def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80, id_col
     Of rows that share the id that stays, the one whose columns have the least hash is left.
     """
     found = jaccard_components(documents, n, percent, id_col, text_col)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
-    kept = stored(kept, "kept")
-    own = F.col(id_col).cast("long") == F.col("__kept_id")
-    out = documents.join(kept.where("__rows = 1"), own, "left_semi").unionByName(documents.where(F.col(id_col).isNull()))
-    several = kept.where("__rows > 1")
+    sums = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.min(F.expr("doc_id = component_id")).alias("__kept"))
+    away = stored(sums.where("NOT __kept OR __rows > 1"), "away")  # ids that go, and ids of which one row of several stays
+    own = F.col(id_col).cast("long") == F.col("__id")
+    out = documents.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, own, "left_anti")  # else the texts are shuffled
+    several = away.where("__kept")
     if several.limit(1).count():
         row = F.struct(*[F.col(c) for c in documents.columns])
         least = documents.join(several, own, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("__row"))
