@@ -285,6 +285,11 @@ def text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def part_pages(s, d, body: Column) -> DataFrame:
+    """The parsed page of each part, on a host named by its key."""
+    return H.html_tables(single(L.spread(A.table(s, d, "part"), "p_partkey"), text("p_partkey"), body))
+
+
 @query("html_table_ingest", f"SELECT {host_sql('o_orderkey')}, CAST(o_orderkey AS VARCHAR) AS path, o_orderpriority AS used, o_orderstatus AS total FROM orders")
 def html_table_ingest(s, d):
     p = page_of(s, d, "orders", "o_orderkey", {"a": text("o_orderkey"), "b": F.col("o_orderpriority"), "c": F.col("o_orderstatus")}, "drives")
@@ -366,9 +371,8 @@ def table_pages(s, d):
 
 @query("table_detail", "SELECT CAST(p_partkey AS VARCHAR) AS table_id, p_brand AS keyspace, 'Version' AS key, CAST(p_size AS VARCHAR) AS value FROM part")
 def table_detail(s, d):
-    part = A.table(s, d, "part")
     body = F.concat(F.lit("<table><tr><td>Version</td><td>"), text("p_size"), F.lit("</td></tr></table><table><tr><th>Column</th><th>ID</th><th>Type</th></tr><tr><td>k</td><td>0</td><td>int</td></tr></table>"))
-    detail = P.keyed_values(H.html_tables(single(part, text("p_partkey"), body))).withColumnRenamed("hostname_port", "table_id").drop("snapshot_id", "captured_at")
+    detail = P.keyed_values(part_pages(s, d, body)).withColumnRenamed("hostname_port", "table_id").drop("snapshot_id", "captured_at")
     return P.page_with_detail(list_page(s, d), detail, "table_id").select("table_id", "keyspace", "key", "value")
 
 
@@ -380,7 +384,7 @@ def tablet_pages(s, d):
 
 def tablet_detail_pages(s, d) -> DataFrame:
     one = lambda k: F.concat(F.lit("<h3>Options</h3><pre>o</pre><h3>Files</h3><pre>"), text("p_partkey"), F.lit(f".sst {k} "), text("p_size"), F.lit("\n</pre>"))
-    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), F.concat(F.lit("<h2>Tablet</h2><table><tr><th>Column</th><th>ID</th><th>Type</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>0</td><td>int</td></tr></table>"), one(10), one(20))))
+    return part_pages(s, d, F.concat(F.lit("<h2>Tablet</h2><table><tr><th>Column</th><th>ID</th><th>Type</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>0</td><td>int</td></tr></table>"), one(10), one(20)))
 
 
 @query("tablet_detail", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, p_brand AS \"column\", 2 AS options FROM part")
@@ -405,7 +409,7 @@ def raft_body() -> Column:
 
 
 def raft_pages(s, d) -> DataFrame:
-    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), raft_body()))
+    return part_pages(s, d, raft_body())
 
 
 @query("tablet_consensus", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, i.item, CASE i.item WHEN 'state' THEN 'term ' || p_partkey ELSE 'ops ' || p_size END AS text FROM part, (VALUES ('state'), ('queue_overview')) i(item)")
@@ -426,7 +430,7 @@ def tablet_messages(s, d):
 @query("tablet_log_anchors", "SELECT CAST(p_partkey AS VARCHAR) AS tablet_id, l.line, CASE l.line WHEN 0 THEN 'anchor ' || p_partkey ELSE p_brand END AS text FROM part, (VALUES (0), (1)) l(line)")
 def tablet_log_anchors(s, d):
     body = F.concat(F.lit("<div><pre>anchor "), text("p_partkey"), F.lit("\n"), F.col("p_brand"), F.lit("\n</pre></div>"))
-    return P.pre_lines(H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), body))).select(F.col("hostname_port").alias("tablet_id"), "line", "text")
+    return P.pre_lines(part_pages(s, d, body)).select(F.col("hostname_port").alias("tablet_id"), "line", "text")
 
 
 def table_body() -> Column:
@@ -437,7 +441,7 @@ def table_body() -> Column:
 
 
 def table_parts(s, d) -> DataFrame:
-    return H.html_tables(single(A.table(s, d, "part"), text("p_partkey"), table_body()))
+    return part_pages(s, d, table_body())
 
 
 @query("table_tablets", "SELECT CAST(p_partkey AS VARCHAR) AS table_id, 'x' AS tablet_id, CAST(p_size AS VARCHAR) AS split_depth, 'LEADER: a' AS raft_config FROM part")

@@ -10,6 +10,7 @@ from ..plans import reports as R
 from ..sources import html_pages as H
 from ..sources import json_pages as J
 from ..sources import page_specs as P
+from ..sources import payloads as L
 from ..sources import rows as Q
 from ..sources import table_function as T
 from ..sources import text_pages as X
@@ -25,7 +26,7 @@ def named(detail):
 
 def parts(s, d, body, key: str = "p_partkey") -> DataFrame:
     """A page for each part, which names it."""
-    rows = A.table(s, d, "part")
+    rows = L.spread(A.table(s, d, "part"), "p_partkey")
     return H.html_tables(rows.select(F.lit(0).alias("snapshot_id"), F.lit("h:7000").alias("hostname_port"), I.text(key).alias("object_id"), I.at().alias("captured_at"), body.alias("body")))
 
 

@@ -42,6 +42,12 @@ def stamp_of(payloads: DataFrame) -> list[str]:
     return [c for c in ("cluster_id", *STAMP) if c in payloads.columns]
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by ``key`` to tasks for all cores: rows of a few bytes lie in few splits of a file, however costly the pages made of them are."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def parsed(payloads: DataFrame, schema: str) -> DataFrame:
     """Adds ``doc``: the body under the schema, null where it is no such JSON."""
     return payloads.withColumn("doc", F.from_json("body", schema, {"mode": "PERMISSIVE"}))
