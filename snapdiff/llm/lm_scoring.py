@@ -60,6 +60,13 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
             yield some.column(0).to_pylist(), [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one: those of blocks are megabytes each, of which one is copied at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _pressed(x: bytes) -> bytes:
     return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
 
@@ -85,7 +92,7 @@ def _documents(blob: bytes) -> tuple[list[int | None], list[int], np.ndarray, np
     return ids, keys, np.array(held), np.array(lengths), _array(tokens, np.uint32)
 
 
-def tokenised_blocks(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
+def tokenised_blocks(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame:
     """A row per block: its distinct words, their training counts, and its documents as word numbers.
 
     The end token is the empty word, number 0.
@@ -126,12 +133,11 @@ def block_words(blocks: DataFrame, rows: int = 100_000) -> DataFrame:
     """(block, idx, word, cnt): the words of each block."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words, times = _raw(blob).split(b" "), _array(counts, np.int64)
-                for at in range(0, len(words), rows):
-                    some = words[at : at + rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(times[at : at + rows])], ["block", "idx", "word", "cnt"])
+        for block, blob, counts in _rows(batches):
+            words, times = _raw(blob).split(b" "), _array(counts, np.int64)
+            for at in range(0, len(words), rows):
+                some = words[at : at + rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(times[at : at + rows])], ["block", "idx", "word", "cnt"])
 
     return blocks.select("block", "words", "counts").mapInArrow(make, "block long, idx int, word binary, cnt long")
 
@@ -359,13 +365,12 @@ def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges
     step = (1 << width) // ranges
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                _, _, _, lengths, tokens = _documents(blob)
-                values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width))
-                parts, begins = np.unique((values // np.uint64(step)).astype(np.int32), return_index=True)
-                blobs = [packed(v, np.zeros(len(v), np.int64), width) for v in np.split(values, begins[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(blobs, pa.binary())], ["block", "part", "grams"])
+        for block, words, blob in _rows(batches):
+            _, _, _, lengths, tokens = _documents(blob)
+            values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width))
+            parts, begins = np.unique((values // np.uint64(step)).astype(np.int32), return_index=True)
+            blobs = [packed(v, np.zeros(len(v), np.int64), width) for v in np.split(values, begins[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(blobs, pa.binary())], ["block", "part", "grams"])
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
         own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes, width)
@@ -391,6 +396,14 @@ def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges
     return both.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(score, f"{_BASE}, score double")
 
 
+def base_columns(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``score_documents`` gives but for the model's score, without making the model."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = stored(tokenised_blocks(docs), "tokens")
+    known, total, distinct = known_words(blocks)
+    return base_scores(known, blocks, total, distinct).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score")
+
+
 def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26, hashes: int = 3, **options) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -338,3 +338,21 @@ def test_queries_run_whole_tables(spark, sf, name):
     f = next(f for k, f in queries.QUERIES.items() if k.startswith(name + "_"))
     ids = {r[0] for r in f(spark, sf).select(key).collect()}
     assert {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()} <= ids
+
+
+def test_base_scores_need_no_model(spark, sf, monkeypatch):
+    from snapdiff.llm import queries
+
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    rows = lambda df: sorted((str(r.doc_id), *r[1:5], round(r.base_score, 4)) for r in df.select(*columns, "base_score").collect())
+    want = rows(LM.score_documents(spark.read.parquet(f"{sf}/documents.parquet")))
+    monkeypatch.setattr(LM, "filter_segments", None)
+    assert rows(queries.lm_base_scores(spark, sf)) == want and len(want) > 0
+
+
+def test_blocks_are_read_one_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"x", None], pa.binary())], ["block", "words"])
+    rows = LM._rows(iter([batch, batch.slice(1)]))
+    assert next(rows) == (1, b"x") and list(rows) == [(2, None), (2, None)]
