@@ -1,23 +1,24 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-*Training* counts words and word pairs of the training rows. Pair counts travel as sorted
-hashes in one packed row per task and hash range, and each range becomes one segment of
+Texts are kept in blocks of bounded size, as numbers of the block's distinct words in order, and all
+that is counted is sent once: a block's distinct words, and its distinct words and word pairs as sorted
+hashes, go in one packed row per hash range to the task of that range, and what is known of them comes back in the same
+order. No row is made of a single word and no text is shuffled, so a frequent word is no hot key.
+
+*Training* counts words and word pairs of the training rows, and each hash range becomes one segment of
 a Bloom filter: an n-gram with count c is stored under the levels 1 .. 1 + floor(log2 c). A
 segment has ``bits_per_gram`` bits for each n-gram and level that was counted in its range, and hashes are as wide as the
 tokens are many (at most one probe in 4,096 meets another n-gram's hash, up to 64 bits), so
-the error rate is the same at any size. Up to ``max_bytes`` in all, the segments are broadcast;
-past that bound each block's distinct n-grams are sent to their segments, and the levels found
-come back to the block, so no task holds more than a segment.
+the error rate is the same at any size. If the whole filter has at most ``max_bytes`` it is
+broadcast; else the task that makes a segment also looks up there the n-grams of the blocks that
+it was made from, so no task holds more than a segment, and n-grams are sent no second time.
 
 *Scoring* probes the levels of a pair and of its words one after the other until one is absent,
 which gives their counts up to the quantisation, and mixes the pair's relative frequency with
 the add-one word frequency.
 
-The *base score* is exact: texts are kept in blocks of bounded size, as numbers of the block's
-distinct words in order; words are summed over all blocks, joined back to the blocks (one row per
-block and word, so a frequent word is no hot key), and each block's documents are summed from its
-words. No vocabulary is ever broadcast or collected. Blocks also stand for the texts where n-grams
-are sent: a word is hashed once a block, and no text is shuffled.
+The *base score* is exact: words, not hashes, are summed over all blocks, their counts come back to the
+blocks, and each block's documents are summed from its words. No vocabulary is ever broadcast or collected.
 
 Nulls, ties and repeats: a null or empty text is the end token alone; a row with a null id is a
 training row; rows that repeat are scored each and counted each; no rows, no result; with no
@@ -29,12 +30,11 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +42,13 @@ from .shingles import mixed, ngrams, word_hashes
 from .storage import stored
 
 END, START = np.uint64(0xE4D), np.uint64(0x57A27)  # hashes of the end token and of the place before a text
-_BLOCK = "block long, words binary, counts binary, documents binary"
+_BLOCK = "block long, n_words long, words binary, counts binary, documents binary"
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-def _key(raw: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
-
-
 def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -86,10 +82,10 @@ def _array(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_raw(blob), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _documents(blob: bytes) -> tuple[list[int | None], list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, row keys, which are held out, lengths in tokens, and the tokens of a block's documents, end to end."""
-    ids, keys, held, lengths, tokens = pickle.loads(blob)
-    return ids, keys, np.array(held), np.array(lengths), _array(tokens, np.uint32)
+def _documents(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, which are held out, lengths in tokens, and the tokens of a block's documents, end to end."""
+    ids, held, lengths, tokens = pickle.loads(blob)
+    return ids, np.array(held), np.array(lengths), _array(tokens, np.uint32)
 
 
 def tokenised_blocks(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame:
@@ -106,18 +102,18 @@ def tokenised_blocks(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame
         docs_, tokens, size = [], [], 0
 
         def out() -> pa.RecordBatch:
-            ids, keys, held, lengths = (list(x) for x in zip(*docs_, strict=True))
+            ids, held, lengths = (list(x) for x in zip(*docs_, strict=True))
             every = np.concatenate(tokens)
             times = np.bincount(every[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int64)
-            row = ((part << 24) + count, _pressed(b" ".join(number)), _planes(times), pickle.dumps((ids, keys, held, lengths, _planes(every))))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 3), strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
+            row = ((part << 24) + count, len(number), _pressed(b" ".join(number)), _planes(times), pickle.dumps((ids, held, lengths, _planes(every))))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (*[pa.int64()] * 2, *[pa.binary()] * 3), strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
 
         for ids, raws in _texts(batches):
             for doc, raw in zip(ids, raws, strict=True):
                 found = raw.lower().split()
                 found.append(b"")
                 tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.uint32, len(found)))
-                docs_.append((doc, _key(raw), is_held_out(doc), len(found)))
+                docs_.append((doc, is_held_out(doc), len(found)))
                 size += len(raw)
                 if size >= block_bytes:
                     yield out()
@@ -129,50 +125,83 @@ def tokenised_blocks(docs: DataFrame, block_bytes: int = 8_000_000) -> DataFrame
     return docs.mapInArrow(make, _BLOCK)
 
 
-def block_words(blocks: DataFrame, rows: int = 100_000) -> DataFrame:
-    """(block, idx, word, cnt): the words of each block."""
+def _hashes(words: bytes) -> np.ndarray:
+    """Hashes of a block's words, of which the empty one is first; some at a time, to hold little."""
+    own, at = [np.array([END])], 0
+    while at < len(words):
+        end = words.find(b" ", at + (1 << 20))
+        end = len(words) if end < 0 else end
+        own.append(word_hashes(words[at:end]))
+        at = end
+    return np.concatenate(own)
+
+
+def _ranges_for(n: int, most: int, least: int = 64) -> int:
+    """A power of two of hash ranges with at most ``most`` of ``n`` in each."""
+    return min(max(least, 1 << max(0, -(-n // most) - 1).bit_length()), 1 << 20)
+
+
+def _dealt(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a block's words by hash range, which ranges have some, and where each begins."""
+    part = (hashes >> np.uint64(65 - ranges.bit_length())).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return order, *np.unique(part[order], return_index=True)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, blob, counts in _rows(batches):
-            words, times = _raw(blob).split(b" "), _array(counts, np.int64)
-            for at in range(0, len(words), rows):
-                some = words[at : at + rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(times[at : at + rows])], ["block", "idx", "word", "cnt"])
 
-    return blocks.select("block", "words", "counts").mapInArrow(make, "block long, idx int, word binary, cnt long")
+def _sent(block: int, parts: np.ndarray, **columns: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), *(pa.array(x, pa.binary()) for x in columns.values())], ["block", "part", *columns])
 
 
-def known_words(blocks: DataFrame) -> tuple[DataFrame, int, int]:
-    """(block, idx, c): the training count of each block's words over all blocks; and N and V."""
-    words = block_words(blocks)
-    counts = stored(words.where("cnt > 0").groupBy("word").agg(F.sum("cnt").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = words.select("block", "idx", "word").join(counts, "word", "left").select("block", "idx", F.coalesce("c", F.lit(0)).alias("c"))
-    return known, int(total), int(distinct)
+def known_words(blocks: DataFrame, words_per_range: int = 1_000_000) -> tuple[DataFrame, int, int, int]:
+    """(block, part, counts): over all blocks, the training counts of the words that a block has in a hash range; N and V; the number of ranges."""
+    ranges = _ranges_for(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0], words_per_range)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, blob, counts in _rows(batches):
+            raw, times = _raw(blob), _array(counts, np.int64)
+            order, parts, begins = _dealt(_hashes(raw), ranges)
+            words, ends = raw.split(b" "), [*begins[1:], len(order)]
+            own = [order[a:b] for a, b in zip(begins, ends, strict=True)]
+            yield _sent(block, parts, words=[_pressed(b" ".join([words[i] for i in some])) for some in own], counts=[_planes(times[some]) for some in own])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        words = [_raw(b).split(b" ") for b in asked["words"].to_pylist()]
+        place = pa.array(chain.from_iterable(words), pa.binary()).dictionary_encode().indices.to_numpy()
+        times = np.concatenate([_array(b, np.int64) for b in asked["counts"].to_pylist()])
+        c = np.bincount(place, weights=times).astype(np.int64)
+        found = [_planes(x) for x in np.split(c[place], np.cumsum([len(x) for x in words])[:-1])]
+        sums = ([int(x), *[0] * (len(words) - 1)] for x in (c.sum(), np.count_nonzero(c)))
+        return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary()), *(pa.array(x, pa.int64()) for x in sums)], ["block", "part", "counts", "n", "v"])
+
+    asked = blocks.select("block", "words", "counts").mapInArrow(ask, "block long, part int, words binary, counts binary")
+    known = stored(asked.groupBy("part").applyInArrow(answer, "block long, part int, counts binary, n long, v long"), "counts")
+    total, distinct = known.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v"))).first()
+    return known.select("block", "part", "counts"), int(total), int(distinct), ranges
 
-_BASE = "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
 
+_BASE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
 
-def _base(idx: np.ndarray, counts: np.ndarray, blob: bytes, total: int, distinct: int) -> pa.Table:
+
+def _base(counts: pa.Table, words: bytes, blob: bytes, ranges: int, total: int, distinct: int) -> pa.Table:
     """The rows of a block's documents from its words' counts."""
-    ids, keys, held, lengths, tokens = _documents(blob)
-    c = np.zeros(len(idx), np.int64)
-    c[idx] = counts
+    ids, held, lengths, tokens = _documents(blob)
+    order, _, _ = _dealt(_hashes(words), ranges)
+    c = np.empty(len(order), np.int64)
+    c[order] = np.concatenate([_array(b, np.int64) for b in counts.sort_by("part")["counts"].to_pylist()])
     logs = np.log10((c + 1) / (total + 1 * (distinct + 1)))
     starts = np.cumsum(lengths) - lengths
     seen, base = (np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(np.int64), logs))
-    return pa.table([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(held), pa.array(lengths), pa.array(seen), pa.array(base)], [f.split()[0] for f in _BASE.split(", ")])
+    return pa.table([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(seen), pa.array(base)], [f.split()[0] for f in _BASE.split(", ")])
 
 
-def base_scores(known: DataFrame, blocks: DataFrame, total: int, distinct: int) -> DataFrame:
+def base_scores(known: DataFrame, blocks: DataFrame, ranges: int, total: int, distinct: int) -> DataFrame:
     """Per document row the exact base score."""
 
-    def score(words: pa.Table, block: pa.Table) -> pa.Table:
-        return _base(words["idx"].to_numpy(), words["c"].to_numpy(), block["documents"][0].as_py(), total, distinct)
+    def score(counts: pa.Table, block: pa.Table) -> pa.Table:
+        return _base(counts, _raw(block["words"][0].as_py()), block["documents"][0].as_py(), ranges, total, distinct)
 
-    docs = blocks.select(F.col("block").alias("own"), "documents")
-    return known.groupBy("block").cogroup(docs.groupBy("own")).applyInArrow(score, _BASE)
+    own = blocks.select(F.col("block").alias("own"), "words", "documents")
+    return known.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(score, _BASE)
 
 
 def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +212,7 @@ def grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def block_grams(words: bytes, lengths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What ``grams`` gives for each of a block's texts, end to end."""
-    own, at = [np.array([END])], 0
-    while at < len(words):  # the empty word is first; some at a time, to hold little
-        end = words.find(b" ", at + (1 << 20))
-        end = len(words) if end < 0 else end
-        own.append(word_hashes(words[at:end]))
-        at = end
-    h = np.concatenate(own)[tokens]
+    h = _hashes(words)[tokens]
     place = np.arange(len(h)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)
     marked = np.full(len(h) + len(lengths), START)
     marked[place] = h
@@ -206,36 +229,18 @@ def _cut(h: np.ndarray, width: int) -> np.ndarray:
     return h >> np.uint64(64 - width)
 
 
-def counted_ranges(docs: DataFrame, ranges: int, width: int, flush: int = 6_000_000) -> DataFrame:
-    """(part, grams): sorted hashes of ``width`` bits with counts, packed, for each task and hash range."""
+def sent_grams(blocks: DataFrame, ranges: int, width: int) -> DataFrame:
+    """(block, part, grams): sorted hashes of ``width`` bits with training counts, packed, for each block and hash range."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, (np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << width) // ranges)))
-            parts, blobs = [], []
-            for p, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts), strict=True)):
-                if len(v):
-                    parts.append(p)
-                    blobs.append(packed(v, t, width))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "grams"])
-
-        for ids, raws in _texts(batches):
-            for doc, raw in zip(ids, raws, strict=True):
-                if not is_held_out(doc):
-                    one, two = grams(raw)
-                    held += [_cut(one, width), _cut(two, width)]
-                    size += 2 * len(one)
-            if size >= flush:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+        for block, words, blob in _rows(batches):
+            _, held, lengths, tokens = _documents(blob)
+            values, inverse = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width), return_inverse=True)
+            times = np.bincount(inverse, weights=np.tile(np.repeat(~held, lengths), 2)).astype(np.int64)
+            parts, begins = np.unique((values // np.uint64((1 << width) // ranges)).astype(np.int32), return_index=True)
+            yield _sent(block, parts, grams=[packed(v, t, width) for v, t in zip(np.split(values, begins[1:]), np.split(times, begins[1:]), strict=True)])
 
-    return docs.mapInArrow(make, "part int, grams binary")
+    return blocks.select("block", "words", "documents").mapInArrow(make, "block long, part int, grams binary")
 
 
 def packed(values: np.ndarray, times: np.ndarray, width: int = 64) -> bytes:
@@ -304,30 +309,57 @@ def filter_of(segments: Iterable[tuple[int, bytes]], ranges: int, hashes: int, w
     return Filter(np.frombuffer(b"".join([*(segment for _, segment in own), b"\0"]), np.uint8), ranges, starts, bits, hashes, width)
 
 
-def filter_segments(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> tuple[DataFrame, int, int]:
-    """(part, segment) of the filter over all training rows, the number of ranges and the bits of a hash, from ``n_tokens``."""
-    ranges, width = 64, width_for(n_tokens)
-    while 2 * n_tokens > ranges * grams_per_range and ranges < 1 << 20:
-        ranges *= 2
+def segment_of(values: np.ndarray, times: np.ndarray, bits_per_gram: int, hashes: int) -> bytes:
+    """The segment of the filter that holds these distinct hashes with these counts."""
+    level = 1 + np.floor(np.log2(times)).astype(np.int64)
+    bits = 8 * max(128, -(-int(level.sum()) * bits_per_gram // 8))
+    on = np.zeros(bits, bool)
+    for j in range(1, int(level.max()) + 1):
+        for spot in _spots(values[level >= j], j, hashes, bits):
+            on[spot.astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The distinct hashes of a range and their counts over all blocks, the place there of every hash that was sent, and how many each block sent."""
+    pairs = [unpacked(b) for b in blobs]
+    values, inverse = np.unique(np.concatenate([v for v, _ in pairs]), return_inverse=True)
+    return values, np.bincount(inverse, weights=np.concatenate([t for _, t in pairs])), inverse, [len(v) for v, _ in pairs]
+
+
+def filter_segments(grams: DataFrame, bits_per_gram: int, hashes: int) -> DataFrame:
+    """(part, segment) of the filter over all training rows."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = [unpacked(b) for b in pdf["grams"]]
-        values, inverse = np.unique(np.concatenate([v for v, _ in pairs]), return_inverse=True)
-        level = 1 + np.floor(np.log2(np.bincount(inverse, weights=np.concatenate([t for _, t in pairs])))).astype(np.int64)
-        bits = 8 * max(128, -(-int(level.sum()) * bits_per_gram // 8))
-        on = np.zeros(bits, bool)
-        for j in range(1, int(level.max()) + 1):
-            for spot in _spots(values[level >= j], j, hashes, bits):
-                on[spot.astype(np.int64)] = True
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "segment": [np.packbits(on, bitorder="little").tobytes()]})
+        values, times, _, _ = _merged(list(pdf["grams"]))
+        own = times > 0
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "segment": [segment_of(values[own], times[own], bits_per_gram, hashes)]} if own.any() else {"part": [], "segment": []})
+
+    return grams.groupBy("part").applyInPandas(build, "part int, segment binary")
+
+
+def found_levels(grams: DataFrame, ranges: int, width: int, bits_per_gram: int, hashes: int) -> DataFrame:
+    """(block, part, levels): each range's segment is made, and the hashes that blocks sent are looked up in it."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        values, times, inverse, sent = _merged(asked["grams"].to_pylist())
+        own = times > 0
+        segments = [(asked["part"][0].as_py(), segment_of(values[own], times[own], bits_per_gram, hashes))] if own.any() else []
+        levels = filter_of(segments, ranges, hashes, width).levels(values)[inverse]
+        found = [_pressed(x.tobytes()) for x in np.split(levels, np.cumsum(sent)[:-1])]
+        return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
+
+    return grams.groupBy("part").applyInArrow(answer, "block long, part int, levels binary")
 
-    return stored(counted_ranges(docs, ranges, width).groupBy("part").applyInPandas(build, "part int, segment binary"), "filter"), ranges, width
 
+def _filter(blocks: DataFrame, ranges: int, width: int, bits_per_gram: int, hashes: int) -> Filter:
+    segments = filter_segments(sent_grams(blocks, ranges, width), bits_per_gram, hashes)
+    return filter_of(((r.part, r.segment) for r in segments.collect()), ranges, hashes, width)
 
-def build_filter(docs: DataFrame, n_tokens: int, hashes: int = 3, **options) -> Filter:
+
+def build_filter(docs: DataFrame, n_tokens: int, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> Filter:
     """The whole filter, on the driver."""
-    segments, ranges, width = filter_segments(docs, n_tokens, hashes=hashes, **options)
-    return filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes, width)
+    return _filter(tokenised_blocks(docs), _ranges_for(2 * n_tokens, grams_per_range), width_for(n_tokens), bits_per_gram, hashes)
 
 
 def _mix(single: np.ndarray, both: np.ndarray, lengths: np.ndarray, total: int, distinct: int, weight: float) -> np.ndarray:
@@ -339,81 +371,46 @@ def _mix(single: np.ndarray, both: np.ndarray, lengths: np.ndarray, total: int,
     return np.add.reduceat(np.log10(p), starts)
 
 
-def _scored(ids: list, raws: list[bytes], score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_key(r) for r in raws], pa.int64()), pa.array(score)], ["doc_id", "row_key", "score"])
-
-
-def model_scores(docs: DataFrame, model: Filter, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
-    """(doc_id, row_key, score): the log10 probability of each text, its end included."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.starts, model.bits, model.hashes, model.width))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(*shared.value)
-        for ids, raws in _texts(batches):
-            pairs = [grams(raw) for raw in raws]
-            lengths = np.array([len(one) for one, _ in pairs])
-            one, inverse = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
-            single = own.counts(_cut(one, own.width))[inverse]
-            both = own.counts(_cut(np.concatenate([x for _, x in pairs]), own.width))
-            yield _scored(ids, raws, _mix(single, both, lengths, total, distinct, weight))
-
-    return docs.mapInArrow(make, "doc_id long, row_key long, score double")
-
-
-def sent_scores(known: DataFrame, blocks: DataFrame, segments: DataFrame, ranges: int, width: int, hashes: int, total: int, distinct: int, weight: float = 0.7) -> DataFrame:
-    """What ``base_scores`` and ``model_scores`` give, for a filter that is too large to broadcast."""
-    step = (1 << width) // ranges
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, blob in _rows(batches):
-            _, _, _, lengths, tokens = _documents(blob)
-            values = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width))
-            parts, begins = np.unique((values // np.uint64(step)).astype(np.int32), return_index=True)
-            blobs = [packed(v, np.zeros(len(v), np.int64), width) for v in np.split(values, begins[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(blobs, pa.binary())], ["block", "part", "grams"])
-
-    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        own = filter_of(zip(segment["p"].to_pylist(), segment["segment"].to_pylist(), strict=True), ranges, hashes, width)
-        found = [_pressed(own.levels(unpacked(b)[0]).tobytes()) for b in asked["grams"].to_pylist()]
-        return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
+def model_scores(found: DataFrame, blocks: DataFrame, known_ranges: int, width: int, total: int, distinct: int, model: Filter | None = None, weight: float = 0.7) -> DataFrame:
+    """What ``base_scores`` gives and the log10 probability of each text, its end included: by ``model``, or the levels among the ``found`` rows of each block."""
+    shared = model and blocks.sparkSession.sparkContext.broadcast((model.data, model.ranges, model.starts, model.bits, model.hashes, model.width))
 
     def score(found_: pa.Table, block: pa.Table) -> pa.Table:
-        words, levels = (found_.filter(pc.is_valid(found_[c])) for c in ("idx", "part"))
-        blob = block["documents"][0].as_py()
-        out = _base(words["idx"].to_numpy(), words["c"].to_numpy(), blob, total, distinct)
-        found = np.frombuffer(b"".join(_raw(b) for b in levels.sort_by("part")["levels"].to_pylist()), np.uint8)  # in the order of the values
-        _, _, _, lengths, tokens = _documents(blob)
-        one, two = (_cut(x, width) for x in block_grams(_raw(block["words"][0].as_py()), lengths, tokens))
-        values, inverse = np.unique(np.concatenate([one, two]), return_inverse=True)
-        assert len(values) == len(found)
-        at = _MIDDLE[found][inverse]
-        return out.append_column("score", pa.array(_mix(at[: len(one)], at[len(one) :], lengths, total, distinct, weight)))
-
-    asked = blocks.select("block", "words", "documents").mapInArrow(ask, "block long, part int, grams binary")
-    levels = asked.groupBy("part").cogroup(segments.withColumnRenamed("part", "p").groupBy("p")).applyInArrow(answer, "block long, part int, levels binary")
+        words, blob = _raw(block["words"][0].as_py()), block["documents"][0].as_py()
+        out = _base(found_.filter(found_["counts"].is_valid()), words, blob, known_ranges, total, distinct)
+        _, _, lengths, tokens = _documents(blob)
+        values, inverse = np.unique(_cut(np.concatenate(block_grams(words, lengths, tokens)), width), return_inverse=True)
+        if shared:
+            levels = Filter(*shared.value).levels(values)
+        else:  # in the order of the values
+            sent = found_.filter(found_["levels"].is_valid()).sort_by("part")["levels"].to_pylist()
+            levels = np.frombuffer(b"".join(_raw(b) for b in sent), np.uint8)
+        assert len(values) == len(levels)
+        at = _MIDDLE[levels][inverse]
+        return out.append_column("score", pa.array(_mix(at[: len(tokens)], at[len(tokens) :], lengths, total, distinct, weight)))
+
     own = blocks.select(F.col("block").alias("own"), "words", "documents")
-    both = levels.unionByName(known, allowMissingColumns=True)
-    return both.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(score, f"{_BASE}, score double")
+    return found.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(score, f"{_BASE}, score double")
 
 
 def base_columns(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``score_documents`` gives but for the model's score, without making the model."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(tokenised_blocks(docs), "tokens")
-    known, total, distinct = known_words(blocks)
-    return base_scores(known, blocks, total, distinct).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score")
+    known, total, distinct, ranges = known_words(blocks)
+    return base_scores(known, blocks, ranges, total, distinct).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score")
 
 
-def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26, hashes: int = 3, **options) -> DataFrame:
+def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26, bits_per_gram: int = 10, hashes: int = 3, grams_per_range: int = 2_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(tokenised_blocks(docs), "tokens")
-    known, total, distinct = known_words(blocks)
-    segments, ranges, width = filter_segments(docs, total, hashes=hashes, **options)
-    if segments.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0] <= max_bytes:
-        model = filter_of(((r.part, r.segment) for r in segments.toLocalIterator()), ranges, hashes, width)
-        scores = model_scores(docs, model, total, distinct).dropDuplicates(["doc_id", "row_key"]).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
-        out = base_scores(known, blocks, total, distinct).join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
+    known, total, distinct, known_ranges = known_words(blocks)
+    ranges, width = _ranges_for(2 * total, grams_per_range), width_for(total)
+    if 128 * ranges + 2 * total * bits_per_gram // 8 <= max_bytes:  # a count has no more levels than it is high
+        model = _filter(blocks, ranges, width, bits_per_gram, hashes)
+        out = model_scores(known, blocks, known_ranges, width, total, distinct, model)
     else:
-        out = sent_scores(known, blocks, segments, ranges, width, hashes, total, distinct)
+        levels = found_levels(sent_grams(blocks, ranges, width), ranges, width, bits_per_gram, hashes)
+        out = model_scores(levels.unionByName(known, allowMissingColumns=True), blocks, known_ranges, width, total, distinct)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

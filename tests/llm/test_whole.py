@@ -62,6 +62,35 @@ def test_scores_equal_exact_counts_at_several_sizes(spark, n, words, most):
     assert max(off) < 1e-6
 
 
+def shuffled(spark):
+    """Records and bytes that were written to shuffles so far."""
+    from bench import shuffled as written
+
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size())), written(spark)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_words_and_grams_are_sent_packed_and_once(spark, most):
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join(f"w{k:x}" for k in rng.zipf(1.2, 500) % 200_000)) for i in range(3000)]
+    size, blocks = sum(len(t) for _, t in texts), 4
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(blocks)
+    docs.count()
+    before = shuffled(spark)
+    assert len(LM.score_documents(docs, max_bytes=most).collect()) == len(texts)
+    records, sent = (b - a for a, b in zip(before, shuffled(spark), strict=True))
+    assert records < len(texts) + 4 * blocks * 64 + 100  # rows of the table; none is made of a single word
+    assert sent < 2.5 * size
+
+
+def test_a_range_without_training_rows_is_empty(spark):
+    held = [i for i in range(100) if LM.is_held_out(i)][:5]
+    docs = spark.createDataFrame([(i, f"only {i}") for i in held], "doc_id long, text string")
+    got = [LM.score_documents(docs, max_bytes=n).collect() for n in (0, 1 << 26)]
+    assert sorted(got[0]) == sorted(got[1]) and {(r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in got[0]} == {(0, 0, 0.0, round(3 * math.log10(0.3), 9))}
+
+
 def test_hashes_widen_with_the_tokens():
     assert [LM.width_for(n) for n in (0, 10**6, 10**9, 10**12, 10**20)] == [40, 40, 43, 53, 64]
     for width in (40, 53, 64):
