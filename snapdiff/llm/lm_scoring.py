@@ -11,7 +11,7 @@ segment has ``bits_per_gram`` bits for each n-gram and level that was counted in
 tokens are many (at most one probe in 4,096 meets another n-gram's hash, up to 64 bits), so
 the error rate is the same at any size. If the whole filter has at most ``max_bytes`` it is
 broadcast; else the task that makes a segment also looks up there the n-grams of the blocks that
-it was made from, so no task holds more than a segment, and n-grams are sent no second time.
+it was made from, so no task holds more than a few segments, and n-grams are sent no second time.
 
 *Scoring* probes the levels of a pair and of its words one after the other until one is absent,
 which gives their counts up to the quantisation, and mixes the pair's relative frequency with
@@ -152,7 +152,7 @@ def _sent(block: int, parts: np.ndarray, **columns: list[bytes]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block)), pa.array(parts), *(pa.array(x, pa.binary()) for x in columns.values())], ["block", "part", *columns])
 
 
-def known_words(blocks: DataFrame, words_per_range: int = 1_000_000) -> tuple[DataFrame, int, int, int]:
+def known_words(blocks: DataFrame, words_per_range: int = 2_000_000) -> tuple[DataFrame, int, int, int]:
     """(block, part, counts): over all blocks, the training counts of the words that a block has in a hash range; N and V; the number of ranges."""
     ranges = _ranges_for(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0], words_per_range)
 
@@ -229,15 +229,19 @@ def _cut(h: np.ndarray, width: int) -> np.ndarray:
     return h >> np.uint64(64 - width)
 
 
-def sent_grams(blocks: DataFrame, ranges: int, width: int) -> DataFrame:
-    """(block, part, grams): sorted hashes of ``width`` bits with training counts, packed, for each block and hash range."""
+def sent_grams(blocks: DataFrame, ranges: int, width: int, together: int = 4) -> DataFrame:
+    """(block, part, grams): sorted hashes of ``width`` bits with training counts, packed, for each block and some neighbouring hash ranges.
+
+    Ranges are sent ``together`` as rows would get short where there are thousands of ranges.
+    """
+    step = np.uint64((1 << width) // max(64, ranges // together))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, blob in _rows(batches):
             _, held, lengths, tokens = _documents(blob)
             values, inverse = np.unique(_cut(np.concatenate(block_grams(_raw(words), lengths, tokens)), width), return_inverse=True)
             times = np.bincount(inverse, weights=np.tile(np.repeat(~held, lengths), 2)).astype(np.int64)
-            parts, begins = np.unique((values // np.uint64((1 << width) // ranges)).astype(np.int32), return_index=True)
+            parts, begins = np.unique((values // step).astype(np.int32), return_index=True)
             yield _sent(block, parts, grams=[packed(v, t, width) for v, t in zip(np.split(values, begins[1:]), np.split(times, begins[1:]), strict=True)])
 
     return blocks.select("block", "words", "documents").mapInArrow(make, "block long, part int, grams binary")
@@ -320,31 +324,37 @@ def segment_of(values: np.ndarray, times: np.ndarray, bits_per_gram: int, hashes
     return np.packbits(on, bitorder="little").tobytes()
 
 
+def segments_of(values: np.ndarray, times: np.ndarray, ranges: int, width: int, bits_per_gram: int, hashes: int) -> list[tuple[int, bytes]]:
+    """The segments of these sorted distinct hashes by hash range; one that was not counted is in none."""
+    values, times = values[times > 0], times[times > 0]
+    parts, begins = np.unique((values // np.uint64((1 << width) // ranges)).astype(np.int32), return_index=True)
+    ends = [*begins[1:], len(values)]
+    return [(int(p), segment_of(values[a:b], times[a:b], bits_per_gram, hashes)) for p, a, b in zip(parts, begins, ends, strict=False)]
+
+
 def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """The distinct hashes of a range and their counts over all blocks, the place there of every hash that was sent, and how many each block sent."""
+    """The distinct hashes of a part and their counts over all blocks, the place there of every hash that was sent, and how many each block sent."""
     pairs = [unpacked(b) for b in blobs]
     values, inverse = np.unique(np.concatenate([v for v, _ in pairs]), return_inverse=True)
     return values, np.bincount(inverse, weights=np.concatenate([t for _, t in pairs])), inverse, [len(v) for v, _ in pairs]
 
 
-def filter_segments(grams: DataFrame, bits_per_gram: int, hashes: int) -> DataFrame:
+def filter_segments(grams: DataFrame, ranges: int, width: int, bits_per_gram: int, hashes: int) -> DataFrame:
     """(part, segment) of the filter over all training rows."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         values, times, _, _ = _merged(list(pdf["grams"]))
-        own = times > 0
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "segment": [segment_of(values[own], times[own], bits_per_gram, hashes)]} if own.any() else {"part": [], "segment": []})
+        return pd.DataFrame(segments_of(values, times, ranges, width, bits_per_gram, hashes), columns=["part", "segment"])
 
     return grams.groupBy("part").applyInPandas(build, "part int, segment binary")
 
 
 def found_levels(grams: DataFrame, ranges: int, width: int, bits_per_gram: int, hashes: int) -> DataFrame:
-    """(block, part, levels): each range's segment is made, and the hashes that blocks sent are looked up in it."""
+    """(block, part, levels): the segments are made, and the hashes that blocks sent are looked up in them."""
 
     def answer(asked: pa.Table) -> pa.Table:
         values, times, inverse, sent = _merged(asked["grams"].to_pylist())
-        own = times > 0
-        segments = [(asked["part"][0].as_py(), segment_of(values[own], times[own], bits_per_gram, hashes))] if own.any() else []
+        segments = segments_of(values, times, ranges, width, bits_per_gram, hashes)
         levels = filter_of(segments, ranges, hashes, width).levels(values)[inverse]
         found = [_pressed(x.tobytes()) for x in np.split(levels, np.cumsum(sent)[:-1])]
         return pa.table([asked["block"], asked["part"], pa.array(found, pa.binary())], ["block", "part", "levels"])
@@ -353,7 +363,7 @@ def found_levels(grams: DataFrame, ranges: int, width: int, bits_per_gram: int,
 
 
 def _filter(blocks: DataFrame, ranges: int, width: int, bits_per_gram: int, hashes: int) -> Filter:
-    segments = filter_segments(sent_grams(blocks, ranges, width), bits_per_gram, hashes)
+    segments = filter_segments(sent_grams(blocks, ranges, width), ranges, width, bits_per_gram, hashes)
     return filter_of(((r.part, r.segment) for r in segments.collect()), ranges, hashes, width)
 
 

@@ -91,6 +91,13 @@ def test_a_range_without_training_rows_is_empty(spark):
     assert sorted(got[0]) == sorted(got[1]) and {(r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in got[0]} == {(0, 0, 0.0, round(3 * math.log10(0.3), 9))}
 
 
+def test_ranges_that_are_sent_together_make_the_same_segments(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 900, 60))) for i in range(300)], "doc_id long, text string")
+    few, many = ({r.doc_id: r.score for r in LM.score_documents(docs, max_bytes=n, grams_per_range=60).collect()} for n in (0, 1 << 26))
+    assert LM._ranges_for(2 * 300 * 50, 60) > 4 * 64 and few == many
+
+
 def test_hashes_widen_with_the_tokens():
     assert [LM.width_for(n) for n in (0, 10**6, 10**9, 10**12, 10**20)] == [40, 40, 43, 53, 64]
     for width in (40, 53, 64):
