@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -48,24 +49,23 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that sta
 _ALPHABET = {**{b: b for b in _PLAIN}, **{b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}}
 
 
-def _ids(values: list[int]) -> bytes:
-    return np.array(values, "<u4").tobytes()
-
-
-class Stems(dict):
-    """Piece of text -> its ids, as little-endian 32-bit bytes; forgets everything past ``limit`` pieces.
+class Stems:
+    """Piece of text -> its ids, as little-endian 32-bit bytes.
 
     Letters that are composed already and have one lower-case letter each, or ASCII punctuation,
-    are one word of the model; everything else goes through the whole tokenizer.
+    are one word of the model; everything else goes through the whole tokenizer. Pieces are kept in
+    two generations of ``limit`` each: one that is used again passes to the recent one, so frequent
+    pieces stay when the older generation goes.
     """
 
     limit = 200_000
     word = re.compile(f"{_LETTERS}|{_MARKS}")
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         made = json.loads(self.tokenizer.to_str())
@@ -75,44 +75,28 @@ class Stems(dict):
         self.divides = split and no_space and made["normalizer"] == NORMALIZER and made["post_processor"] is None
         self.starts = {t["content"][:2] for t in made["added_tokens"]}  # their names have a case
 
-    def __missing__(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         if self.word.fullmatch(text):
-            value = _ids([t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_ALPHABET))])
+            text = text.lower()
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_ALPHABET))]
         else:
-            value = _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(text) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[text] = value
-        return value
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
+    def look_up(self, texts: list[str]) -> list[bytes]:
+        found, older = list(map(self.recent.get, texts)), self.older
+        for k in [k for k, value in enumerate(found) if value is None]:
+            text = texts[k]
+            value = older.get(text)
+            found[k] = value = self.encode(text) if value is None else value
+            if len(text) <= 64:
+                if len(self.recent) >= self.limit:
+                    self.older, self.recent = self.recent, {}
+                self.recent[text] = value
+        return found
 
-class Chunks(dict):
-    """Text between ASCII white space -> its ids.
 
-    The tokenizer cuts texts at white space and lower-cases them, so a text's ids are those of its
-    chunks in a row. Letters with punctuation after them are looked up apart, as the tokenizer
-    cuts there too: fewer different pieces, each encoded once.
-    """
-
-    limit = 200_000
-    parts = re.compile(f"({_LETTERS})({_MARKS})")
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.stems = Stems(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        both = self.parts.fullmatch(chunk)
-        value = self.stems[both[1]] + self.stems[both[2]] if both else self.stems[chunk]
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
-        return value
-
-
-_chunks: dict[str, Chunks] = {}
+_stems: dict[str, Stems] = {}
 
 
 def default_tokenizer() -> str:
@@ -122,27 +106,33 @@ def default_tokenizer() -> str:
 
 
 def token_ids(texts: pa.StringArray, path: str) -> list[np.ndarray]:
-    """Ids of each text; each different chunk of the texts is looked up once.
+    """Ids of each text; each different stem of the texts is looked up once.
+
+    The tokenizer cuts texts at white space and lower-cases them, so a text's ids are those of its
+    chunks in a row. Letters with punctuation after them are looked up apart, as the tokenizer
+    cuts there too: fewer different pieces, each encoded once.
 
     A tokenizer that cuts otherwise gets whole texts. Letters are lower-cased before the look-up,
     but in texts with combining marks, which compose first, or names of special tokens.
     """
-    if path not in _chunks:
-        _chunks[path] = Chunks(path)
-    own = _chunks[path]
-    if not own.stems.divides:
-        return [np.frombuffer(_ids(own.stems.tokenizer.encode(t, add_special_tokens=False).ids), "<u4") for t in texts.to_pylist()]
-    cased = pc.match_substring_regex(texts, "|".join(["[\u0300-\u036f]", *map(re.escape, sorted(own.stems.starts))]))
+    if path not in _stems:
+        _stems[path] = Stems(path)
+    own = _stems[path]
+    if not own.divides:
+        return [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+    cased = pc.match_substring_regex(texts, "|".join(["[\u0300-\u036f]", *map(re.escape, sorted(own.starts))]))
     lists = pc.ascii_split_whitespace(pc.if_else(cased, texts, pc.ascii_lower(texts)))
     words = lists.flatten().dictionary_encode()
-    found = list(map(own.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
-    table, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-    at = words.indices.to_numpy()
-    lengths = sizes[at]
-    ends = np.cumsum(lengths)
-    starts = np.cumsum(sizes) - sizes
-    ids = table[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-    cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    chunks = words.dictionary
+    parts = pc.extract_regex(chunks, f"^(?P<stem>{_LETTERS})(?P<mark>{_MARKS})$")
+    stems, marks = pc.coalesce(pc.struct_field(parts, "stem"), chunks), pc.fill_null(pc.struct_field(parts, "mark"), "")
+    pieces = pa.concat_arrays([stems, marks]).dictionary_encode()
+    found = pa.array(own.look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+    joined = pc.binary_join_element_wise(found[: len(chunks)], found[len(chunks) :], pa.scalar(b"", pa.large_binary()))
+    spread = joined.take(words.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(spread).to_numpy())]) // 4
+    ids = np.frombuffer(spread.buffers()[2] or b"", "<u4", int(ends[-1]))
+    cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 

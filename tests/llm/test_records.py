@@ -78,6 +78,40 @@ def test_another_tokenizer_gets_whole_texts():
     assert [x.tolist() for x in PK.token_ids(pa.array(texts), path)] == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_frequent_words_are_encoded_once(tmp_path, monkeypatch):
+    import shutil
+
+    import pyarrow as pa
+    import tokenizers
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.model, self.seen = own, self, []
+            made.append(self)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def tokenize(self, text):
+            self.seen.append(text)
+            return self.own.model.tokenize(text)
+
+    made, real = [], tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: Counted(real.from_file(path)))}))
+    for kind in [c for c in vars(PK).values() if isinstance(c, type) and hasattr(c, "limit")]:
+        monkeypatch.setattr(kind, "limit", 100)
+    path = shutil.copy(PK.default_tokenizer(), tmp_path / "own.json")
+    rare = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) + "qx" for k in range(1000)]
+    texts = [f"{' '.join(rare[k : k + 50])} the quick, the brown." for k in range(0, 1000, 50)]
+    plain = real.from_file(str(path))
+    for text in texts:
+        assert PK.token_ids(pa.array([text]), str(path))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    seen = made[0].seen
+    assert len(seen) == len(set(seen)) and {*rare, "the", "quick", "brown", ",", "."} == set(seen)  # though 100 others came in between, ten times
+    own = getattr(PK, "_stems", {}).get(str(path))
+    assert own is None or max(len(own.recent), len(own.older)) <= 100
+
+
 def test_islands_pack_tightly(spark):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 900, 3000).tolist()
