@@ -58,7 +58,7 @@ class Stems:
     pieces stay when the older generation goes.
     """
 
-    limit = 200_000
+    limit = 150_000
     word = re.compile(f"{_LETTERS}|{_MARKS}")
 
     def __init__(self, path: str):
@@ -164,8 +164,12 @@ def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, capaci
                         rows.append((doc, i, start, size, zlib.crc32(raw), raw)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cut(batches)
+        pa.default_memory_pool().release_unused()  # the worker stays, beside those of later stages
+
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    made = texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
     return made.withColumn("pid", F.monotonically_increasing_id())
 
 
